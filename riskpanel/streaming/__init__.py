@@ -1,0 +1 @@
+"""Intentionally empty: every input is a file read once, so the engine has no streaming operator."""
