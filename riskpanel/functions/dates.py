@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, functions as F
 
@@ -81,3 +82,16 @@ def period_range(first: Column, last: Column, period: str = "year") -> Column:
         F.trunc(first, period), F.trunc(last, period), F.expr(PERIOD_STEPS[period])
     )
     return F.transform(starts, lambda start: period_end(start, period))
+
+
+# Months per period, for stepping on the driver.
+_PERIOD_MONTHS = {"year": 12, "quarter": 3, "month": 1}
+
+
+def next_period_end(end: date, period: str) -> date:
+    """The period end after a period end."""
+    if period not in _PERIOD_MONTHS:
+        return end + timedelta(days={"week": 7, "day": 1}[period])
+    months = end.year * 12 + end.month + _PERIOD_MONTHS[period]
+    # The first day after the next period, minus one day.
+    return date(months // 12, months % 12 + 1, 1) - timedelta(days=1)

@@ -10,7 +10,6 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -18,6 +17,7 @@ from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import run_parallel
 from .adaboost import AdaBoostModel
 from .columns import quoted
 from .metrics import confusion_cells, metric_columns, score_summary
@@ -180,14 +180,6 @@ def sweep_thresholds(importances: Sequence[tuple[str, float]]) -> list[tuple[str
     return steps
 
 
-def run_parallel(job: Callable, items: Sequence, parallelism: int) -> list:
-    """Submit independent Spark jobs from a few driver threads, results in order."""
-    if parallelism <= 1 or len(items) <= 1:
-        return [job(item) for item in items]
-    with ThreadPool(min(parallelism, len(items))) as pool:
-        return pool.map(job, items, chunksize=1)
-
-
 SWEEP_SCHEMA = (
     "step int, Last_Feature string, Thresh double, Features int, Acc double, Kapp double, AUC double, "
     "Recall double, Precis double, F1 double"

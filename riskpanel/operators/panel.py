@@ -1,10 +1,11 @@
 """Dense (area x period) panels from event tables.
 
-The plan is flat: no grouped Python. Every source is reduced by partial
-aggregation before its shuffle, cut off at the first target date of its
-(period, area), counted wide, and attached to one spine that holds every
-period of every area. Counts and spine are partitioned on the same keys, so
-attaching further sources needs no further shuffle.
+The plan is flat: no grouped Python. Every source is read once and reduced, by
+partial aggregation, to one row per (period, area, date, values). Value lists,
+period bounds, the label, the cutoff at the first target date and the wide
+counts all work on those reduced rows, and the counts are attached to one spine
+that holds every period of every area. Counts and spine are partitioned on the
+same keys, so attaching further sources needs no further shuffle.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.dates import period_end, period_range
+from ..functions.dates import next_period_end, period_end, period_range
 from ..functions.numbers import money_sum
 from ..functions.text import LABEL_SEPARATOR, split_labels
-from ..session import cut_lineage
+from ..session import cut_lineage, run_parallel
 from .columns import (
     MAX_CATEGORIES,
     feature_names,
@@ -33,6 +34,8 @@ from .joins import static_attributes
 # instead of one conditional sum per column (which would leave generated code).
 WIDE_LIMIT = 64
 
+IS_TARGET = "__target"
+
 
 @dataclass(frozen=True)
 class EventSource:
@@ -41,6 +44,7 @@ class EventSource:
     ``one_hot`` and ``labels`` name the columns counted per value; ``values``
     may fix their value lists, otherwise they are read from the data. ``sums``
     are added up (decimals inside, so the order of rows does not matter).
+    ``target`` marks target events: they make the label and are not counted.
     ``cutoff`` keeps only events up to the first target date.
     """
 
@@ -50,6 +54,7 @@ class EventSource:
     one_hot: Sequence[str] = ()
     labels: Sequence[str] = ()
     sums: Sequence[str] = ()
+    target: Column | None = None
     cutoff: bool = True
     separator: str = LABEL_SEPARATOR
     values: Mapping[str, Sequence] = field(default_factory=dict)
@@ -57,8 +62,9 @@ class EventSource:
     def rows(self, keys: Sequence[str]) -> DataFrame:
         """Only the needed columns; events without a date or a key are dropped."""
         needed = dict.fromkeys([*keys, *self.one_hot, *self.labels, *self.sums])
+        flag = [] if self.target is None else [F.coalesce(self.target, F.lit(False)).alias(IS_TARGET)]
         return self.events.select(
-            quoted(self.date).alias("event_date"), *[quoted(c) for c in needed]
+            quoted(self.date).alias("event_date"), *[quoted(c) for c in needed], *flag
         ).na.drop(how="any", subset=["event_date", *keys])
 
 
@@ -104,13 +110,15 @@ def spine(areas: DataFrame, bounds: Sequence[tuple], period: str, keys: Sequence
     return areas.select(*keys).distinct().select(F.explode(periods).alias("period"), *keys)
 
 
-def period_values(bounds: Sequence[tuple], spark, period: str) -> set:
-    """The period ends of the given ranges (a few thousand dates at most)."""
-    if not bounds:
-        return set()
-    ranges = [period_range(F.lit(low), F.lit(high), period) for low, high in bounds]
-    row = spark.range(1).select(F.array_distinct(F.concat(*ranges)).alias("p")).first()
-    return set(row["p"])
+def period_values(bounds: Sequence[tuple], period: str) -> set:
+    """The period ends of the given ranges, as dates (a few thousand at most)."""
+    ends = set()
+    for low, high in bounds:
+        day = low
+        while day <= high:
+            ends.add(day)
+            day = next_period_end(day, period)
+    return ends
 
 
 # ---------------------------------------------------------------- label and first target date
@@ -131,6 +139,11 @@ def label_counts(
 ) -> DataFrame:
     """Per (period, area): whether a target happened and when first, in one aggregate."""
     rows = add_period(events.na.drop(how="any", subset=list(keys)), date, period)
+    return label_of(rows, date, flag, keys)
+
+
+def label_of(rows: DataFrame, date: str, flag: Column, keys: Sequence[str]) -> DataFrame:
+    """Label and first target date from rows that already have their period."""
     return rows.groupBy("period", *keys).agg(
         F.max(F.when(flag, 1).otherwise(0)).cast("bigint").alias("target"),
         F.min(F.when(flag, quoted(date))).alias("first_date"),
@@ -143,19 +156,42 @@ def label_counts(
 def read_categories(
     sources: Sequence[EventSource], keys: Sequence[str], limit: int = MAX_CATEGORIES
 ) -> dict[tuple[str, str], list]:
-    """Sorted value lists of all one-hot and label columns, read in one job.
+    """Sorted value lists of all one-hot and label columns, read in one job."""
+    return survey({s.name: (s, s.rows(keys)) for s in sources}, None, limit)[0]
 
-    A column with more than ``limit`` values raises; lists are never cut.
+
+def survey(
+    tables: Mapping[str, tuple[EventSource, DataFrame]], period: str | None, limit: int = MAX_CATEGORIES
+) -> tuple[dict[tuple[str, str], list], dict[str, tuple]]:
+    """(value lists, period bounds) of several sources in one job.
+
+    The value lists are those of the one-hot and label columns; target events
+    do not contribute. A column with more than ``limit`` values raises; lists
+    are never cut. With ``period`` the first and last period are added.
     """
-    found: dict[tuple[str, str], list] = {}
+    lists: dict[tuple[str, str], list] = {}
+    bounds: dict[str, tuple] = {}
     parts = []
-    for source in sources:
-        rows = source.rows(keys)
+    no_date = F.lit(None).cast("date")
+    for source, rows in tables.values():
+        if period is not None:
+            extremes = rows.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi"))
+            parts.append(
+                extremes.select(
+                    F.lit(source.name).alias("source"),
+                    F.lit(None).cast("string").alias("column"),
+                    F.lit(None).cast("string").alias("value"),
+                    period_end("lo", period).alias("lo"),
+                    period_end("hi", period).alias("hi"),
+                )
+            )
+        if source.target is not None:
+            rows = rows.where(~F.col(IS_TARGET))
         for column in [*source.one_hot, *source.labels]:
             if column in source.values:
-                found[source.name, column] = list(source.values[column])
+                lists[source.name, column] = list(source.values[column])
                 continue
-            found[source.name, column] = []
+            lists[source.name, column] = []
             values = rows.select(quoted(column).cast("string").alias("value")).na.drop().distinct()
             if column in source.labels:
                 values = values.select(
@@ -163,15 +199,21 @@ def read_categories(
                 ).distinct()
             parts.append(
                 values.limit(limit + 1).select(
-                    F.lit(source.name).alias("source"), F.lit(column).alias("column"), "value"
+                    F.lit(source.name).alias("source"),
+                    F.lit(column).alias("column"),
+                    "value",
+                    no_date.alias("lo"),
+                    no_date.alias("hi"),
                 )
             )
-    if parts:
-        for row in reduce(DataFrame.unionByName, parts).collect():
-            found[row["source"], row["column"]].append(row["value"])
-    for (source, column), values in found.items():
-        found[source, column] = sorted_categories([(v,) for v in values], limit, f"{source}.{column}")
-    return found
+    for row in reduce(DataFrame.unionByName, parts).collect() if parts else []:
+        if row["column"] is not None:
+            lists[row["source"], row["column"]].append(row["value"])
+        elif row["lo"] is not None:
+            bounds[row["source"]] = (row["lo"], row["hi"])
+    for (source, column), values in lists.items():
+        lists[source, column] = sorted_categories([(v,) for v in values], limit, f"{source}.{column}")
+    return lists, bounds
 
 
 def before_first_target(daily: DataFrame, first: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -193,9 +235,9 @@ def source_daily(source: EventSource, keys: Sequence[str], period: str) -> DataF
     This bounds what a hot area can send to one task by its dates and value
     combinations, whatever its number of events.
     """
-    values = [*source.one_hot, *source.labels]
+    values = [*source.one_hot, *source.labels] + ([] if source.target is None else [IS_TARGET])
     rows = add_period(source.rows(keys), "event_date", period)
-    group = ["period", *keys, "event_date", *values]
+    group = dict.fromkeys(["period", *keys, "event_date", *values])
     return rows.groupBy(*[quoted(c) for c in group]).agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.sum(quoted(c).cast("decimal(18,2)")).alias(c) for c in source.sums],
@@ -282,8 +324,12 @@ def source_counts(
     period: str,
     lists: Mapping[tuple[str, str], list],
     first: DataFrame | None = None,
+    daily: DataFrame | None = None,
 ) -> DataFrame:
-    daily = source_daily(source, keys, period)
+    """Wide counts of one source, from its ``daily`` rows where they already exist."""
+    daily = source_daily(source, keys, period) if daily is None else daily
+    if source.target is not None:
+        daily = daily.where(~F.col(IS_TARGET)).drop(IS_TARGET)
     if source.cutoff:
         if first is None:
             raise ValueError(f"source {source.name!r} needs first target dates")
@@ -322,13 +368,9 @@ def outer_frame_rows(areas: int, base: set, others: Sequence[set]) -> int:
 
 
 def build_panel(
-    target_events: DataFrame,
-    date: str,
-    flag: Column,
     areas: DataFrame,
     sources: Sequence[EventSource],
     keys: Sequence[str],
-    base: str | None = None,
     period: str = "year",
     min_ratio: float | None = None,
     attributes: DataFrame | None = None,
@@ -337,38 +379,39 @@ def build_panel(
 ) -> PanelResult:
     """Label, counted sources and static attributes per (period, area).
 
-    ``base`` names the source whose periods, with those of the target events,
-    span the panel (default: the first source); further sources are attached
-    to it. ``min_ratio`` drops count columns whose sum over the full outer
-    frame is below that share of its rows. ``keep_unmatched_periods`` also
-    keeps periods found only in further sources.
+    The one source with a ``target`` gives the label, the cutoff dates and the
+    periods of the panel; the others are attached to it. ``min_ratio`` drops
+    count columns whose sum over the full outer frame is below that share of
+    its rows. ``keep_unmatched_periods`` also keeps periods found only in
+    another source.
+
+    Each source is read once: its reduced rows are written to the checkpoint
+    folder, and everything after works on those.
     """
     keys = list(keys)
-    spark = areas.sparkSession
+    base = [s for s in sources if s.target is not None]
+    if len(base) != 1:
+        raise ValueError("exactly one source must have a target")
+    base = base[0]
     areas = areas.select(*keys).na.drop().distinct()
-    base = base or (sources[0].name if sources else None)
-    lists = read_categories(sources, keys)
-    frames = {"": (target_events.na.drop(how="any", subset=keys), date)}
-    frames.update({s.name: (s.rows(keys), "event_date") for s in sources})
-    bounds = period_bounds(frames, period)
-    base_names = [n for n in ("", base) if n in bounds]
-    span = merge_bounds([bounds[n] for n in base_names])
-    further = [s for s in sources if s.name not in base_names and s.name in bounds]
-
-    label = label_counts(target_events, date, flag, keys, period)
-    counts = {s.name: source_counts(s, keys, period, lists, label) for s in sources}
+    daily = _write_all({s.name: source_daily(s, keys, period) for s in sources})
+    lists, bounds = survey({s.name: (s, daily[s.name]) for s in sources}, period)
+    span = [bounds[base.name]] if base.name in bounds else []
+    further = [s for s in sources if s is not base and s.name in bounds]
+
+    label = label_of(daily[base.name], "event_date", F.col(IS_TARGET), keys)
+    counts = {s.name: source_counts(s, keys, period, lists, label, daily[s.name]) for s in sources}
 
     keep = None
     dropped: list[str] = []
     frame_rows = 0
     if min_ratio is not None:
         # The column decision and the panel both read the counts: write them once.
-        label = cut_lineage(label)
-        counts = {name: cut_lineage(df) for name, df in counts.items()}
-        base_periods = period_values(span, spark, period)
-        other_periods = [period_values([bounds[s.name]], spark, period) for s in further]
+        counts = _write_all({n: df.join(areas, keys, "left_semi") for n, df in counts.items()})
+        base_periods = period_values(span, period)
+        other_periods = [period_values([bounds[s.name]], period) for s in further]
         frame_rows = outer_frame_rows(areas.count(), base_periods, other_periods)
-        sums = column_sums({n: df.join(areas, keys, "left_semi") for n, df in counts.items()}, keys)
+        sums = column_sums(counts, keys)
         keep = set(frequent_columns(sums, frame_rows, min_ratio))
         dropped = [c for c in sums if c not in keep]
 
@@ -393,6 +436,11 @@ def build_panel(
     return PanelResult(fill_zero(panel, ["target", *numeric_only(panel, features)]), features, dropped, frame_rows)
 
 
+def _write_all(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Cut the lineage of several independent tables at the same time."""
+    return dict(zip(frames, run_parallel(cut_lineage, list(frames.values()), len(frames))))
+
+
 def numeric_only(df: DataFrame, names: Sequence[str]) -> list[str]:
     kinds = dict(df.dtypes)
     return [n for n in names if kinds[n] not in ("string", "date", "boolean")]

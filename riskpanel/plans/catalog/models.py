@@ -1 +1,140 @@
-"""Models."""
+"""Model queries on a monthly panel of the test tables.
+
+The panel is written once per session as the training matrix that all model
+queries read. Ensembles are smaller than the published settings, which stay
+the defaults of the library; every query still fits on all rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...operators import models
+from ...operators.adaboost import AdaBoost
+from ...sources import sinks
+from .. import evaluation
+from .base import AREA, Tables, query, scratch_folder
+from .panels import order_panel
+
+TRAIN_UNTIL = "1999-12-31"
+VALIDATION_UNTIL = "1998-12-31"
+
+_written: dict[tuple[str, str], tuple[str, list[str]]] = {}
+
+
+def training_table(t: Tables):
+    """The monthly panel as a written table, and its feature names."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _written:
+        result = order_panel(t, "month", min_ratio=0.0001)
+        folder = sinks.write_training_matrix(result.panel, scratch_folder(t.spark, "training-matrix"))
+        _written[key] = (folder, result.features)
+    folder, features = _written[key]
+    return t.spark.read.parquet(folder), features
+
+
+def dataset(t: Tables) -> evaluation.Dataset:
+    panel, features = training_table(t)
+    return evaluation.hold(
+        evaluation.prepare_dataset(panel, features, AREA, TRAIN_UNTIL, VALIDATION_UNTIL)
+    )
+
+
+def small_forest(**params):
+    return models.forest(**{"numTrees": 20, "maxDepth": 8, **params})
+
+
+def _report(t: Tables, name: str, learner):
+    data = dataset(t)
+    model = learner.fit(data.train)
+    return models.model_report(name, model, data.test)
+
+
+@query("training_matrix")
+def training_matrix(t: Tables):
+    """Rows and targets of the written panel per year."""
+    panel, _ = training_table(t)
+    return panel.groupBy(F.year("period").alias("year")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("target").alias("targets")
+    )
+
+
+@query("rf_report")
+def rf_report(t: Tables):
+    return _report(t, "forest", models.forest(numTrees=65, maxDepth=10))
+
+
+@query("gbt_report")
+def gbt_report(t: Tables):
+    return _report(t, "boosted_trees", models.boosted_trees(maxIter=15))
+
+
+@query("adaboost_report")
+def adaboost_report(t: Tables):
+    return _report(t, "adaboost", AdaBoost(rounds=15, seed=models.SEED))
+
+
+@query("adaboost_samme_report")
+def adaboost_samme_report(t: Tables):
+    return _report(t, "adaboost_samme", AdaBoost(rounds=10, algorithm="SAMME", seed=models.SEED))
+
+
+@query("feature_importance_topk")
+def feature_importance_topk(t: Tables):
+    return evaluation.ranked_features(dataset(t), small_forest)
+
+
+@query("extra_importance")
+def extra_importance(t: Tables):
+    return evaluation.ranked_features(dataset(t), lambda: models.unsampled_forest(depth=10))
+
+
+def _sweep(t: Tables):
+    learner = lambda: models.forest(**{**models.SWEEP_FOREST, "numTrees": 20})
+    return evaluation.selection_sweep(dataset(t), small_forest, learner)[0]
+
+
+@query("threshold_sweep")
+def threshold_sweep(t: Tables):
+    return _sweep(t)
+
+
+@query("best_threshold")
+def best_threshold(t: Tables):
+    return evaluation.best_threshold(_sweep(t))
+
+
+@query("grid_search_rf")
+def grid_search_rf(t: Tables):
+    grid = {"maxDepth": [3, 5], "featureSubsetStrategy": ["sqrt", "log2"], "numTrees": [1, 10]}
+    return evaluation.search(dataset(t), models.forest, grid)[0]
+
+
+@query("grid_search_ada")
+def grid_search_ada(t: Tables):
+    grid = {"algorithm": ["SAMME", "SAMME.R"], "rounds": [1, 5]}
+    return evaluation.search(dataset(t), AdaBoost, grid)[0]
+
+
+@query("search_report")
+def search_report(t: Tables):
+    """Per class report of the refitted best combination."""
+    data = dataset(t)
+    _, best = evaluation.search(data, models.forest, {"maxDepth": [3, 6], "numTrees": [10]})
+    return evaluation.search_report(data, models.forest, best)
+
+
+@query("tuned_model_risk")
+def tuned_model_risk(t: Tables):
+    return evaluation.risk_levels(evaluation.tuned_scores(dataset(t), {"numTrees": 50}))
+
+
+@query("model_roc_band")
+def model_roc_band(t: Tables):
+    """ROC bands of three learners over seven expanding folds."""
+    learners = {
+        "forest": lambda: models.forest(numTrees=10, maxDepth=5),
+        "boosted_trees": lambda: models.boosted_trees(maxIter=3),
+        "adaboost": lambda: AdaBoost(rounds=3),
+    }
+    return evaluation.curve_bands(dataset(t), learners)[0]

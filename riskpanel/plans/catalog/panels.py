@@ -15,7 +15,7 @@ def is_target():
 
 def incident_source(t: Tables, orders: DataFrame | None = None) -> p.EventSource:
     orders = placed_orders(t) if orders is None else orders
-    return p.EventSource("incident", orders.where(~is_target()), "order_date", one_hot=["code"])
+    return p.EventSource("incident", orders, "order_date", one_hot=["code"], target=is_target())
 
 
 def inspection_source(t: Tables) -> p.EventSource:
@@ -30,13 +30,9 @@ def lien_source(t: Tables) -> p.EventSource:
 def order_panel(t: Tables, period: str = "year", **options) -> p.PanelResult:
     """The whole panel of the test tables: label, incidents, inspections and liens."""
     return p.build_panel(
-        placed_orders(t),
-        "order_date",
-        is_target(),
         areas(t),
         [incident_source(t), inspection_source(t), lien_source(t)],
         AREA,
-        base="incident",
         period=period,
         **options,
     )

@@ -112,11 +112,14 @@ def residential_panel(
 ) -> PanelResult:
     """Label, counts before the first target, liens of the year and the encoded profile."""
     values = values or {}
-    flag = target_flag("code", cleaning.TARGET_PREFIX) == 1
-    others = prepared.incidents.where(~flag)
     sources = [
         EventSource(
-            "incident", others, "CALL_CREATED_DATE", one_hot=["code"], values=values.get("incident", {})
+            "incident",
+            prepared.incidents,
+            "CALL_CREATED_DATE",
+            one_hot=["code"],
+            target=target_flag("code", cleaning.TARGET_PREFIX) == 1,
+            values=values.get("incident", {}),
         ),
         EventSource(
             "inspection",
@@ -137,13 +140,9 @@ def residential_panel(
         ),
     ]
     return build_panel(
-        prepared.incidents,
-        "CALL_CREATED_DATE",
-        F.coalesce(flag, F.lit(False)),
         prepared.areas,
         sources,
         cleaning.KEYS,
-        base="incident",
         period=period,
         min_ratio=min_ratio,
         attributes=encode_profile(prepared.profile),

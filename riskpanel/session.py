@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def run_parallel(job: Callable, items: Sequence, parallelism: int) -> list:
+    """Submit independent Spark jobs from a few driver threads, results in order."""
+    if parallelism <= 1 or len(items) <= 1:
+        return [job(item) for item in items]
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(job, items, chunksize=1)
