@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -154,6 +155,22 @@ def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list:
     return sorted_categories(rows, limit, column)
 
 
+def categories_of(
+    df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES
+) -> dict[str, list]:
+    """Sorted distinct values of several columns, as text and read in one job."""
+    parts = [
+        df.select(quoted(c).cast("string").alias("value")).na.drop().distinct().limit(limit + 1).select(
+            "value", F.lit(c).alias("column")
+        )
+        for c in columns
+    ]
+    found: dict[str, list] = {c: [] for c in columns}
+    for row in reduce(DataFrame.unionByName, parts).collect() if parts else []:
+        found[row["column"]].append(row["value"])
+    return {c: sorted_categories([(v,) for v in values], limit, c) for c, values in found.items()}
+
+
 def label_categories(
     df: DataFrame, column: str, separator: str = LABEL_SEPARATOR, limit: int = MAX_CATEGORIES
 ) -> list[str]:

@@ -46,14 +46,14 @@ def _bounds(df: DataFrame, date: str, period: str):
     "densify_panel",
     f"""WITH {PLACED_ORDERS_SQL},
        counts AS (SELECT make_date(year(order_date), 12, 31) AS period, nation, segment, count(*) AS orders
-                  FROM placed WHERE status = 'F' AND nation < 12 AND year(order_date) <> 1998 GROUP BY ALL)
+                  FROM placed WHERE status = 'F' AND price > 450000 AND year(order_date) <> 1998 GROUP BY ALL)
        SELECT period, nation, segment, CAST(coalesce(orders, 0) AS BIGINT) AS orders
        FROM spine LEFT JOIN counts USING (period, nation, segment)""",
 )
 def densify_panel(t: Tables):
     """Areas without events and a year without events get zeros."""
     orders = placed_orders(t)
-    some = orders.where("status = 'F' and nation < 12 and year(order_date) <> 1998")
+    some = orders.where("status = 'F' and price > 450000 and year(order_date) <> 1998")
     counts = p.add_period(some, "order_date").groupBy("period", *AREA).agg(F.count(F.lit(1)).alias("orders"))
     universe = p.spine(areas(t), _bounds(orders, "order_date", "year"), "year", AREA)
     return p.densify(counts, universe, AREA)

@@ -217,8 +217,11 @@ def incidents_to_areas(
     """Incidents by address to parcels to areas; distinct rows of the kept columns.
 
     An address shared by several parcels puts the incident into each of their
-    areas. ``min_fraction`` drops kept columns with too few values first.
+    areas. ``min_fraction`` drops kept columns with too few values first; without
+    it, repeated events of an address collapse before the joins.
     """
+    if min_fraction is None:
+        incidents = incidents.select(*[quoted(c) for c in keep], "street", "number").distinct()
     placed = equi_join(
         incidents, lookup, {"street": "PROPERTYADDRESS", "number": "PROPERTYHOUSENUM"}, "inner"
     )

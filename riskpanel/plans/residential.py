@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import target_flag
-from ..operators.columns import categories, drop_columns, one_hot, quoted
+from ..operators.columns import categories_of, drop_columns, one_hot, quoted
 from ..operators.panel import EventSource, PanelResult, build_panel
+from ..session import cut_lineage
 from ..sources import readers, schemas
 from . import cleaning
 
@@ -79,7 +80,9 @@ def prepare(
     properties, lookup = cleaning.clean_properties(sources.assessments, place.city, min_values)
     parcels = cleaning.parcel_areas(sources.parcels, place.subdivision)
     census = cleaning.combine_census([cleaning.clean_census(t) for t in sources.census])
-    profile, areas = cleaning.area_profile(properties, parcels, census)
+    profile, _ = cleaning.area_profile(properties, parcels, census)
+    # One row per area; read for the area list, the categories and the final join.
+    profile = cut_lineage(profile)
     inspections = cleaning.clean_inspections(sources.inspections, lookup)
     liens = cleaning.clean_liens(sources.liens, lookup, place.municipality)
     incidents = cleaning.clean_incidents(
@@ -90,15 +93,15 @@ def prepare(
         inspections=cleaning.events_to_areas(inspections, parcels, "PARCEL"),
         liens=cleaning.events_to_areas(liens, parcels, "pin"),
         profile=profile,
-        areas=areas,
+        areas=profile.select(*cleaning.KEYS).distinct(),
     )
 
 
 def encode_profile(profile: DataFrame, columns: Sequence[str] = cleaning.PROFILE_MODES) -> DataFrame:
     """One-hot the profile's categories while it has one row per area."""
-    for column in columns:
-        profile = drop_columns(one_hot(profile, column, categories(profile, column)), [column])
-    return profile
+    for column, values in categories_of(profile, columns).items():
+        profile = one_hot(profile, column, values)
+    return drop_columns(profile, columns)
 
 
 def residential_panel(

@@ -79,6 +79,8 @@ def compare(df, con, sql: str) -> list[str]:
     if len(left) != len(right):
         problems.append(f"rows {len(left)} != {len(right)}")
     different = [(a, b) for a, b in zip(left, right) if a != b]
+    if not left:
+        problems.append("both empty")
     if different:
         problems.append(f"{len(different)} rows differ, first: {different[0][0]} != {different[0][1]}")
     return problems
