@@ -35,6 +35,7 @@ from .joins import static_attributes
 WIDE_LIMIT = 64
 
 IS_TARGET = "__target"
+_TAG = "\x1f"
 
 
 @dataclass(frozen=True)
@@ -288,23 +289,21 @@ def count_wide(
 
 def _count_by_pivot(daily, source, keys, named, sums) -> DataFrame:
     """Many values: count in long form first, then pivot the few counted rows."""
-    pieces = []
-    for column in [*source.one_hot, *source.labels]:
+
+    def tagged(column: str) -> Column:
+        """Array of ``column<separator>value`` tags of one counted column."""
         if column in source.labels:
-            values = split_labels(quoted(column), source.separator)
+            values = F.coalesce(split_labels(quoted(column), source.separator), F.array().cast("array<string>"))
         else:
-            values = F.array(quoted(column).cast("string"))
-        pieces.append(F.transform(values, lambda v, c=column: F.struct(F.lit(c).alias("c"), v.alias("v"))))
-    pieces = [F.coalesce(p, F.expr("cast(array() as array<struct<c:string,v:string>>)")) for p in pieces]
-    long = daily.select(
-        "period", *keys, "__n", F.explode(F.concat(*pieces)).alias("__cv")
-    ).where(F.col("__cv.v").isNotNull())
-    names = {(c, str(v)): n for c, n, v in named}
-    tag = F.concat_ws("\x1f", F.col("__cv.c"), F.col("__cv.v"))
+            values = F.array_compact(F.array(quoted(column).cast("string")))
+        return F.transform(values, lambda value: F.concat(F.lit(column + _TAG), value))
+
+    tags = F.concat(*[tagged(c) for c in [*source.one_hot, *source.labels]])
+    names = {column + _TAG + str(value): name for column, name, value in named}
     pivoted = (
-        long.select("period", *keys, tag.alias("__tag"), "__n")
+        daily.select("period", *keys, F.explode(tags).alias("__tag"), "__n")
         .groupBy("period", *keys)
-        .pivot("__tag", ["\x1f".join(pair) for pair in names])
+        .pivot("__tag", list(names))
         .agg(F.sum("__n").cast("bigint"))
         .toDF("period", *keys, *names.values())
     )
