@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date, timedelta
 
@@ -36,16 +37,37 @@ def date_text(value: Column | str) -> Column:
     return first_part(value, " ")
 
 
+_DIGITS = {"yyyy": r"\d{4}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}",
+           "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}"}
+
+
+def format_shape(fmt: str) -> str:
+    """Regular expression for the texts a date format can read."""
+    shape = ""
+    for piece in re.findall(r"yyyy|MM?|dd?|HH?|mm|ss|'[^']*'|.", fmt):
+        shape += _DIGITS.get(piece) or re.escape(piece.strip("'"))
+    return f"^{shape}$"
+
+
+def _try_formats(value: Column, formats: Sequence[str], parse) -> Column:
+    """First format whose shape fits and that parses.
+
+    The shape test comes first because a failed parse costs far more than a
+    failed match.
+    """
+    return F.coalesce(*[F.when(value.rlike(format_shape(fmt)), parse(value, fmt)) for fmt in formats])
+
+
 def parse_date(value: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Day of a text, trying the formats in order; null when none fits (see ``count_rejects``)."""
-    return F.coalesce(*[F.try_to_date(_col(value), fmt) for fmt in formats])
+    return _try_formats(_col(value), formats, F.try_to_date)
 
 
 def parse_timestamp(
     value: Column | str, formats: Sequence[str] = DATETIME_FORMATS + DATE_FORMATS
 ) -> Column:
-    parsed = [F.try_to_timestamp(_col(value), F.lit(fmt)) for fmt in formats]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    parsed = _try_formats(_col(value), formats, lambda text, fmt: F.try_to_timestamp(text, F.lit(fmt)))
+    return parsed.cast("timestamp_ntz")
 
 
 def count_rejects(raw: Column | str, parsed: Column | str) -> Column:

@@ -20,11 +20,16 @@ TRAIN_UNTIL = "1999-12-31"
 VALIDATION_UNTIL = "1998-12-31"
 
 _written: dict[tuple[str, str], tuple[str, list[str]]] = {}
+_held: dict[tuple[str, str], evaluation.Dataset] = {}
+
+
+def _session_key(t: Tables) -> tuple[str, str]:
+    return (t.spark.sparkContext.applicationId, t.folder)
 
 
 def training_table(t: Tables):
     """The monthly panel as a written table, and its feature names."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    key = _session_key(t)
     if key not in _written:
         result = order_panel(t, "month", min_ratio=0.0001)
         folder = sinks.write_training_matrix(result.panel, scratch_folder(t.spark, "training-matrix"))
@@ -34,10 +39,14 @@ def training_table(t: Tables):
 
 
 def dataset(t: Tables) -> evaluation.Dataset:
-    panel, features = training_table(t)
-    return evaluation.hold(
-        evaluation.prepare_dataset(panel, features, AREA, TRAIN_UNTIL, VALIDATION_UNTIL)
-    )
+    """Assembled vectors, kept for all model queries of the session."""
+    key = _session_key(t)
+    if key not in _held:
+        panel, features = training_table(t)
+        _held[key] = evaluation.hold(
+            evaluation.prepare_dataset(panel, features, AREA, TRAIN_UNTIL, VALIDATION_UNTIL)
+        )
+    return _held[key]
 
 
 def small_forest(**params):
