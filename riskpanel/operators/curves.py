@@ -1,8 +1,7 @@
 """ROC curves, areas and bands as relational operations.
 
 Scores are first reduced to one row per distinct score. Running counts come
-from the two-level scan in ``timeorder``, so neither a global window nor a
-collect is needed. Every counted row knows the point before it (its running
+from ``timeorder``, which never scans an unbounded group in one task. Every counted row knows the point before it (its running
 counts minus its own counts), which gives areas and interpolation without a
 lag.
 """
@@ -14,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .columns import quoted
-from .timeorder import running_sums
+from .timeorder import GROUP_LIMIT, running_sums
 
 GRID_POINTS = 100
 
@@ -27,7 +26,9 @@ def score_counts(df: DataFrame, score: str, label: str, groups: Sequence[str] =
     )
 
 
-def roc_steps(df: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:
+def roc_steps(
+    df: DataFrame, score: str, label: str, groups: Sequence[str] = (), group_limit: int = GROUP_LIMIT
+) -> DataFrame:
     """Running counts per distinct score, highest score first, with the group totals."""
     groups = list(groups)
     counts = score_counts(df, score, label, groups)
@@ -37,6 +38,7 @@ def roc_steps(df: DataFrame, score: str, label: str, groups: Sequence[str] = ())
         [F.col("score").desc()],
         {"tp": F.col("pos"), "fp": F.col("neg")},
         {"next_pos": F.col("pos"), "next_neg": F.col("neg")},
+        group_limit,
     )
     totals = counts.groupBy(*groups).agg(
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")
@@ -57,7 +59,12 @@ def _rates() -> dict[str, Column]:
 
 
 def roc_curve(
-    df: DataFrame, score: str, label: str, groups: Sequence[str] = (), drop_collinear: bool = True
+    df: DataFrame,
+    score: str,
+    label: str,
+    groups: Sequence[str] = (),
+    drop_collinear: bool = True,
+    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Points (fpr, tpr, threshold) per group, with a leading (0, 0) without a threshold.
 
@@ -65,7 +72,7 @@ def roc_curve(
     counts equal the counts of the next score.
     """
     groups = list(groups)
-    steps = roc_steps(df, score, label, groups)
+    steps = roc_steps(df, score, label, groups, group_limit)
     first = steps.select(*groups).distinct() if groups else None
     if drop_collinear:
         inner = (

@@ -107,6 +107,7 @@ def merge_bounds(bounds: Sequence[tuple]) -> list[tuple]:
 def spine(areas: DataFrame, bounds: Sequence[tuple], period: str, keys: Sequence[str]) -> DataFrame:
     """Every area in every period of the given ranges, generated per area without a join."""
     ranges = [period_range(F.lit(low), F.lit(high), period) for low, high in bounds]
+    ranges = ranges or [F.array().cast("array<date>")]
     periods = ranges[0] if len(ranges) == 1 else F.array_distinct(F.concat(*ranges))
     return areas.select(*keys).distinct().select(F.explode(periods).alias("period"), *keys)
 
@@ -158,32 +159,33 @@ def read_categories(
     sources: Sequence[EventSource], keys: Sequence[str], limit: int = MAX_CATEGORIES
 ) -> dict[tuple[str, str], list]:
     """Sorted value lists of all one-hot and label columns, read in one job."""
-    return survey({s.name: (s, s.rows(keys)) for s in sources}, None, limit)[0]
+    return survey({s.name: (s, s.rows(keys)) for s in sources}, False, limit)[0]
 
 
 def survey(
-    tables: Mapping[str, tuple[EventSource, DataFrame]], period: str | None, limit: int = MAX_CATEGORIES
+    tables: Mapping[str, tuple[EventSource, DataFrame]], with_bounds: bool = True, limit: int = MAX_CATEGORIES
 ) -> tuple[dict[tuple[str, str], list], dict[str, tuple]]:
     """(value lists, period bounds) of several sources in one job.
 
     The value lists are those of the one-hot and label columns; target events
     do not contribute. A column with more than ``limit`` values raises; lists
-    are never cut. With ``period`` the first and last period are added.
+    are never cut. ``with_bounds`` adds the first and last period of rows that
+    carry a ``period``.
     """
     lists: dict[tuple[str, str], list] = {}
     bounds: dict[str, tuple] = {}
     parts = []
     no_date = F.lit(None).cast("date")
     for source, rows in tables.values():
-        if period is not None:
-            extremes = rows.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi"))
+        if with_bounds:
+            extremes = rows.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
             parts.append(
                 extremes.select(
                     F.lit(source.name).alias("source"),
                     F.lit(None).cast("string").alias("column"),
                     F.lit(None).cast("string").alias("value"),
-                    period_end("lo", period).alias("lo"),
-                    period_end("hi", period).alias("hi"),
+                    "lo",
+                    "hi",
                 )
             )
         if source.target is not None:
@@ -230,14 +232,23 @@ def before_first_target(daily: DataFrame, first: DataFrame, keys: Sequence[str])
     return joined.where(F.col("event_date") <= last).drop("__first")
 
 
-def source_daily(source: EventSource, keys: Sequence[str], period: str) -> DataFrame:
+def source_daily(
+    source: EventSource, keys: Sequence[str], period: str, by_day: bool = True
+) -> DataFrame:
     """Pre-count a source per (period, area, date, values) before anything is joined.
 
     This bounds what a hot area can send to one task by its dates and value
-    combinations, whatever its number of events.
+    combinations, whatever its number of events. ``by_day`` raises a time of
+    day to the next midnight: against a cutoff at midnight that changes no
+    comparison, and it keeps the number of dates small. It must be off where
+    the target times have a time of day.
     """
     values = [*source.one_hot, *source.labels] + ([] if source.target is None else [IS_TARGET])
     rows = add_period(source.rows(keys), "event_date", period)
+    if by_day and not _is_date(source):
+        day = F.col("event_date").cast("date")
+        later = F.col("event_date").cast("timestamp_ntz") > day.cast("timestamp_ntz")
+        rows = rows.withColumn("event_date", F.date_add(day, F.when(later, 1).otherwise(0)))
     group = dict.fromkeys(["period", *keys, "event_date", *values])
     return rows.groupBy(*[quoted(c) for c in group]).agg(
         F.count(F.lit(1)).alias("__n"),
@@ -245,6 +256,10 @@ def source_daily(source: EventSource, keys: Sequence[str], period: str) -> DataF
     )
 
 
+def _is_date(source: EventSource) -> bool:
+    return dict(source.events.dtypes)[source.date] == "date"
+
+
 def _value_columns(source: EventSource, lists: Mapping[tuple[str, str], list]) -> list[tuple[str, str, object]]:
     """(column, output name, value) for every counted value of a source, names unique."""
     pairs = [
@@ -326,7 +341,9 @@ def source_counts(
     daily: DataFrame | None = None,
 ) -> DataFrame:
     """Wide counts of one source, from its ``daily`` rows where they already exist."""
-    daily = source_daily(source, keys, period) if daily is None else daily
+    if daily is None:
+        by_day = first is None or dict(first.dtypes)["first_date"] == "date"
+        daily = source_daily(source, keys, period, by_day)
     if source.target is not None:
         daily = daily.where(~F.col(IS_TARGET)).drop(IS_TARGET)
     if source.cutoff:
@@ -344,6 +361,30 @@ def densify(counts: DataFrame, universe: DataFrame, keys: Sequence[str]) -> Data
     )
 
 
+def source_panel(
+    source: EventSource,
+    areas: DataFrame,
+    keys: Sequence[str],
+    period: str = "year",
+    first: DataFrame | None = None,
+) -> DataFrame:
+    """Dense counts of one source over its own periods, from one pass over its events.
+
+    A source with a ``target`` is cut off at its own first target dates, any
+    other one at those in ``first``.
+    """
+    keys = list(keys)
+    by_day = _is_date(source) if source.target is not None else (
+        first is None or dict(first.dtypes)["first_date"] == "date"
+    )
+    daily = cut_lineage(source_daily(source, keys, period, by_day))
+    lists, bounds = survey({source.name: (source, daily)})
+    if source.target is not None:
+        first = label_of(daily, "event_date", F.col(IS_TARGET), keys)
+    counts = source_counts(source, keys, period, lists, first, daily)
+    return densify(counts, spine(areas.na.drop(), list(bounds.values()), period, keys), keys)
+
+
 # ---------------------------------------------------------------- the whole panel
 
 
@@ -393,8 +434,9 @@ def build_panel(
         raise ValueError("exactly one source must have a target")
     base = base[0]
     areas = areas.select(*keys).na.drop().distinct()
-    daily = _write_all({s.name: source_daily(s, keys, period) for s in sources})
-    lists, bounds = survey({s.name: (s, daily[s.name]) for s in sources}, period)
+    by_day = _is_date(base)
+    daily = _write_all({s.name: source_daily(s, keys, period, by_day) for s in sources})
+    lists, bounds = survey({s.name: (s, daily[s.name]) for s in sources})
     span = [bounds[base.name]] if base.name in bounds else []
     further = [s for s in sources if s is not base and s.name in bounds]
 

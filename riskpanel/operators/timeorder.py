@@ -1,11 +1,12 @@
 """Order-dependent operators that survive a hot key or a hot period.
 
-A window over one big group would run in one task. Here rows are range
-partitioned on their total order, so that a hot group is spread over many
-partitions; each partition is scanned on its own and a small table with one
-row per (group, partition) carries totals from one partition to the next.
-The range-partitioned rows are written to the checkpoint folder, because both
-steps must see the same partitions.
+A window over one big group would run in one task. The size of the largest
+group is therefore counted first. Up to ``GROUP_LIMIT`` rows a plain window is
+used. Beyond it rows are range partitioned on their total order, so that a hot
+group is spread over many partitions; each partition is scanned on its own and
+a small table with one row per (group, partition) carries totals from one
+partition to the next. The range-partitioned rows are written to the checkpoint
+folder, because both steps must see the same partitions. Both ways are exact.
 """
 
 from __future__ import annotations
@@ -19,6 +20,15 @@ from .columns import quoted
 
 _PID = "__part"
 
+# Largest group that a single task may scan in a window.
+GROUP_LIMIT = 1_000_000
+
+
+def largest_group(df: DataFrame, groups: Sequence[str]) -> int:
+    """Rows of the largest group; only the group columns are read and counts are partially aggregated."""
+    counts = df.groupBy(*[quoted(g) for g in groups]).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.agg(F.max("__n")).first()[0] or 0
+
 
 def range_partitioned(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Rows in total order over partitions, with the partition number as a column."""
@@ -44,6 +54,7 @@ def running_sums(
     order: Sequence[Column],
     sums: Mapping[str, Column],
     following: Mapping[str, Column] | None = None,
+    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Add cumulative sums per group in the given order (the current row included).
 
@@ -52,6 +63,14 @@ def running_sums(
     """
     groups = list(groups)
     following = dict(following or {})
+    if largest_group(df, groups) <= group_limit:
+        whole = Window.partitionBy(*groups).orderBy(*order)
+        upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(
+            "*",
+            *[F.coalesce(F.sum(value).over(upto), F.lit(0)).alias(name) for name, value in sums.items()],
+            *[F.lead(value).over(whole).alias(name) for name, value in following.items()],
+        )
     ordered = range_partitioned(
         df.select(
             "*",
@@ -88,7 +107,9 @@ def running_sums(
     return joined.select(
         *[quoted(c) for c in df.columns],
         *[
-            (F.coalesce(F.col(f"__carry_{name}"), F.lit(0)) + F.col(f"__run_{name}")).alias(name)
+            (
+                F.coalesce(F.col(f"__carry_{name}"), F.lit(0)) + F.coalesce(F.col(f"__run_{name}"), F.lit(0))
+            ).alias(name)
             for name in sums
         ],
         *[
@@ -98,10 +119,25 @@ def running_sums(
     )
 
 
-def forward_fill(df: DataFrame, groups: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def forward_fill(
+    df: DataFrame,
+    groups: Sequence[str],
+    order: Sequence[str],
+    columns: Sequence[str],
+    group_limit: int = GROUP_LIMIT,
+) -> DataFrame:
     """Replace nulls by the last earlier value of the group; ``order`` must be unique in a group."""
     groups = list(groups)
     sort = [quoted(c).asc() for c in order]
+    if largest_group(df, groups) <= group_limit:
+        window = Window.partitionBy(*groups).orderBy(*sort)
+        seen = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(
+            *[
+                F.last(quoted(c), ignorenulls=True).over(seen).alias(c) if c in columns else quoted(c)
+                for c in df.columns
+            ]
+        )
     ordered = range_partitioned(df, [*[quoted(g).asc() for g in groups], *sort])
     key = F.struct(*[quoted(c) for c in order])
     # Null order keys would leave max_by without a winner; a struct is never null itself.

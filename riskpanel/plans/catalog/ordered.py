@@ -8,15 +8,14 @@ from ...operators import curves, timeorder
 from .base import Tables, query, rounded
 
 
-@query(
-    "forward_fill",
-    """SELECT event_id, user_id, last_value(CASE WHEN event_type <> 'view' THEN value END IGNORE NULLS)
+_FILL_SQL = """SELECT event_id, user_id, last_value(CASE WHEN event_type <> 'view' THEN value END IGNORE NULLS)
                 OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value,
               last_value(CASE WHEN event_type = 'error' THEN event_type END IGNORE NULLS)
                 OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_error
-       FROM events""",
-)
-def forward_fill(t: Tables):
+       FROM events"""
+
+
+def _fill(t: Tables, **options):
     events = t.events.select(
         "event_id",
         "user_id",
@@ -24,7 +23,19 @@ def forward_fill(t: Tables):
         F.when(F.col("event_type") != "view", F.col("value")).alias("value"),
         F.when(F.col("event_type") == "error", F.col("event_type")).alias("last_error"),
     )
-    return timeorder.forward_fill(events, ["user_id"], ["ts", "event_id"], ["value", "last_error"]).drop("ts")
+    filled = timeorder.forward_fill(events, ["user_id"], ["ts", "event_id"], ["value", "last_error"], **options)
+    return filled.drop("ts")
+
+
+@query("forward_fill", _FILL_SQL)
+def forward_fill(t: Tables):
+    return _fill(t)
+
+
+@query("forward_fill_hot", _FILL_SQL)
+def forward_fill_hot(t: Tables):
+    """The same over range partitions, as for groups too large for one task."""
+    return _fill(t, group_limit=0)
 
 
 @query(
@@ -35,7 +46,7 @@ def forward_fill(t: Tables):
        FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
 )
 def running_totals(t: Tables):
-    """The two-level scan on five hot groups."""
+    """The two-level scan, taken whatever the group sizes, on five hot groups."""
     cents = F.floor(F.col("value") * 100 + 0.5).cast("bigint")
     scanned = timeorder.running_sums(
         t.events.select("event_id", "event_type", "ts", "user_id", "value"),
@@ -43,6 +54,7 @@ def running_totals(t: Tables):
         [F.col("ts").asc(), F.col("event_id").asc()],
         {"total": cents, "seen": F.lit(1).cast("bigint")},
         {"next_user": F.col("user_id")},
+        group_limit=0,
     )
     return scanned.select("event_id", "event_type", "total", "seen", "next_user")
 
@@ -155,7 +167,7 @@ def roc_points_prices(t: Tables):
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
         F.col("l_linestatus").alias("model"),
     )
-    return curves.roc_curve(lines, "score", "label", ["model"])
+    return curves.roc_curve(lines, "score", "label", ["model"], group_limit=0)
 
 
 _AREA_SQL = "sum(neg * (2 * tp - pos)) / (2.0 * any_value(positives) * any_value(negatives))"

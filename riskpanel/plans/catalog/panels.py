@@ -99,12 +99,7 @@ _INCIDENT_COLUMNS_SQL = """coalesce(n2, 0) AS "incident__2-HIGH", coalesce(n3, 0
 )
 def panel_counts(t: Tables, period: str = "year"):
     """Counts per code up to the first target of the (period, area), zero filled."""
-    orders = placed_orders(t)
-    source = incident_source(t, orders)
-    lists = p.read_categories([source], AREA)
-    first = p.first_target_dates(orders, "order_date", is_target(), AREA, period)
-    counts = p.source_counts(source, AREA, period, lists, first)
-    return p.densify(counts, p.spine(areas(t), _bounds(orders, "order_date", period), period, AREA), AREA)
+    return p.source_panel(incident_source(t), areas(t), AREA, period)
 
 
 _CUT_LINES_SQL = """
@@ -137,11 +132,8 @@ _INSPECTION_COLUMNS_SQL = """coalesce(r_a, 0) AS inspection__A, coalesce(r_n, 0)
 )
 def panel_multilabel(t: Tables):
     """Counts per result and per label up to the first target; a label named like a result gets a number."""
-    source = inspection_source(t)
-    lists = p.read_categories([source], AREA)
     first = p.first_target_dates(placed_orders(t), "order_date", is_target(), AREA)
-    counts = p.source_counts(source, AREA, "year", lists, first)
-    return p.densify(counts, p.spine(areas(t), _bounds(source.events, "ship_date", "year"), "year", AREA), AREA)
+    return p.source_panel(inspection_source(t), areas(t), AREA, "year", first)
 
 
 _LIEN_SQL = """
@@ -161,9 +153,7 @@ _LIEN_COLUMNS_SQL = """coalesce(l_f, 0) AS lien__F, coalesce(l_p, 0) AS lien__P,
 )
 def panel_amounts(t: Tables):
     """Class counts and amounts of the whole period, without a cutoff."""
-    source = lien_source(t)
-    counts = p.source_counts(source, AREA, "year", p.read_categories([source], AREA))
-    return p.densify(counts, p.spine(areas(t), _bounds(source.events, "order_date", "year"), "year", AREA), AREA)
+    return p.source_panel(lien_source(t), areas(t), AREA)
 
 
 @query(

@@ -181,3 +181,26 @@ def test_gap_years_and_row_order(spark):
     assert results[0] == results[1]
     assert len(results[0]) == 12
     assert (2010, 1, 1, 1) in results[0] and (2013, 2, 0, 1) in results[0] and (2011, 3, 0, 0) in results[0]
+
+
+def test_times_of_day_against_a_midnight_cutoff(spark):
+    areas = spark.createDataFrame([(1,), (2,)], "area int")
+    calls = spark.createDataFrame([(dt.date(2010, 5, 1), 1, "1x"), (dt.date(2010, 1, 1), 2, "2x")], "day date, area int, code string")
+    stamps = [(2010, 5, 1, 0), (2010, 5, 1, 9), (2010, 4, 30, 23), (2010, 12, 31, 5)]
+    visits = spark.createDataFrame(
+        [(dt.datetime(*s), a, "v") for s in stamps for a in (1, 2)], "at timestamp_ntz, area int, what string"
+    )
+    target = EventSource("call", calls, "day", one_hot=["code"], target=calls["code"].startswith("1"))
+    visit = EventSource("visit", visits, "at", one_hot=["what"])
+    panel = build_panel(areas, [target, visit], ["area"]).panel
+    # Area 1 is cut at midnight of May 1; area 2 at midnight of December 31.
+    assert {(r["period"].year, r["area"]): r["visit__v"] for r in panel.collect()} == {(2010, 1): 2, (2010, 2): 3}
+
+
+def test_target_times_of_day_are_compared_exactly(spark):
+    areas = spark.createDataFrame([(1,)], "area int")
+    rows = [(dt.datetime(2010, 5, 1, 12), "1x"), (dt.datetime(2010, 5, 1, 11), "2x"), (dt.datetime(2010, 5, 1, 13), "2x")]
+    calls = spark.createDataFrame([(d, 1, c) for d, c in rows], "at timestamp_ntz, area int, code string")
+    source = EventSource("call", calls, "at", one_hot=["code"], target=calls["code"].startswith("1"))
+    row = build_panel(areas, [source], ["area"]).panel.first()
+    assert row["target"] == 1 and row["call__2x"] == 1

@@ -23,7 +23,10 @@ def test_not_matching_is_anchored_and_keeps_null(spark):
 
 def test_drop_rare(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",), ("1c",), (None,)], "code string")
-    assert rows(filters.drop_rare(df, "code", 2, "1")) == [(None,), ("1c",), ("a",), ("a",), ("a",)]
+    expected = [(None,), ("1c",), ("a",), ("a",), ("a",)]
+    assert rows(filters.drop_rare(df, "code", 2, "1")) == expected
+    assert rows(filters.drop_rare(df, "code", 2, "1", max_listed=0)) == expected
+    assert rows(filters.drop_rare(df, "code", 1)) == rows(df)
 
 
 def test_strict_drop(spark):

@@ -32,9 +32,10 @@ def groups(data):
     return found
 
 
-def test_auc_and_grid(scored):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_auc_and_grid(scored, limit):
     data, df = scored
-    steps = curves.roc_steps(df, "score", "label", ["model", "fold"]).cache()
+    steps = curves.roc_steps(df, "score", "label", ["model", "fold"], limit).cache()
     areas = {(r["model"], r["fold"]): r["auc"] for r in curves.auc_from_steps(steps, ["model", "fold"]).collect()}
     grid = {}
     for r in curves.roc_on_grid(steps, ["model", "fold"]).collect():

@@ -26,7 +26,8 @@ def by_group(data):
     return groups
 
 
-def test_forward_fill(hot):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_forward_fill(hot, limit):
     data, df = hot
     expected = set()
     for rows in by_group(data).values():
@@ -34,10 +35,11 @@ def test_forward_fill(hot):
         for g, i, v, w in rows:
             last = v if v is not None else last
             expected.add((g, i, last, w))
-    assert {tuple(r) for r in timeorder.forward_fill(df, ["g"], ["i"], ["v"]).collect()} == expected
+    assert {tuple(r) for r in timeorder.forward_fill(df, ["g"], ["i"], ["v"], limit).collect()} == expected
 
 
-def test_running_sums_and_following(hot):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_running_sums_and_following(hot, limit):
     data, df = hot
     expected = set()
     for rows in by_group(data).values():
@@ -45,16 +47,19 @@ def test_running_sums_and_following(hot):
         for n, (g, i, v, w) in enumerate(rows):
             total += w
             expected.add((g, i, total, rows[n + 1][3] if n + 1 < len(rows) else None))
-    out = timeorder.running_sums(df, ["g"], [F.col("i").asc()], {"t": F.col("w")}, {"nw": F.col("w")})
+    out = timeorder.running_sums(df, ["g"], [F.col("i").asc()], {"t": F.col("w")}, {"nw": F.col("w")}, limit)
     assert {tuple(r) for r in out.select("g", "i", "t", "nw").collect()} == expected
 
 
-def test_hot_group_is_spread(hot):
-    _, df = hot
-    parts = timeorder.range_partitioned(
-        df.repartition(8), [F.col("g").asc(), F.col("i").asc()]
-    ).where("g = 'hot'").select("__part").distinct().count()
-    assert parts >= 1
+def test_hot_group_is_spread(spark):
+    df = spark.range(20000).select(F.lit("hot").alias("g"), F.col("id").alias("i")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = timeorder.range_partitioned(df, [F.col("g").asc(), F.col("i").asc()]).groupBy("__part").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 5000
+    assert timeorder.largest_group(df, ["g"]) == 20000 and timeorder.largest_group(df.limit(0), ["g"]) == 0
 
 
 @pytest.mark.parametrize("n,k", [(10, 3), (11, 3), (3, 3), (2, 3), (97, 7)])
