@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .columns import quoted
 from .timeorder import GROUP_LIMIT, running_sums
 
@@ -31,7 +32,8 @@ def roc_steps(
 ) -> DataFrame:
     """Running counts per distinct score, highest score first, with the group totals."""
     groups = list(groups)
-    counts = score_counts(df, score, label, groups)
+    # Read three times below: one row per distinct score, written once.
+    counts = cut_lineage(score_counts(df, score, label, groups))
     steps = running_sums(
         counts,
         groups,

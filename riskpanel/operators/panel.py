@@ -17,7 +17,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import next_period_end, period_end, period_range
-from ..functions.numbers import money_sum
 from ..functions.text import LABEL_SEPARATOR, split_labels
 from ..session import cut_lineage, run_parallel
 from .columns import (
@@ -44,7 +43,8 @@ class EventSource:
 
     ``one_hot`` and ``labels`` name the columns counted per value; ``values``
     may fix their value lists, otherwise they are read from the data. ``sums``
-    are added up (decimals inside, so the order of rows does not matter).
+    are added up as ``sum_type``, by default in decimals so that the order of
+    rows does not matter; what cannot be read as that type counts as missing.
     ``target`` marks target events: they make the label and are not counted.
     ``cutoff`` keeps only events up to the first target date.
     """
@@ -58,6 +58,7 @@ class EventSource:
     target: Column | None = None
     cutoff: bool = True
     separator: str = LABEL_SEPARATOR
+    sum_type: str = "decimal(18,2)"
     values: Mapping[str, Sequence] = field(default_factory=dict)
 
     def rows(self, keys: Sequence[str]) -> DataFrame:
@@ -252,7 +253,7 @@ def source_daily(
     group = dict.fromkeys(["period", *keys, "event_date", *values])
     return rows.groupBy(*[quoted(c) for c in group]).agg(
         F.count(F.lit(1)).alias("__n"),
-        *[F.sum(quoted(c).cast("decimal(18,2)")).alias(c) for c in source.sums],
+        *[F.sum(quoted(c).try_cast(source.sum_type)).alias(c) for c in source.sums],
     )
 
 
@@ -440,7 +441,8 @@ def build_panel(
     span = [bounds[base.name]] if base.name in bounds else []
     further = [s for s in sources if s is not base and s.name in bounds]
 
-    label = label_of(daily[base.name], "event_date", F.col(IS_TARGET), keys)
+    # One row per (period, area) with events; every cutoff and the panel itself read it.
+    label = cut_lineage(label_of(daily[base.name], "event_date", F.col(IS_TARGET), keys))
     counts = {s.name: source_counts(s, keys, period, lists, label, daily[s.name]) for s in sources}
 
     keep = None

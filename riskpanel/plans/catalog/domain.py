@@ -209,7 +209,7 @@ _INCIDENTS_SQL = """
 incidents AS (
   SELECT DISTINCT substr(o_orderpriority, 1, 1) || '35 - ' || substr(o_orderpriority, 3) AS code,
          replace(c_name, '#', ' ') AS street, CAST(c_nationkey AS VARCHAR) AS number,
-         CAST(o_orderdate AS DATE) AS CALL_CREATED_DATE, CAST(year(o_orderdate) AS INTEGER) AS fire_year
+         CAST(o_orderdate AS DATE) AS CALL_CREATED_DATE, CAST(year(o_orderdate) AS INTEGER) AS incident_year
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice <= 490000 AND o_totalprice >= 1200),
 incident_areas AS (
   SELECT DISTINCT CALL_CREATED_DATE, code, tract, block
@@ -295,7 +295,7 @@ def lien_areas(t: Tables):
     return cleaning.events_to_areas(lien_clean(t), parcel_areas(t), "pin")
 
 
-@query("incident_clean", f"WITH {_SHAPES_SQL}, {_INCIDENTS_SQL} SELECT code, street, number, CALL_CREATED_DATE, fire_year FROM incidents")
+@query("incident_clean", f"WITH {_SHAPES_SQL}, {_INCIDENTS_SQL} SELECT code, street, number, CALL_CREATED_DATE, incident_year FROM incidents")
 def incident_clean(t: Tables):
     """Both incident files; rare codes (odd ones, once each) and excluded codes are gone."""
     return cleaning.clean_incidents(incidents_old(t), incidents_new(t), RARE)

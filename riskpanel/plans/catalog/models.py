@@ -59,7 +59,18 @@ def _report(t: Tables, name: str, learner):
     return models.model_report(name, model, data.test)
 
 
-@query("training_matrix")
+@query(
+    "training_matrix",
+    """WITH placed AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS month, c_nationkey, c_mktsegment, o_orderpriority
+                    FROM orders JOIN customer ON o_custkey = c_custkey),
+            areas AS (SELECT count(*) AS n FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)),
+            months AS (SELECT CAST(unnest(generate_series(date_trunc('month', min(month)), max(month), INTERVAL 1 MONTH)) AS DATE) AS m
+                       FROM placed),
+            hit AS (SELECT DISTINCT month, c_nationkey, c_mktsegment FROM placed WHERE o_orderpriority LIKE '1%')
+       SELECT CAST(year(m) AS INTEGER) AS year, CAST(count(*) * (SELECT n FROM areas) AS BIGINT) AS rows,
+              CAST(sum((SELECT count(*) FROM hit WHERE month = last_day(m))) AS BIGINT) AS targets
+       FROM months GROUP BY 1""",
+)
 def training_matrix(t: Tables):
     """Rows and targets of the written panel per year."""
     panel, _ = training_table(t)

@@ -70,7 +70,7 @@ def first_target_date(t: Tables):
 @query(
     "panel_label",
     f"""WITH {PLACED_ORDERS_SQL}
-       SELECT period, nation, segment, CASE WHEN first_date IS NULL THEN 0 ELSE 1 END AS target
+       SELECT period, nation, segment, CAST(CASE WHEN first_date IS NULL THEN 0 ELSE 1 END AS BIGINT) AS target
        FROM spine LEFT JOIN first USING (period, nation, segment)""",
 )
 def panel_label(t: Tables):
@@ -160,7 +160,7 @@ def panel_amounts(t: Tables):
     "panel_assembled",
     f"""WITH {PLACED_ORDERS_SQL}, {_CUT_ORDERS_SQL}, {_CUT_LINES_SQL}, {_LIEN_SQL},
        suppliers AS (SELECT CAST(s_nationkey AS BIGINT) AS nation, count(*) AS suppliers FROM supplier GROUP BY 1)
-       SELECT period, nation, segment, CASE WHEN first_date IS NULL THEN 0 ELSE 1 END AS target,
+       SELECT period, nation, segment, CAST(CASE WHEN first_date IS NULL THEN 0 ELSE 1 END AS BIGINT) AS target,
               {_INCIDENT_COLUMNS_SQL}, {_INSPECTION_COLUMNS_SQL}, {_LIEN_COLUMNS_SQL},
               CAST(coalesce(suppliers, 0) AS BIGINT) AS suppliers
        FROM spine LEFT JOIN first USING (period, nation, segment) LEFT JOIN incident USING (period, nation, segment)
@@ -208,7 +208,7 @@ def panel_pruned(t: Tables):
 @query(
     "panel_all_periods",
     f"""WITH {PLACED_ORDERS_SQL}, {_CUT_LINES_SQL}
-       SELECT period, nation, segment, CASE WHEN first_date IS NULL THEN 0 ELSE 1 END AS target,
+       SELECT period, nation, segment, CAST(CASE WHEN first_date IS NULL THEN 0 ELSE 1 END AS BIGINT) AS target,
               CAST(coalesce(r_a + r_n + r_r, 0) AS BIGINT) AS inspections
        FROM (SELECT * FROM spine UNION SELECT * FROM line_spine)
        LEFT JOIN first USING (period, nation, segment) LEFT JOIN inspection USING (period, nation, segment)""",

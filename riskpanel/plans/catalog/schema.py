@@ -116,8 +116,8 @@ def fill_group_const(t: Tables):
 @query(
     "one_hot_single",
     """SELECT l_orderkey, l_linenumber,
-              CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS flag__A,
-              CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS flag__R FROM lineitem""",
+              CAST(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS BIGINT) AS flag__A,
+              CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS BIGINT) AS flag__R FROM lineitem""",
 )
 def one_hot_single(t: Tables):
     """Values are read from the data; a null (flag N) has zeros everywhere."""
@@ -128,10 +128,10 @@ def one_hot_single(t: Tables):
 @query(
     "one_hot_multi",
     """SELECT l_orderkey, l_linenumber,
-              CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS label__A,
-              CASE WHEN l_returnflag <> 'N' AND l_linestatus = 'F' THEN 1 ELSE 0 END AS label__F,
-              CASE WHEN l_returnflag <> 'N' AND l_linestatus = 'O' THEN 1 ELSE 0 END AS label__O,
-              CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label__R FROM lineitem""",
+              CAST(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS BIGINT) AS label__A,
+              CAST(CASE WHEN l_returnflag <> 'N' AND l_linestatus = 'F' THEN 1 ELSE 0 END AS BIGINT) AS label__F,
+              CAST(CASE WHEN l_returnflag <> 'N' AND l_linestatus = 'O' THEN 1 ELSE 0 END AS BIGINT) AS label__O,
+              CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS BIGINT) AS label__R FROM lineitem""",
 )
 def one_hot_multi(t: Tables):
     """Labels ' F :: R :: F :: ' style: repeats and empty labels count once or not at all."""

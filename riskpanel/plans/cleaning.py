@@ -200,7 +200,7 @@ def clean_incidents(
             "CALL_CREATED_DATE": parse_date(date_text("CALL_CREATED_DATE")),
         }
     )
-    rows = rows.withColumn("fire_year", F.year("CALL_CREATED_DATE"))
+    rows = rows.withColumn("incident_year", F.year("CALL_CREATED_DATE"))
     rows = drop_rare(rows, "code", rare_count, TARGET_PREFIX)
     # An intersection keeps its first street, with the blank before the slash.
     rows = rows.withColumn("street", first_part("street", "/"))

@@ -13,6 +13,7 @@ from ..operators.aggregate import best_row, top_k, union_all_names
 from ..operators.curves import roc_band
 from ..operators.metrics import classification_report, confusion_cells, risk_histogram
 from ..operators.timeorder import expanding_folds, forward_fill
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -138,8 +139,7 @@ def curve_bands(
 ) -> tuple[DataFrame, DataFrame]:
     """ROC bands and mean areas of several models over expanding folds of the training rows."""
     folded = models.hold(expanding_folds(data.train, data.order, n_splits))
-    scores = models.fold_scores(folded, learners, n_splits, parallelism)
-    band, areas = roc_band(scores, "score", "label")
-    # The steps behind both tables are already written, so the vectors can go.
+    # Both tables read the scores, so the models run once and the vectors can go.
+    scores = cut_lineage(models.fold_scores(folded, learners, n_splits, parallelism))
     folded.unpersist()
-    return band, areas
+    return roc_band(scores, "score", "label")

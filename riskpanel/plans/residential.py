@@ -111,9 +111,13 @@ def residential_panel(
     until: str | None = PANEL_END,
     liens_cutoff: bool = False,
     keep_unmatched_periods: bool = False,
+    lien_sums: Sequence[str] = ("amount",),
     values: Mapping[str, Mapping[str, Sequence]] | None = None,
 ) -> PanelResult:
-    """Label, counts before the first target, liens of the year and the encoded profile."""
+    """Label, counts before the first target, liens of the year and the encoded profile.
+
+    ``lien_sums`` may also name ``satisfied`` where that column is numeric.
+    """
     values = values or {}
     sources = [
         EventSource(
@@ -137,7 +141,7 @@ def residential_panel(
             prepared.liens,
             "tax_year",
             one_hot=["lien_description"],
-            sums=["amount"],
+            sums=lien_sums,
             cutoff=liens_cutoff,
             values=values.get("lien", {}),
         ),

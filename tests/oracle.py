@@ -37,22 +37,19 @@ def plain(value):
     return value
 
 
-def kind(name: str) -> str:
-    name = name.lower()
-    if any(word in name for word in ("int", "long", "short")):
-        return "int"
-    if "double" in name or "float" in name or "decimal" in name or "number" in name:
-        return "float"
-    if name.startswith("timestamp") or "datetime" in name:
-        return "timestamp"
-    return {"varchar": "string"}.get(name, name)
+# Spark type to the DuckDB type that holds the same values.
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
 
 
 def duck_rows(con, sql: str):
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
-    types = {d[0]: kind(str(d[1])) for d in cursor.description}
-    return names, types, cursor.fetchall()
+    rows = cursor.fetchall()
+    types = {row[0]: row[1] for row in con.execute("DESCRIBE " + sql).fetchall()}
+    return names, types, rows
 
 
 def normal(names, rows):
@@ -67,7 +64,7 @@ def compare(df, con, sql: str) -> list[str]:
     """Differences as text, empty when the results agree."""
     problems = []
     names, types, rows = duck_rows(con, sql)
-    spark_types = {f.name: kind(f.dataType.simpleString()) for f in df.schema.fields}
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString()) for f in df.schema.fields}
     spark_rows = [tuple(r) for r in df.collect()]
     left_names, left = normal(df.columns, spark_rows)
     right_names, right = normal(names, rows)

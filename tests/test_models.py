@@ -145,3 +145,27 @@ def test_carry_forward_fills_from_the_last_period(spark):
     made = evaluation.prepare_dataset(df, ["v"], ["area"], "2012-12-31", "2011-12-31", carry_forward=True)
     assert [r["features"][0] for r in made.train.collect()] == [5.0, 5.0]
     assert made.train.where(F.col("label").isNull()).count() == 0
+
+
+def test_whole_evaluation(spark, data, tmp_path):
+    from riskpanel.plans import workflow
+
+    small = lambda: models.forest(numTrees=3, maxDepth=3)
+    settings = workflow.Settings(
+        learners={"forest": small, "adaboost": lambda: AdaBoost(rounds=2)},
+        ranker=small,
+        sweep_learner=small,
+        forest_grid={"maxDepth": [2, 3], "numTrees": [2]},
+        adaboost_grid={"rounds": [1, 2]},
+        tuned={"numTrees": 4, "maxDepth": 3},
+        importance_learner=lambda: models.unsampled_forest(num_trees=2, depth=3),
+        curve_learners={"forest": small},
+        curve_folds=2,
+    )
+    written = workflow.evaluate(data, str(tmp_path), "r1", settings)
+    assert spark.read.parquet(written["roc_band"]).count() == 100
+    assert spark.read.parquet(written["forest_search"]).count() == 2
+    assert spark.read.parquet(written["final_scores"]).count() == 60
+    reports = spark.read.parquet(written["model_reports"])
+    assert {r["model"] for r in reports.collect()} == {"forest", "adaboost"}
+    assert "adaboost_search_report" in written and "importances" in written
