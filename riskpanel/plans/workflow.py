@@ -111,20 +111,28 @@ def run(
     place: residential.Place,
     settings: Settings = Settings(),
     files: Mapping | None = None,
+    train_until: str = residential.TRAIN_END,
+    validation_until: str = residential.VALIDATION_END,
+    prepare_options: Mapping | None = None,
+    panel_options: Mapping | None = None,
 ) -> dict[str, str]:
-    """Read, clean, build and write the panel, then evaluate models on the written panel."""
+    """Read, clean, build and write the panel, then evaluate models on the written panel.
+
+    The options go to ``residential.prepare`` and ``residential.residential_panel``.
+    """
     sources = residential.read_sources(spark, landed, files)
-    result = residential.residential_panel(residential.prepare(sources, place))
+    prepared = residential.prepare(sources, place, **(prepare_options or {}))
+    result = residential.residential_panel(prepared, **(panel_options or {}))
     panel_path = sinks.land(result.panel, sinks.run_path(folder, "panel", run_id))
     matrix_path = sinks.write_training_matrix(
-        residential.training_matrix(result), sinks.run_path(folder, "training_matrix", run_id)
+        residential.training_matrix(result, train_until), sinks.run_path(folder, "training_matrix", run_id)
     )
     data = evaluation.prepare_dataset(
         spark.read.schema(result.panel.schema).parquet(panel_path),
         residential.feature_columns(result),
         cleaning.KEYS,
-        residential.TRAIN_END,
-        residential.VALIDATION_END,
+        train_until,
+        validation_until,
     )
     return {"panel": panel_path, "training_matrix": matrix_path, **evaluate(data, folder, run_id, settings)}
 
