@@ -129,3 +129,21 @@ def with_text(docs: DataFrame, *columns: str) -> DataFrame:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Remembered(dict):
+    """Values of a function by key, bounded: beyond ``limit`` entries only those used again are kept."""
+
+    def __init__(self, function, limit: int):
+        super().__init__()
+        self.function, self.limit, self.older = function, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -17,11 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from tokenizers import Tokenizer
 
 from ..session import cut_lineage
 from .common import partitions, text_bytes, with_text
+from .token_count import Splitter
 
-CACHE_ENTRIES = 400_000
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -155,33 +156,24 @@ def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     return ranked.mapInArrow(place, f"{fields}, sequence_id bigint, offset bigint")
 
 
-class Encoder:
-    """Token ids as little-endian bytes, by white-space piece and a bounded cache.
+class Encoder(Splitter):
+    """Token ids as little-endian bytes: words are encoded by the tokenizer and remembered."""
 
-    The vocabulary's normaliser and split rule never cross ASCII white space,
-    so a text's ids are those of its pieces in order.
-    """
+    join = staticmethod(b"".join)
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-
+        super().__init__(vocabulary)
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[bytes, bytes] = {}
-
-    def piece(self, piece: bytes) -> bytes:
-        ids = self.cache.get(piece)
-        if ids is None:
-            found = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-            ids = np.array(found, "<u4").tobytes()
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[piece] = ids
-        return ids
+
+    def word_value(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    special_value = word_value
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.piece, text.split()))
+        return b"".join(self.pieces(text))
 
 
 @functools.lru_cache(2)

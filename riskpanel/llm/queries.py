@@ -30,6 +30,13 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_multiset_fingerprint")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from .fingerprint import fingerprint_edits
+
+    return fingerprint_edits(table(spark, folder, "documents"))
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     from .token_count import count_tokens
@@ -78,3 +85,18 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
     mixed = mix_sources(table(spark, folder, "documents"))
     return mixed.withColumn("rate", F.round("rate", 9))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, folder, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, folder, "labels")))
+
+
+@query("op8_pii_spans")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(table(spark, folder, "documents"))

@@ -1,8 +1,8 @@
 """Token counts by byte-pair merging without identifiers.
 
 A text is cut at ASCII white space, which no normaliser or split rule of the
-vocabulary crosses; each piece is normalised, split and merged once per task and
-its count kept in a bounded cache. Merging pops the lowest-rank adjacent pair
+vocabulary crosses; counts of pieces and of their words are remembered within
+bounds, so a frequent word is merged once per worker. Merging pops the lowest-rank adjacent pair
 from a heap over a linked list; the count is initial symbols minus merges.
 """
 
@@ -18,10 +18,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_bytes, with_text
+from .common import Remembered, text_bytes, with_text
 
-# Pieces kept per task; the cache starts again beyond it, which changes no result.
-CACHE_ENTRIES = 400_000
+# Pieces and words remembered per Python worker; more are computed again, with the same result.
+CACHE_ENTRIES = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -67,53 +67,72 @@ def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return n - merges
 
 
-class TokenCounter:
+class Splitter:
+    """Cuts UTF-8 texts as the vocabulary file's normaliser and split rule do.
+
+    ``values`` of a white-space piece are remembered, and so are those of its
+    words; ``word_value`` and ``join`` say what they are.
+    """
+
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(split)
+        # Special strings in a text stand for themselves and end the pieces beside them.
+        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.special = regex.compile(f"({'|'.join(map(regex.escape, special))})".encode())
+        self.values = Remembered(self.piece_value, cache_entries)
+        self.words = Remembered(self.word_value, cache_entries)
+        self.spec = spec
+
+    def normal(self, piece: bytes) -> str:
+        text = piece.decode()
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        return "".join(c.lower() for c in text)  # by character: no rule for final letters
+
+    def piece_value(self, piece: bytes):
+        found = []
+        for k, part in enumerate(self.special.split(piece)):
+            if k % 2:
+                found.append(self.special_value(part.decode()))
+            elif part:
+                found += [self.words[w] for w in self.split.findall(self.normal(part))]
+        return self.join(found)
+
+    def pieces(self, text: bytes):
+        """Values of the white-space pieces. A special string keeps its case, so texts without one are folded first."""
+        return map(self.values.__getitem__, (text if b"<|" in text else text.lower()).split())
+
+
+class TokenCounter(Splitter):
     """Counts tokens of UTF-8 texts for a byte-level vocabulary file with word ends."""
 
+    join = staticmethod(sum)
+
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
-        spec = json.load(open(path, encoding="utf-8"))
+        super().__init__(path, cache_entries)
+        spec = self.spec
         model = spec["model"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocabulary = model["vocab"].keys()
         self.letters = byte_letters()
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(split)
-        # Special strings in a text stand for themselves and end the pieces beside them.
-        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special)).encode())
-        self.cache: dict[bytes, int] = {}
-        self.cache_entries = cache_entries
 
-    def word(self, text: str) -> int:
-        """Tokens of one split piece."""
+    def special_value(self, text: str) -> int:
+        return 1
+
+    def word_value(self, text: str) -> int:
+        """Tokens of one word."""
         symbols = [self.letters[b] for b in text.encode()]
         symbols[-1] += self.suffix
         return merge_count([s for s in symbols if s in self.vocabulary], self.ranks)
 
-    def plain(self, piece: bytes) -> int:
-        """Tokens of a piece without special strings."""
-        text = piece.decode()
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            text = "".join(c.lower() for c in text)  # by character: no rule for final letters
-        else:
-            text = text.lower()
-        return sum(map(self.word, self.split.findall(text)))
-
-    def piece(self, piece: bytes) -> int:
-        count = self.cache.get(piece)
-        if count is None:
-            parts = self.special.split(piece)
-            count = len(parts) - 1 + sum(map(self.plain, filter(None, parts)))
-            if len(self.cache) >= self.cache_entries:
-                self.cache.clear()
-            self.cache[piece] = count
-        return count
-
     def count(self, text: bytes) -> int:
-        return sum(map(self.piece, text.split()))
+        return sum(self.pieces(text))
 
 
 @functools.lru_cache(2)
