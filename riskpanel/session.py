@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
@@ -67,3 +69,22 @@ def run_parallel(job: Callable, items: Sequence, parallelism: int) -> list:
         return [job(item) for item in items]
     with ThreadPool(min(parallelism, len(items))) as pool:
         return pool.map(job, items, chunksize=1)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the session's Python workers this package, once per application.
+
+    Needed where the package is on the driver's path only; Spark's own file
+    distribution carries the archive.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="riskpanel-package-")
+    root, name = os.path.split(package)
+    context.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", root, name))
+    _shipped.add(context.applicationId)
