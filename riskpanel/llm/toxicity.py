@@ -2,10 +2,10 @@
 
 Two bigram models, toxic and ordinary, are counted over all labelled training
 documents. A word's probability in a class interpolates the class's discounted
-bigram, the class's discounted continuation counts, and continuation counts that
-both classes share, so that expressions rare in one class fall back to the same
-ground. A document's evidence is its length-normalised log-likelihood difference,
-over the whole text and over its most toxic window; a logistic curve fitted on
+bigram with the bigram model that both classes share, tilted by the class's own
+discounted continuation counts, so that expressions rare in one class fall back
+to the same ground. A document's evidence is its length-normalised log-likelihood difference,
+over the whole text and over its most toxic words; a logistic curve fitted on
 other training documents turns both into a score.
 
 Counting is exact and grouped by Spark. For scoring, probabilities are folded
@@ -15,6 +15,7 @@ so the model that is broadcast has a proven size; n-grams that share a slot add
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +26,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import cut_lineage
 from .common import mix, separators, text_bytes, with_text, word_hashes
 
-# Hashed slots at most: 2^21 words (four floats) and 2^22 bigrams (two floats), 64 MB.
+# Hashed slots at most: 2^21 words (six floats) and 2^22 bigrams (three floats), 100 MB.
 MAX_WORD_BITS = 21
 MAX_BIGRAM_BITS = 22
 # Labelled rows at most that the two-feature curve is fitted on.
 CURVE_ROWS = 20_000
 # Label rows up to this many are broadcast; more are joined by shuffle.
 MAX_BROADCAST_LABELS = 2_000_000
-WINDOW = 8
+# The words that ssharp most for toxicity: this share of a text, and no fewer than so many.
+SHARP_SHARE = 0.015
+SHARP_LEAST = 2
 _SEPARATORS = separators(only_alphanumeric=True)
 _LEFT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -75,18 +78,10 @@ def count_bigrams(labelled: DataFrame) -> DataFrame:
     )
 
 
-def _discounts(counts: DataFrame, toxic: str, ordinary: str) -> tuple[float, float, dict]:
-    """Kneser-Ney discounts n1 / (n1 + 2 n2) per class, and totals and types per class."""
-    parts = []
-    for c in (toxic, ordinary):
-        parts += [F.sum((F.col(c) == k).cast("bigint")).alias(f"{c}_{k}") for k in (1, 2)]
-        parts += [F.sum(c).alias(f"{c}_total"), F.sum((F.col(c) > 0).cast("bigint")).alias(f"{c}_types")]
-    row = counts.agg(F.count("*").alias("types"), *parts).first().asDict()
-    row = {k: v or 0 for k, v in row.items()}
-    discount = [
-        min(0.95, max(0.1, (row[f"{c}_1"] + 0.5) / (row[f"{c}_1"] + 2 * row[f"{c}_2"] + 1.0))) for c in (toxic, ordinary)
-    ]
-    return *discount, row
+def _discount(counts: DataFrame, column: str) -> float:
+    """Kneser-Ney discount n1 / (n1 + 2 n2) of whole counts, kept between 0.1 and 0.95."""
+    n = counts.agg(*[F.count(F.when(F.col(column) == k, 1)).alias(f"n{k}") for k in (1, 2)]).first()
+    return min(0.95, max(0.1, (n["n1"] + 0.5) / (n["n1"] + 2 * n["n2"] + 1.0)))
 
 
 def _bits(types: int, most: int) -> int:
@@ -107,13 +102,13 @@ def _slots(df: DataFrame, key: str, bits: int, *sums: str, least: tuple[str, ...
 class Model:
     """Probabilities by hashed slot. ``curve`` holds intercept and weights of the score."""
 
-    word: np.ndarray  # toxic, ordinary, toxic backoff weight, ordinary backoff weight by word slot
-    bigram: np.ndarray  # discounted toxic, ordinary by bigram slot
+    word: np.ndarray  # by word slot: toxic, ordinary, shared share; then their backoff weights
+    bigram: np.ndarray  # by bigram slot: discounted toxic, ordinary, shared
     curve: np.ndarray
 
     def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood difference per word: over the whole text, and in the window where it is highest."""
-        whole, peak = np.zeros(len(texts)), np.zeros(len(texts))
+        """Log-likelihood difference per word: over the whole text, and over the words where it is highest."""
+        whole, sharp = np.zeros(len(texts)), np.zeros(len(texts))
         word_mask = np.uint64(self.word.shape[1] - 1)
         gram_mask = np.uint64(self.bigram.shape[1] - 1)
         for first, words, bounds in word_hashes(texts, True, _SEPARATORS):
@@ -121,70 +116,100 @@ class Model:
                 continue
             left, gram = _grams(words, bounds)
             w, h, g = (words & word_mask).astype(np.int64), (left & word_mask).astype(np.int64), (gram & gram_mask).astype(np.int64)
-            toxic = self.bigram[0, g] + self.word[2, h] * self.word[0, w]
-            ordinary = self.bigram[1, g] + self.word[3, h] * self.word[1, w]
-            sums = np.concatenate(([0.0], np.cumsum(np.log(toxic, dtype=np.float64) - np.log(ordinary, dtype=np.float64))))
+            base = self.bigram[2, g] / self.word[2, w] + self.word[5, h]  # relative to the word's shared share
+            toxic = self.bigram[0, g] + self.word[3, h] * base * self.word[0, w]
+            ordinary = self.bigram[1, g] + self.word[4, h] * base * self.word[1, w]
+            each = np.log(toxic, dtype=np.float64) - np.log(ordinary, dtype=np.float64)
             for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
                 if a == b:
                     continue
-                whole[first + i] = (sums[b] - sums[a]) / (b - a)
-                width = min(WINDOW, b - a)
-                peak[first + i] = (sums[a + width : b + 1] - sums[a : b + 1 - width]).max() / width
-        return whole, peak
-
-    def score(self, whole: np.ndarray, peak: np.ndarray) -> np.ndarray:
-        x = self.curve[0] + self.curve[1] * whole + self.curve[2] * peak
+                found = each[a:b]
+                whole[first + i] = found.mean()
+                few = min(len(found), max(SHARP_LEAST, math.ceil(SHARP_SHARE * len(found))))
+                sharp[first + i] = np.partition(found, len(found) - few)[-few:].mean()
+        return whole, sharp
+
+    def score(self, whole: np.ndarray, sharp: np.ndarray) -> np.ndarray:
+        x = self.curve[0] + self.curve[1] * whole + self.curve[2] * sharp
         return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
+def _thinned(count: str, share: float, name: str) -> list[Column]:
+    """Expected count, and probability to be seen at all, if each occurrence is kept with ``share``."""
+    seen = 1.0 - F.pow(F.lit(1.0 - share), F.col(count)) if share < 1 else (F.col(count) > 0).cast("double")
+    return [(F.col(count) * share).alias(f"{name}_n"), seen.alias(f"{name}_seen")]
+
+
 def fit_counts(labelled: DataFrame) -> Model:
-    """Count all labelled rows (text, toxic) and derive both models."""
-    counts = cut_lineage(count_bigrams(labelled))
-    seen = lambda c: F.sum((F.col(c) > 0).cast("bigint"))
-    d_toxic, d_ordinary, pairs = _discounts(counts, "toxic", "ordinary")
-    histories = counts.groupBy("history").agg(
-        F.sum("toxic").alias("toxic_n"), F.sum("ordinary").alias("ordinary_n"),
-        seen("toxic").alias("toxic_types"), seen("ordinary").alias("ordinary_types"),
-    )
-    words = counts.groupBy("word").agg(seen("toxic").alias("k_toxic"), seen("ordinary").alias("k_ordinary"))
-    e_toxic, e_ordinary, kinds = _discounts(words, "k_toxic", "k_ordinary")
-    rest = {c: e * kinds[f"k_{c}_types"] / max(1, kinds[f"k_{c}_total"]) for c, e in (("toxic", e_toxic), ("ordinary", e_ordinary))}
-    rest = {c: r or 1.0 for c, r in rest.items()}
-    shared_total = kinds["k_toxic_total"] + kinds["k_ordinary_total"] + kinds["types"] + 1
-    shared = (F.col("k_toxic") + F.col("k_ordinary") + 1) / F.lit(float(shared_total))
-
-    def class_word(c: str, e: float) -> Column:
-        # What the class adds to an unseen word's share, which every slot starts with.
-        kept = F.greatest(F.col(f"k_{c}") - e, F.lit(0.0)) / max(1, kinds[f"k_{c}_total"])
-        return kept + F.lit(rest[c]) * (shared - 1.0 / shared_total)
-
-    def left_over(c: str, d: float) -> Column:
-        share = F.lit(d) * F.col(f"{c}_types") / F.col(f"{c}_n")
-        return F.when(F.col(f"{c}_n") > 0, F.least(share, F.lit(1.0))).otherwise(1.0)
+    """Count all labelled rows (text, toxic) and derive both models.
 
+    The larger class enters with the counts expected from a thinning to the
+    smaller one's size, so that neither class is favoured for having seen more.
+    """
+    counts = cut_lineage(count_bigrams(labelled))
+    size = counts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("*").alias("pairs")).first()
+    n = {c: size[c] or 0 for c in ("toxic", "ordinary")}
+    small = min(n, key=n.get)
+    share = {c: min(n.values()) / n[c] if n[c] else 1.0 for c in n}
+    discount = _discount(counts, small)
+    classes = [x for c in n for x in _thinned(c, share[c], c)]
+    thinned = counts.select("gram", "history", "word", *classes)
+    per_word = [x for c in n for x in (
+        F.sum(f"{c}_seen").alias(f"{c}_k"),
+        (1.0 - F.exp(F.sum(F.log(F.greatest(1.0 - F.col(f"{c}_seen"), F.lit(1e-12)))))).alias(f"{c}_any"),
+    )]
+    words = thinned.groupBy("word").agg(*per_word)
+    kinds = words.agg(F.count("*").alias("types"), *[F.sum(f"{c}_{x}").alias(f"{c}_{x}") for c in n for x in ("k", "any")]).first()
+    total = {c: max(kinds[f"{c}_k"] or 0.0, 1.0) for c in n}
+    word_discount = _discount(words.select(F.round(f"{small}_k").alias("k")), "k")
+    rest = {c: word_discount * (kinds[f"{c}_any"] or total[c]) / total[c] for c in n}
+    shared_total = sum(total.values()) + kinds["types"] + 1
+    unseen = 1.0 / shared_total
+    shared = (F.col("toxic_k") + F.col("ordinary_k")) / F.lit(shared_total)
+
+    def class_word(c: str) -> Column:
+        """What the class adds to the share of an unseen word, which every slot starts with."""
+        kept = (F.col(f"{c}_k") - word_discount * F.col(f"{c}_any")) / F.lit(total[c])
+        return F.greatest(kept, F.lit(0.0)) + F.lit(rest[c]) * shared
+
+    def left_over(c: str) -> Column:
+        share_left = F.lit(discount) * F.col(f"{c}_types") / F.col(f"{c}_all")
+        return F.when(F.col(f"{c}_all") > 0, F.least(share_left, F.lit(1.0))).otherwise(1.0)
+
+    def kept_pair(c: str) -> Column:
+        kept = (F.col(f"{c}_n") - discount * F.col(f"{c}_seen")) / F.col(f"{c}_all")
+        return F.when(F.col(f"{c}_all") > 0, F.greatest(kept, F.lit(0.0))).otherwise(0.0)
+
+    # The shared model counts both thinned classes together.
+    thinned = thinned.withColumns({
+        "shared_n": F.col("toxic_n") + F.col("ordinary_n"),
+        "shared_seen": 1.0 - (1.0 - F.col("toxic_seen")) * (1.0 - F.col("ordinary_seen")),
+    })
+    models = ("toxic", "ordinary", "shared")
+    sums = [x for c in models for x in (F.sum(f"{c}_n").alias(f"{c}_all"), F.sum(f"{c}_seen").alias(f"{c}_types"))]
+    histories = thinned.groupBy("history").agg(*sums)
     word_bits = _bits(kinds["types"], MAX_WORD_BITS)
-    word = np.empty((4, 1 << word_bits), np.float32)
-    word[0], word[1], word[2:] = rest["toxic"] / shared_total, rest["ordinary"] / shared_total, 1.0
-    got = _slots(words.select("word", class_word("toxic", e_toxic).alias("t"), class_word("ordinary", e_ordinary).alias("o")), "word", word_bits, "t", "o")
-    word[0, got["slot"]] += got["t"]
-    word[1, got["slot"]] += got["o"]
-    got = _slots(histories.select("history", left_over("toxic", d_toxic).alias("t"), left_over("ordinary", d_ordinary).alias("o")), "history", word_bits, least=("t", "o"))
-    word[2, got["slot"]], word[3, got["slot"]] = got["t"], got["o"]
-
-    def kept_pair(c: str, d: float) -> Column:
-        return F.when(F.col(c) > 0, (F.col(c) - d) / F.col(f"{c}_n")).otherwise(0.0)
-
-    joined = counts.select("gram", "history", "toxic", "ordinary").join(histories, "history")
-    gram_bits = _bits(pairs["types"], MAX_BIGRAM_BITS)
-    bigram = np.zeros((2, 1 << gram_bits), np.float32)
-    got = _slots(joined.select("gram", kept_pair("toxic", d_toxic).alias("t"), kept_pair("ordinary", d_ordinary).alias("o")), "gram", gram_bits, "t", "o")
-    bigram[0, got["slot"]], bigram[1, got["slot"]] = got["t"], got["o"]
+    word = np.ones((6, 1 << word_bits), np.float32)
+    word[:3] = np.array([[rest["toxic"] * unseen], [rest["ordinary"] * unseen], [unseen]])
+    shares = [class_word("toxic").alias("toxic"), class_word("ordinary").alias("ordinary"), shared.alias("shared")]
+    got = _slots(words.select("word", *shares), "word", word_bits, *models)
+    for k, c in enumerate(models):
+        word[k, got["slot"]] += got[c]
+    got = _slots(histories.select("history", *[left_over(c).alias(c) for c in models]), "history", word_bits, least=models)
+    for k, c in enumerate(models):
+        word[3 + k, got["slot"]] = got[c]
+    pairs = thinned.join(histories, "history").select("gram", *[kept_pair(c).alias(c) for c in models])
+    gram_bits = _bits(size["pairs"], MAX_BIGRAM_BITS)
+    bigram = np.zeros((3, 1 << gram_bits), np.float32)
+    got = _slots(pairs, "gram", gram_bits, *models)
+    for k, c in enumerate(models):
+        bigram[k, got["slot"]] = got[c]
     return Model(word, bigram, np.array([0.0, 1.0, 0.0]))
 
 
-def fit_curve(whole: np.ndarray, peak: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> np.ndarray:
+def fit_curve(whole: np.ndarray, sharp: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Logistic regression on two features by Newton steps with a small ridge."""
-    x = np.column_stack([np.ones(len(whole)), whole, peak])
+    x = np.column_stack([np.ones(len(whole)), whole, sharp])
     curve = np.zeros(3)
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ curve, -50, 50)))
@@ -214,15 +239,15 @@ def _evidence(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, peak = shared.value.evidence(text_bytes(batch.column(len(columns))))
-            score = shared.value.score(whole, peak)
+            whole, sharp = shared.value.evidence(text_bytes(batch.column(len(columns))))
+            score = shared.value.score(whole, sharp)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(columns)], pa.array(whole), pa.array(peak), pa.array(score)],
-                names=[*columns, "whole", "peak", "score"],
+                [*batch.columns[: len(columns)], pa.array(whole), pa.array(sharp), pa.array(score)],
+                names=[*columns, "whole", "sharp", "score"],
             )
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
-    return with_text(docs, *columns).mapInArrow(run, ", ".join([*fields, "whole double, peak double, score double"]))
+    return with_text(docs, *columns).mapInArrow(run, ", ".join([*fields, "whole double, sharp double, score double"]))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 1) -> Model:
@@ -236,7 +261,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 1) -> Model
     model = fit_counts(labelled.where(F.col("fold") == counted).select("text", "toxic"))
     rest = labelled.where(F.col("fold") == curved).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
     rows = _evidence(rest, model, ["toxic"]).toPandas()
-    model.curve = fit_curve(rows["whole"].to_numpy(), rows["peak"].to_numpy(), rows["toxic"].to_numpy(float))
+    model.curve = fit_curve(rows["whole"].to_numpy(), rows["sharp"].to_numpy(), rows["toxic"].to_numpy(float))
     return model
 
 
@@ -250,7 +275,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, held_o
     scored = _evidence(docs, model, ["doc_id"])
     return scored.select(
         "doc_id", (fold_of(F.col("doc_id")) == held_out).alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"), "whole", "peak",
+        (F.col("score") >= threshold).cast("int").alias("predicted"), "whole", "sharp",
     )
 
 
