@@ -103,3 +103,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from .pii import find_pii
 
     return find_pii(table(spark, folder, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .substring import remove_repeats
+
+    kept = remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
