@@ -54,6 +54,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), vocabulary(), 2048)
 
 
+@query("op1_minhash_near_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+
+
 MIX_SQL = """
 WITH RECURSIVE sized AS (
   SELECT doc_id, text, coalesce(source, '') AS mix_source, source, lang, n_chars, length(coalesce(text, '')) AS size FROM documents),

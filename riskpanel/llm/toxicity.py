@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
-from .common import mix, separators, text_bytes, with_text, word_hashes
+from ..session import cut_to_table
+from .common import separators, text_bytes, with_text, word_hashes
 
-# Hashed slots at most: 2^21 words (six floats) and 2^22 bigrams (three floats), 100 MB.
+# Hashed slots at most: 2^21 words (nine floats) and 2^22 bigrams (three floats), 126 MB.
 MAX_WORD_BITS = 21
 MAX_BIGRAM_BITS = 22
 # Labelled rows at most that the two-feature curve is fitted on.
@@ -41,15 +41,15 @@ _LEFT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _grams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Left neighbour (0 at a start) and bigram hash of every word."""
+    """Left neighbour (0 at a start) and bigram key of every word; its low bits are the slot."""
     left = np.concatenate((np.zeros(1, np.uint64), words[:-1])) if len(words) else words
     starts = bounds[:-1][bounds[:-1] < len(words)]
     left[starts] = 0
-    return left, mix(left * _LEFT + words)
+    return left, left * _LEFT + words
 
 
 def count_bigrams(labelled: DataFrame) -> DataFrame:
-    """Rows (gram, history, word, toxic, ordinary) with counts over all rows of (text, toxic)."""
+    """Rows (history, word, toxic, ordinary) with counts over all rows of (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,17 +65,14 @@ def count_bigrams(labelled: DataFrame) -> DataFrame:
                 both = np.bincount(group, minlength=len(keys))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys.view(np.int64)), pa.array(left[at].view(np.int64)),
-                        pa.array(words[at].view(np.int64)), pa.array(ones), pa.array(both - ones),
+                        pa.array(left[at].view(np.int64)), pa.array(words[at].view(np.int64)),
+                        pa.array(ones, pa.int32()), pa.array(both - ones, pa.int32()),
                     ],
-                    names=["gram", "history", "word", "toxic", "ordinary"],
+                    names=["history", "word", "toxic", "ordinary"],
                 )
 
-    rows = labelled.mapInArrow(run, "gram bigint, history bigint, word bigint, toxic bigint, ordinary bigint")
-    return rows.groupBy("gram").agg(
-        F.min("history").alias("history"), F.min("word").alias("word"),
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"),
-    )
+    rows = labelled.mapInArrow(run, "history bigint, word bigint, toxic int, ordinary int")
+    return rows.groupBy("history", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _discount(counts: DataFrame, column: str) -> float:
@@ -102,8 +99,8 @@ def _slots(df: DataFrame, key: str, bits: int, *sums: str, least: tuple[str, ...
 class Model:
     """Probabilities by hashed slot. ``curve`` holds intercept and weights of the score."""
 
-    word: np.ndarray  # by word slot: toxic, ordinary, shared share; then their backoff weights
-    bigram: np.ndarray  # by bigram slot: discounted toxic, ordinary, shared
+    word: np.ndarray  # by word slot: toxic, ordinary, shared share; their backoff weights; one over their counts
+    bigram: np.ndarray  # by bigram slot: discounted counts, toxic, ordinary, shared
     curve: np.ndarray
 
     def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +113,10 @@ class Model:
                 continue
             left, gram = _grams(words, bounds)
             w, h, g = (words & word_mask).astype(np.int64), (left & word_mask).astype(np.int64), (gram & gram_mask).astype(np.int64)
-            base = self.bigram[2, g] / self.word[2, w] + self.word[5, h]  # relative to the word's shared share
-            toxic = self.bigram[0, g] + self.word[3, h] * base * self.word[0, w]
-            ordinary = self.bigram[1, g] + self.word[4, h] * base * self.word[1, w]
+            # Relative to the word's shared share.
+            base = self.bigram[2, g] * self.word[8, h] / self.word[2, w] + self.word[5, h]
+            toxic = self.bigram[0, g] * self.word[6, h] + self.word[3, h] * base * self.word[0, w]
+            ordinary = self.bigram[1, g] * self.word[7, h] + self.word[4, h] * base * self.word[1, w]
             each = np.log(toxic, dtype=np.float64) - np.log(ordinary, dtype=np.float64)
             for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
                 if a == b:
@@ -146,14 +144,14 @@ def fit_counts(labelled: DataFrame) -> Model:
     The larger class enters with the counts expected from a thinning to the
     smaller one's size, so that neither class is favoured for having seen more.
     """
-    counts = cut_lineage(count_bigrams(labelled))
+    counts = cut_to_table(count_bigrams(labelled))
     size = counts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("*").alias("pairs")).first()
     n = {c: size[c] or 0 for c in ("toxic", "ordinary")}
     small = min(n, key=n.get)
     share = {c: min(n.values()) / n[c] if n[c] else 1.0 for c in n}
     discount = _discount(counts, small)
     classes = [x for c in n for x in _thinned(c, share[c], c)]
-    thinned = counts.select("gram", "history", "word", *classes)
+    thinned = counts.select("history", "word", *classes)
     per_word = [x for c in n for x in (
         F.sum(f"{c}_seen").alias(f"{c}_k"),
         (1.0 - F.exp(F.sum(F.log(F.greatest(1.0 - F.col(f"{c}_seen"), F.lit(1e-12)))))).alias(f"{c}_any"),
@@ -177,8 +175,7 @@ def fit_counts(labelled: DataFrame) -> Model:
         return F.when(F.col(f"{c}_all") > 0, F.least(share_left, F.lit(1.0))).otherwise(1.0)
 
     def kept_pair(c: str) -> Column:
-        kept = (F.col(f"{c}_n") - discount * F.col(f"{c}_seen")) / F.col(f"{c}_all")
-        return F.when(F.col(f"{c}_all") > 0, F.greatest(kept, F.lit(0.0))).otherwise(0.0)
+        return F.greatest(F.col(f"{c}_n") - discount * F.col(f"{c}_seen"), F.lit(0.0))
 
     # The shared model counts both thinned classes together.
     thinned = thinned.withColumns({
@@ -189,17 +186,24 @@ def fit_counts(labelled: DataFrame) -> Model:
     sums = [x for c in models for x in (F.sum(f"{c}_n").alias(f"{c}_all"), F.sum(f"{c}_seen").alias(f"{c}_types"))]
     histories = thinned.groupBy("history").agg(*sums)
     word_bits = _bits(kinds["types"], MAX_WORD_BITS)
-    word = np.ones((6, 1 << word_bits), np.float32)
+    word = np.ones((9, 1 << word_bits), np.float32)
     word[:3] = np.array([[rest["toxic"] * unseen], [rest["ordinary"] * unseen], [unseen]])
     shares = [class_word("toxic").alias("toxic"), class_word("ordinary").alias("ordinary"), shared.alias("shared")]
     got = _slots(words.select("word", *shares), "word", word_bits, *models)
     for k, c in enumerate(models):
         word[k, got["slot"]] += got[c]
-    got = _slots(histories.select("history", *[left_over(c).alias(c) for c in models]), "history", word_bits, least=models)
+    stats = [left_over(c).alias(c) for c in models] + [F.greatest(F.col(f"{c}_all"), F.lit(1e-6)).alias(f"{c}_all") for c in models]
+    totals = tuple(f"{c}_all" for c in models)
+    got = _slots(histories.select("history", *stats), "history", word_bits, *totals, least=models)
     for k, c in enumerate(models):
         word[3 + k, got["slot"]] = got[c]
-    pairs = thinned.join(histories, "history").select("gram", *[kept_pair(c).alias(c) for c in models])
+        word[6 + k, got["slot"]] = 1.0 / got[f"{c}_all"]
     gram_bits = _bits(size["pairs"], MAX_BIGRAM_BITS)
+    low = F.lit((1 << gram_bits) - 1)
+    # The low bits of history * _LEFT + word, without leaving 64 bits.
+    product = F.col("history").bitwiseAND(low) * F.lit(int(_LEFT) & ((1 << gram_bits) - 1))
+    key = product.bitwiseAND(low) + F.col("word").bitwiseAND(low)
+    pairs = thinned.select(key.alias("gram"), *[kept_pair(c).cast("float").alias(c) for c in models])
     bigram = np.zeros((3, 1 << gram_bits), np.float32)
     got = _slots(pairs, "gram", gram_bits, *models)
     for k, c in enumerate(models):
