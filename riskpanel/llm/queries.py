@@ -120,3 +120,50 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
     kept = remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op6_warc_round_trip")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from ..session import ensure_checkpoint_dir
+    from .crawl import page_of, page_records
+    from .warc import read_warc, write_warc
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    write_warc(page_records(table(spark, folder, "pages")), path)
+    records = read_warc(spark, path).where("record_type in ('response', 'revisit')")
+    length = F.when(F.col("record_type") == "response", F.length("payload")).otherwise(F.col("payload_length"))
+    return records.select(
+        page_of("record_id").alias("page_id"), length.cast("bigint").alias("payload_bytes"), "payload_digest", "record_type",
+        page_of("refers_to").alias("refers_to"), F.col("target_uri").alias("url"),
+    )
+
+
+TOP_K_SQL = """
+WITH clean AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM clean q JOIN clean c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op5_dual_tree_top_k", TOP_K_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .topk import exact_top_k, finite
+
+    vectors = table(spark, folder, "embeddings").where(finite(F.col("embedding")))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    vectors = vectors.select(F.col("vec_id").alias("id"), whole.alias("vector"))
+    best = exact_top_k(vectors, vectors.where("id % 50 = 0"), 5)
+    return best.withColumn("score", F.col("score").cast("bigint"))
