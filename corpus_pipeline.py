@@ -1,23 +1,82 @@
 """From raw documents to packed training sequences in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-and reread as the next stage's documents. All but the last return the columns
-of ``documents``. Import errors are not caught here.
+as Parquet and reread as the next stage's documents. All but the last return the
+columns of ``documents``; the last returns the packed pieces. Rows, nulls, empty
+tables and repeated rows are treated as the operators' docstrings say. Import
+errors are not caught here.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from riskpanel.llm import queries
 from riskpanel.llm.mixing import mix_sources
+from riskpanel.llm.neardup import near_duplicates
 from riskpanel.llm.packing import pack_documents
+from riskpanel.llm.pii import mask_pii
+from riskpanel.llm.queries import table, vocabulary
+from riskpanel.llm.toxicity import drop_toxic, fit_toxicity
+from riskpanel.session import cut_to_table, ship_package
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+TOXIC_FROM = 0.7
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+SEQUENCE_TOKENS = 2048
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose toxicity score reaches the threshold; the models learn from these documents' labels."""
+    return drop_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), TOXIC_FROM)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group, that with the smallest id.
+
+    Rows that repeat an id are one document: the row with the smallest text
+    stays. Rows without an id cannot be told apart and all stay.
+    """
+    ship_package(spark)
+    kept = near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("kept").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]])
+    named = docs.join(cut_to_table(kept), "doc_id", "left_semi").withColumn("place_", F.row_number().over(first))
+    named = named.where("place_ = 1").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask personal data, disguised or not."""
+    ship_package(spark)
+    return mask_pii(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop documents so that each source's share follows the root of its size, in a global hashed order."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the token ids of all documents into sequences."""
+    ship_package(spark)
+    return pack_documents(docs, vocabulary(), SEQUENCE_TOKENS)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("pii", pii),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+# The models of the first stage are not expressible in SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Apply the stages to ``documents``; each result is written and reread."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = cut_to_table(stage(spark, docs, sf_dir))
+    return docs
