@@ -3,8 +3,8 @@
 A stump cuts one feature at one threshold, so what it does to a row's weight
 depends only on the side of the cut and the label: four factors. The weight of
 a row after any number of rounds is therefore a closed expression over its
-features, and a round needs one weighted tree fit and one aggregate with four
-sums. No per-round copy of the rows is kept and the plan does not grow along a
+features, and a round needs one weighted tree fit, whose leaves hold the four
+sums the round needs. No per-round copy of the rows is kept and the plan does not grow along a
 chain; only after many rounds the current weights are written to the
 checkpoint folder and the expression starts afresh.
 """
@@ -81,6 +81,7 @@ class AdaBoost:
         learning_rate: float = 1.0,
         seed: int = 27,
         checkpoint_every: int = 100,
+        max_bins: int = 32,
     ):
         if algorithm not in ("SAMME", "SAMME.R"):
             raise ValueError("algorithm is 'SAMME' or 'SAMME.R'")
@@ -89,12 +90,16 @@ class AdaBoost:
         self.learning_rate = learning_rate
         self.seed = seed
         self.checkpoint_every = checkpoint_every
+        self.max_bins = max_bins
 
     def fit(self, df: DataFrame) -> "AdaBoostModel":
         ensure_checkpoint_dir(df.sparkSession)
         base = df.select(
-            "features", "label", vector_to_array("features").alias("x"), F.lit(0.0).alias("log_weight")
+            # Without metadata every feature is continuous, so that every split is a cut.
+            F.col("features").alias("features", metadata={}),
+            "label", vector_to_array("features").alias("x"), F.lit(0.0).alias("log_weight"),
         ).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = base.count()
         stumps: list[Stump] = []
         # Per round: cut, and left and right log factors as (label 0, label 1) pairs.
         growth: list[tuple[tuple, tuple, tuple]] = []
@@ -109,8 +114,8 @@ class AdaBoost:
                 state = self._weigh(base, growth).withColumn(
                     "weight", F.exp(F.col("log_weight") - F.lit(shift))
                 )
-                feature, threshold = self._best_cut(state, number)
-                sums = self._side_sums(state, feature, threshold)
+                feature, threshold, sums = self._best_cut(state, number)
+                sums["rows"] = rows
                 stump, done = self._judge(feature, threshold, sums, first=not stumps)
                 if stump is not None:
                     stumps.append(stump)
@@ -136,27 +141,20 @@ class AdaBoost:
             "log_weight", F.col("log_weight") + F.when(F.col("label") == 1, ones).otherwise(zeros)
         )
 
-    def _best_cut(self, state: DataFrame, number: int) -> tuple[int | None, float]:
-        tree = DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=self.seed + number)
-        found = _CUT.search(tree.fit(state).toDebugString)
-        return (int(found.group(1)), float(found.group(2))) if found else (None, 0.0)
-
-    @staticmethod
-    def _side_sums(state: DataFrame, feature: int | None, threshold: float) -> dict[tuple[int, int], float]:
-        """Weight per (side, label); side 0 is left of the cut."""
-        left = F.lit(True) if feature is None else F.col("x")[feature] <= threshold
-        one = F.col("label") == 1
-        row = state.agg(
-            *[
-                F.coalesce(F.sum(F.when((left if side == 0 else ~left) & (one if label else ~one), F.col("weight"))), F.lit(0.0))
-                for side in (0, 1)
-                for label in (0, 1)
-            ],
-            F.count(F.lit(1)),
-        ).first()
-        sums = {(0, 0): row[0], (0, 1): row[1], (1, 0): row[2], (1, 1): row[3]}
-        sums["rows"] = row[4]
-        return sums
+    def _best_cut(self, state: DataFrame, number: int) -> tuple[int | None, float, dict]:
+        """Cut of a weighted depth-1 tree, and the weight per (side, label) from its leaves; side 0 is left."""
+        tree = DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=self.seed + number, maxBins=self.max_bins)
+        model = tree.fit(state)
+        root = model._call_java("rootNode")
+        if model.depth == 0:
+            feature, threshold, leaves = None, 0.0, [list(root.impurityStats().stats()), [0.0, 0.0]]
+        else:
+            found = _CUT.search(model.toDebugString)
+            if not found:
+                raise ValueError("the stump's split is not a cut of a continuous feature")
+            feature, threshold = int(found.group(1)), float(found.group(2))
+            leaves = [list(side.impurityStats().stats()) for side in (root.leftChild(), root.rightChild())]
+        return feature, threshold, {(side, label): leaf[label] if label < len(leaf) else 0.0 for side, leaf in enumerate(leaves) for label in (0, 1)}
 
     def _judge(self, feature, threshold, sums, first: bool) -> tuple[Stump | None, bool]:
         """The round's stump (or none) and whether boosting ends with it."""

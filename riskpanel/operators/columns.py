@@ -142,9 +142,9 @@ def feature_names(prefix: str, values: Sequence) -> dict:
     return names
 
 
-def sorted_categories(rows: Iterable, limit: int, what: str) -> list:
+def sorted_categories(rows: Iterable, limit: int | None, what: str) -> list:
     values = [row[0] for row in rows]
-    if len(values) > limit:
+    if limit is not None and len(values) > limit:
         raise ValueError(f"{what} has more than {limit} values; one-hot columns would be too many")
     return sorted(values)
 

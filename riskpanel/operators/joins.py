@@ -39,7 +39,13 @@ def left_lookup(df: DataFrame, lookup: DataFrame, keys: Mapping[str, str]) -> Da
 
 
 def outer_join_null_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full outer join in which null keys match each other; keys are coalesced."""
+    """Full outer join in which null keys match each other; keys are coalesced.
+
+    Other columns that both sides have get the suffixes ``_x`` and ``_y``.
+    """
+    shared = (set(left.columns) & set(right.columns)) - set(keys)
+    named = lambda df, suffix: df.select(*[quoted(c).alias(c + suffix if c in shared else c) for c in df.columns])
+    left, right = named(left, "_x"), named(right, "_y")
     renamed = right.select(
         *[quoted(k).alias(f"__r_{k}") for k in keys],
         *[quoted(c) for c in right.columns if c not in keys],

@@ -51,8 +51,8 @@ def metric_columns() -> dict[str, Column]:
     recall = safe_ratio(tp, tp + fn)
     specificity = safe_ratio(tn, tn + fp)
     precision = safe_ratio(tp, tp + fp)
-    # A class without rows does not take part in the macro mean.
-    present = F.when(tp + fn > 0, 1).otherwise(0) + F.when(tn + fp > 0, 1).otherwise(0)
+    # A class that is neither true nor predicted anywhere does not take part in the macro mean.
+    present = F.when(tp + fn + fp > 0, 1).otherwise(0) + F.when(tn + fp + fn > 0, 1).otherwise(0)
     macro = F.try_divide(F.coalesce(recall, F.lit(0.0)) + F.coalesce(specificity, F.lit(0.0)), present)
     return {
         "accuracy": observed,

@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import run_parallel
+from ..session import ensure_checkpoint_dir, run_parallel
 from .adaboost import AdaBoostModel
 from .columns import quoted
 from .metrics import confusion_cells, metric_columns, score_summary
@@ -104,6 +104,10 @@ def forest(seed: int = SEED, **params) -> RandomForestClassifier:
 
 
 def boosted_trees(seed: int = SEED, **params) -> GBTClassifier:
+    """Boosted trees; the session gets a checkpoint folder so that many rounds do not grow one lineage."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        ensure_checkpoint_dir(session)
     return GBTClassifier(seed=seed, **{**BOOSTED_TREES, **params})
 
 

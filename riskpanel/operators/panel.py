@@ -14,13 +14,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import next_period_end, period_end, period_range
 from ..functions.text import LABEL_SEPARATOR, split_labels
 from ..session import cut_lineage, run_parallel
 from .columns import (
     MAX_CATEGORIES,
+    feature_name,
     feature_names,
     fill_zero,
     frequent_columns,
@@ -43,8 +44,10 @@ class EventSource:
 
     ``one_hot`` and ``labels`` name the columns counted per value; ``values``
     may fix their value lists, otherwise they are read from the data. ``sums``
-    are added up as ``sum_type``, by default in decimals so that the order of
-    rows does not matter; what cannot be read as that type counts as missing.
+    are added up as ``sum_type`` and named ``<source>__<column>``. The default
+    keeps nine decimals and twenty digits before them and adds exactly, so the
+    order of rows does not matter; what cannot be read as that type counts as
+    missing.
     ``target`` marks target events: they make the label and are not counted.
     ``cutoff`` keeps only events up to the first target date.
     """
@@ -58,7 +61,7 @@ class EventSource:
     target: Column | None = None
     cutoff: bool = True
     separator: str = LABEL_SEPARATOR
-    sum_type: str = "decimal(18,2)"
+    sum_type: str = "decimal(29,9)"
     values: Mapping[str, Sequence] = field(default_factory=dict)
 
     def rows(self, keys: Sequence[str]) -> DataFrame:
@@ -164,7 +167,7 @@ def read_categories(
 
 
 def survey(
-    tables: Mapping[str, tuple[EventSource, DataFrame]], with_bounds: bool = True, limit: int = MAX_CATEGORIES
+    tables: Mapping[str, tuple[EventSource, DataFrame]], with_bounds: bool = True, limit: int | None = MAX_CATEGORIES
 ) -> tuple[dict[tuple[str, str], list], dict[str, tuple]]:
     """(value lists, period bounds) of several sources in one job.
 
@@ -202,7 +205,7 @@ def survey(
                     F.explode(split_labels("value", source.separator)).alias("value")
                 ).distinct()
             parts.append(
-                values.limit(limit + 1).select(
+                (values if limit is None else values.limit(limit + 1)).select(
                     F.lit(source.name).alias("source"),
                     F.lit(column).alias("column"),
                     "value",
@@ -279,12 +282,22 @@ def _value_columns(source: EventSource, lists: Mapping[tuple[str, str], list]) -
     return named
 
 
+def sum_names(source: EventSource) -> list[str]:
+    """Output names of a source's sums."""
+    return [feature_name(source.name, c) for c in source.sums]
+
+
+def value_text(value) -> str:
+    """A listed value as Spark writes it when it casts a column to text."""
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def count_wide(
     daily: DataFrame, source: EventSource, keys: Sequence[str], lists: Mapping[tuple[str, str], list]
 ) -> DataFrame:
     """One row per (period, area) with a count per value and the sums of the source."""
     named = _value_columns(source, lists)
-    sums = [F.sum(quoted(c)).cast("double").alias(c) for c in source.sums]
+    sums = [F.sum(quoted(c)).cast("double").alias(name) for c, name in zip(source.sums, sum_names(source))]
     if len(named) > WIDE_LIMIT:
         return _count_by_pivot(daily, source, keys, named, sums)
     for column in source.labels:
@@ -293,7 +306,7 @@ def count_wide(
     def hit(column: str, value) -> Column:
         if column in source.labels:
             return F.array_contains(quoted(column), F.lit(value))
-        return quoted(column).cast("string") == F.lit(str(value))
+        return quoted(column).cast("string") == F.lit(value_text(value))
 
     counts = [
         F.sum(F.when(hit(column, value), F.col("__n")).otherwise(0)).cast("bigint").alias(name)
@@ -315,7 +328,7 @@ def _count_by_pivot(daily, source, keys, named, sums) -> DataFrame:
         return F.transform(values, lambda value: F.concat(F.lit(column + _TAG), value))
 
     tags = F.concat(*[tagged(c) for c in [*source.one_hot, *source.labels]])
-    names = {column + _TAG + str(value): name for column, name, value in named}
+    names = {column + _TAG + value_text(value): name for column, name, value in named}
     pivoted = (
         daily.select("period", *keys, F.explode(tags).alias("__tag"), "__n")
         .groupBy("period", *keys)
@@ -327,7 +340,7 @@ def _count_by_pivot(daily, source, keys, named, sums) -> DataFrame:
     base = daily.groupBy("period", *keys).agg(*(sums or [F.sum("__n").alias("__all")]))
     return fill_zero(
         base.join(pivoted, ["period", *keys], "left").select(
-            "period", *keys, *names.values(), *[quoted(c) for c in source.sums]
+            "period", *keys, *names.values(), *[quoted(c) for c in sum_names(source)]
         ),
         list(names.values()),
     )
@@ -354,6 +367,64 @@ def source_counts(
     return count_wide(daily, source, keys, lists)
 
 
+def long_counts(
+    source: EventSource,
+    keys: Sequence[str],
+    period: str = "year",
+    first: DataFrame | None = None,
+) -> DataFrame:
+    """Rows (period, keys, column, value, n): counts of any number of values, without a value list.
+
+    The same events count as in ``source_panel``; absent values have no row.
+    """
+    keys = list(keys)
+    by_day = _is_date(source) if source.target is not None else (first is None or dict(first.dtypes)["first_date"] == "date")
+    daily = source_daily(source, keys, period, by_day)
+    if source.target is not None:
+        daily = cut_lineage(daily)
+        first = label_of(daily, "event_date", F.col(IS_TARGET), keys)
+        daily = daily.where(~F.col(IS_TARGET)).drop(IS_TARGET)
+    if source.cutoff:
+        if first is None:
+            raise ValueError(f"source {source.name!r} needs first target dates")
+        daily = before_first_target(daily, first, keys)
+
+    def pairs(column: str) -> Column:
+        if column in source.labels:
+            values = F.coalesce(split_labels(quoted(column), source.separator), F.array().cast("array<string>"))
+        else:
+            values = F.array_compact(F.array(quoted(column).cast("string")))
+        return F.transform(values, lambda v: F.struct(F.lit(column).alias("column"), v.alias("value")))
+
+    rows = daily.select("period", *keys, "__n", F.explode(F.concat(*[pairs(c) for c in [*source.one_hot, *source.labels]])).alias("pair"))
+    return rows.groupBy("period", *keys, F.col("pair.column").alias("column"), F.col("pair.value").alias("value")).agg(
+        F.sum("__n").cast("bigint").alias("n")
+    )
+
+
+def value_index(counts: DataFrame) -> DataFrame:
+    """Rows (column, value, index) of ``long_counts``: places 0, 1, ... of the values in sorted order.
+
+    Values are range-partitioned; places come from a count per partition and
+    one within it, so no task sees all values.
+    """
+    ranged = counts.select("column", "value").distinct().repartitionByRange("column", "value")
+    ranged = cut_lineage(ranged.withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    sizes = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy("column", "value"))
+    placed = ranged.withColumn("__within", within).join(sizes, "__part")
+    return placed.select("column", "value", (F.col("__before") + F.col("__within") - 1).cast("bigint").alias("index"))
+
+
+def sparse_counts(counts: DataFrame, index: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows (period, keys, indices, counts): one sparse vector per (period, area), indices ascending."""
+    pairs = F.sort_array(F.collect_list(F.struct("index", "n")))
+    rows = counts.join(index, ["column", "value"]).groupBy("period", *keys).agg(pairs.alias("__pairs"))
+    return rows.select("period", *keys, F.col("__pairs.index").alias("indices"), F.col("__pairs.n").alias("counts"))
+
+
 def densify(counts: DataFrame, universe: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Known areas only, every period of the spine, zeros where nothing happened."""
     return fill_zero(
@@ -368,6 +439,7 @@ def source_panel(
     keys: Sequence[str],
     period: str = "year",
     first: DataFrame | None = None,
+    max_categories: int | None = MAX_CATEGORIES,
 ) -> DataFrame:
     """Dense counts of one source over its own periods, from one pass over its events.
 
@@ -379,7 +451,7 @@ def source_panel(
         first is None or dict(first.dtypes)["first_date"] == "date"
     )
     daily = cut_lineage(source_daily(source, keys, period, by_day))
-    lists, bounds = survey({source.name: (source, daily)})
+    lists, bounds = survey({source.name: (source, daily)}, limit=max_categories)
     if source.target is not None:
         first = label_of(daily, "event_date", F.col(IS_TARGET), keys)
     counts = source_counts(source, keys, period, lists, first, daily)
@@ -417,6 +489,7 @@ def build_panel(
     attributes: DataFrame | None = None,
     until: str | None = None,
     keep_unmatched_periods: bool = False,
+    max_categories: int | None = MAX_CATEGORIES,
 ) -> PanelResult:
     """Label, counted sources and static attributes per (period, area).
 
@@ -424,7 +497,8 @@ def build_panel(
     periods of the panel; the others are attached to it. ``min_ratio`` drops
     count columns whose sum over the full outer frame is below that share of
     its rows. ``keep_unmatched_periods`` also keeps periods found only in
-    another source.
+    another source. ``max_categories`` guards against an accidental flood of
+    columns and may be None; ``long_counts`` has no column per value at all.
 
     Each source is read once: its reduced rows are written to the checkpoint
     folder, and everything after works on those.
@@ -437,7 +511,7 @@ def build_panel(
     areas = areas.select(*keys).na.drop().distinct()
     by_day = _is_date(base)
     daily = _write_all({s.name: source_daily(s, keys, period, by_day) for s in sources})
-    lists, bounds = survey({s.name: (s, daily[s.name]) for s in sources})
+    lists, bounds = survey({s.name: (s, daily[s.name]) for s in sources}, limit=max_categories)
     span = [bounds[base.name]] if base.name in bounds else []
     further = [s for s in sources if s is not base and s.name in bounds]
 

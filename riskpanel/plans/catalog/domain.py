@@ -23,6 +23,16 @@ def parcel_id(key: str):
     return F.concat(F.lit("P"), F.col(key).cast("string"))
 
 
+def mixed_dates(day, key):
+    """A date as the portals' exports write it, in one of several ways."""
+    shapes = (
+        "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd HH:mm:ss.S", "M/d/yyyy h:mm:ss a",
+        "dd-MMM-yyyy", "MMMM d, yyyy",
+    )
+    turn = F.pmod(key, F.lit(len(shapes)))
+    return F.coalesce(*[F.when(turn == k, F.date_format(day, shape)) for k, shape in enumerate(shapes)])
+
+
 def assessments(t: Tables) -> DataFrame:
     balance = F.col("c_acctbal")
     return t.customer.select(
@@ -72,7 +82,7 @@ def liens(t: Tables) -> DataFrame:
     return t.orders.select(
         parcel_id("o_custkey").alias("pin"),
         F.when(F.col("o_orderstatus") == "O", "Elsewhere").otherwise("Riverton").alias("municipality"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"),
+        mixed_dates(F.col("o_orderdate"), F.col("o_orderkey")).alias("filing_date"),
         F.year("o_orderdate").cast("bigint").alias("tax_year"),
         F.col("o_orderpriority").alias("lien_description"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")).alias("amount"),
@@ -103,7 +113,7 @@ def incidents_old(t: Tables) -> DataFrame:
         F.concat(F.lit(" "), F.get(name, 0), F.lit("\t")).alias("street"),
         F.concat(F.lit(" "), F.get(name, 1)).alias("st_type"),
         F.concat("house", F.lit(" ")).alias("number"),
-        F.date_format("day", "yyyy-MM-dd HH:mm:ss").alias("CALL_CREATED_DATE"),
+        mixed_dates(F.col("day"), F.xxhash64("c_name")).alias("CALL_CREATED_DATE"),
         F.lit("unit").alias("PRIMARY_UNIT"),
     )
 
@@ -118,7 +128,7 @@ def incidents_new(t: Tables) -> DataFrame:
         .when(F.col("digit") == "4", F.concat(plain, F.lit(" #12")))
         .otherwise(plain).alias("street"),
         F.col("house").alias("number"),
-        F.date_format("day", "yyyy-MM-dd HH:mm:ss").alias("CALL_CREATED_DATE"),
+        mixed_dates(F.col("day"), F.xxhash64("c_name")).alias("CALL_CREATED_DATE"),
         F.lit("x").alias("alarms"),
     )
 
@@ -232,7 +242,7 @@ profile AS (
     + ", ".join(f"{c}" for c in cleaning.PROFILE_MODES)
     + ", "
     + ", ".join(
-        f"(SELECT CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) / nullif(count({c}), 0) FROM placed p WHERE p.tract = k.tract AND p.block = k.block) AS {c}"
+        f"(SELECT CAST(sum(CAST({c} AS DECIMAL(29,9))) AS DOUBLE) / nullif(count({c}), 0) FROM placed p WHERE p.tract = k.tract AND p.block = k.block) AS {c}"
         for c in cleaning.PROFILE_MEANS
     )
     + """, income AS "Estimate Income", by_block AS "Estimate By_ block", built AS "Estimate Built", age AS "Estimate Age"
@@ -334,7 +344,7 @@ def area_profile(t: Tables):
        l AS (SELECT year(tax_year) AS y, tract, block, count(*) FILTER (lien_description LIKE '1%') AS l1,
                     count(*) FILTER (lien_description LIKE '2%') AS l2, count(*) FILTER (lien_description LIKE '3%') AS l3,
                     count(*) FILTER (lien_description LIKE '4%') AS l4,
-                    CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount
+                    CAST(sum(CAST(amount AS DECIMAL(29,9))) AS DOUBLE) AS amount
              FROM lien_areas GROUP BY ALL)
        SELECT make_date(y, 12, 31) AS period, tract, block, CAST(CASE WHEN first_date IS NULL THEN 0 ELSE 1 END AS BIGINT) AS target,
               CAST(coalesce(n2 + n3 + n4 + n5, 0) AS BIGINT) AS incidents, CAST(coalesce(n3, 0) AS BIGINT) AS incidents_3,
@@ -362,8 +372,8 @@ def residential_panel(t: Tables):
         total("inspection__A", "inspection__N", "inspection__R").alias("inspections"),
         total("inspection__F").alias("violations_f"),
         total("inspection__X").alias("violations_x"),
-        total(*[c for c in panel.columns if c.startswith("lien__")]).alias("liens"),
-        "amount",
+        total(*[c for c in panel.columns if c.startswith("lien__") and c != "lien__amount"]).alias("liens"),
+        F.col("lien__amount").alias("amount"),
         F.col("USEDESC__SINGLE").cast("int").alias("use_single"),
         F.col("SALEPRICE").alias("sale_price"),
         F.col("`Estimate Income`").alias("income"),

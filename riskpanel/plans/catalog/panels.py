@@ -140,9 +140,9 @@ _LIEN_SQL = """
  lien AS (
   SELECT make_date(year(order_date), 12, 31) AS period, nation, segment,
          CAST(count(*) FILTER (status = 'F') AS BIGINT) AS l_f, CAST(count(*) FILTER (status = 'P') AS BIGINT) AS l_p,
-         CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS amount
+         CAST(sum(CAST(price AS DECIMAL(29,9))) AS DOUBLE) AS amount
   FROM placed WHERE status <> 'O' GROUP BY ALL)"""
-_LIEN_COLUMNS_SQL = """coalesce(l_f, 0) AS lien__F, coalesce(l_p, 0) AS lien__P, coalesce(amount, 0.0) AS price"""
+_LIEN_COLUMNS_SQL = """coalesce(l_f, 0) AS lien__F, coalesce(l_p, 0) AS lien__P, coalesce(amount, 0.0) AS lien__price"""
 
 
 @query(
@@ -192,7 +192,7 @@ def panel_assembled(t: Tables):
          UNION ALL SELECT 'inspection__R', sum(r_r) FROM inspection UNION ALL SELECT 'inspection__R_2', sum(r_r) FROM inspection
          UNION ALL SELECT 'inspection__F', sum(s_f) FROM inspection UNION ALL SELECT 'inspection__O', sum(s_o) FROM inspection
          UNION ALL SELECT 'lien__F', sum(l_f) FROM lien UNION ALL SELECT 'lien__P', sum(l_p) FROM lien
-         UNION ALL SELECT 'price', sum(amount) FROM lien)
+         UNION ALL SELECT 'lien__price', sum(amount) FROM lien)
        SELECT feature, CAST(n AS BIGINT) AS frame_rows, CASE WHEN total >= n * 3.0 THEN 1 ELSE 0 END AS kept FROM sums, frame""",
 )
 def panel_pruned(t: Tables):
@@ -218,3 +218,81 @@ def panel_all_periods(t: Tables):
     panel = order_panel(t, keep_unmatched_periods=True).panel
     total = sum((quoted(f"inspection__{r}") for r in "ANR"), F.lit(0))
     return panel.select("period", *AREA, "target", total.cast("bigint").alias("inspections"))
+
+
+@query(
+    "panel_two_amounts",
+    f"""WITH {PLACED_ORDERS_SQL}, {_CUT_LINES_SQL.replace("l_returnflag AS result", "l_extendedprice * l_discount AS price, l_returnflag AS result")},
+       line_sums AS (SELECT period, nation, segment, CAST(sum(CAST(round(price, 4) AS DECIMAL(38,6))) AS DOUBLE) AS fine FROM lines GROUP BY ALL),
+       order_sums AS (SELECT make_date(year(order_date), 12, 31) AS period, nation, segment,
+                             CAST(sum(CAST(price AS DECIMAL(38,6))) AS DOUBLE) AS whole,
+                             CAST(count(*) FILTER (status = 'F') AS BIGINT) AS finished
+                      FROM placed GROUP BY ALL)
+       SELECT period, nation, segment, coalesce(fine, 0.0) AS line__price, coalesce(whole, 0.0) AS order__price,
+              CAST(coalesce(finished, 0) AS BIGINT) AS finished
+       FROM spine LEFT JOIN line_sums USING (period, nation, segment) LEFT JOIN order_sums USING (period, nation, segment)""",
+)
+def panel_two_amounts(t: Tables):
+    """Two sources with an amount column of the same name, one with four decimals; a fixed list of truth values."""
+    orders = placed_orders(t)
+    keys = orders.select("o_orderkey", "nation", "segment")
+    lines = t.lineitem.select(
+        "l_orderkey", F.col("l_shipdate").cast("date").alias("day"), F.round(F.col("l_extendedprice") * F.col("l_discount"), 4).alias("price")
+    ).join(keys, F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = orders.withColumn("finished", F.col("status") == "F")
+    target = p.EventSource("call", orders, "order_date", target=is_target())
+    panel = p.build_panel(
+        areas(t),
+        [
+            target,
+            p.EventSource("line", lines, "day", sums=["price"], cutoff=False),
+            p.EventSource("order", orders, "order_date", one_hot=["finished"], sums=["price"], cutoff=False, values={"finished": [True, False]}),
+        ],
+        AREA,
+    ).panel
+    return panel.select("period", *AREA, "line__price", "order__price", quoted("order__True").cast("bigint").alias("finished"))
+
+
+def word_source(t: Tables) -> p.EventSource:
+    """Documents as events of their language and source, with every word of the text as a label."""
+    day = F.date_add(F.lit("2015-01-01").cast("date"), (F.col("doc_id") % 700).cast("int"))
+    rows = t.documents.select("lang", "source", day.alias("day"), "text")
+    return p.EventSource("word", rows, "day", labels=["text"], separator=" ", cutoff=False)
+
+
+_WORDS_SQL = """
+ words AS (
+  SELECT make_date(year(DATE '2015-01-01' + CAST(doc_id % 700 AS INTEGER)), 12, 31) AS period, lang, source,
+         unnest(list_distinct(string_split(text, ' '))) AS value
+  FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+ counted AS (SELECT period, lang, source, value, CAST(count(*) AS BIGINT) AS n FROM words WHERE value <> '' GROUP BY ALL)"""
+
+
+@query(
+    "long_label_counts",
+    f"""WITH {_WORDS_SQL} SELECT period, lang, source, 'text' AS "column", value, n FROM counted""",
+)
+def long_label_counts(t: Tables):
+    """Any number of labels in long form; no list of values is read."""
+    return p.long_counts(word_source(t), ["lang", "source"])
+
+
+@query(
+    "sparse_label_counts",
+    f"""WITH {_WORDS_SQL},
+       places AS (SELECT value, row_number() OVER (ORDER BY encode(value)) - 1 AS index FROM (SELECT DISTINCT value FROM counted))
+       SELECT period, lang, source, CAST(count(*) AS BIGINT) AS filled, CAST(sum(n) AS BIGINT) AS total,
+              CAST(sum(n * index) AS BIGINT) AS weighted, CAST(min(index) AS BIGINT) AS first_index, CAST(max(index) AS BIGINT) AS last_index
+       FROM counted JOIN places USING (value) GROUP BY ALL""",
+)
+def sparse_label_counts(t: Tables):
+    """The long counts as one sparse vector per (period, language, source), told by its sums."""
+    keys = ["lang", "source"]
+    counts = p.long_counts(word_source(t), keys)
+    rows = p.sparse_counts(counts, p.value_index(counts), keys)
+    add = lambda values: F.aggregate(values, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return rows.select(
+        "period", *keys, F.size("counts").cast("bigint").alias("filled"), add(F.col("counts")).alias("total"),
+        add(F.zip_with("indices", "counts", lambda i, n: i * n)).alias("weighted"),
+        F.element_at("indices", 1).alias("first_index"), F.element_at("indices", -1).alias("last_index"),
+    )

@@ -123,6 +123,25 @@ def date_parts_and_year_end(t: Tables):
     )
 
 
+DATE_SHAPES = (
+    "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "M/d/yyyy", "MM/dd/yy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss'Z'", "M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm", "dd-MMM-yyyy", "MMM d, yyyy",
+    "d MMMM yyyy HH:mm:ss",
+)
+
+
+@query(
+    "date_shapes",
+    f"""SELECT o_orderkey, CAST(k AS INTEGER) AS shape, CAST(o_orderdate AS TIMESTAMP) AS moment, CAST(o_orderdate AS DATE) AS day
+       FROM orders CROSS JOIN (SELECT unnest(range({len(DATE_SHAPES)})) AS k)""",
+)
+def date_shapes(t: Tables):
+    """Every order date written in fourteen ways and read back; none is lost."""
+    written = [F.struct(F.lit(k).alias("shape"), F.date_format("o_orderdate", s).alias("raw")) for k, s in enumerate(DATE_SHAPES)]
+    rows = t.orders.select("o_orderkey", F.explode(F.array(*written)).alias("w")).select("o_orderkey", "w.shape", "w.raw")
+    return rows.select("o_orderkey", "shape", dates.parse_timestamp("raw").alias("moment"), dates.parse_date("raw").alias("day"))
+
+
 @query(
     "date_rejects",
     """SELECT o_orderpriority, CAST(count(*) FILTER (o_orderstatus = 'P') AS BIGINT) AS rejects,

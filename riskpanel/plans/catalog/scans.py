@@ -124,3 +124,46 @@ def landed_table_scan(t: Tables):
     schema = T.StructType.fromDDL("o_orderkey bigint, o_totalprice double, o_orderstatus string")
     landed = t.spark.read.schema(schema).parquet(folder)
     return readers.filtered_scan(landed, F.col("o_orderstatus").isin("F", "O"))
+
+
+@query(
+    "csv_column_orders",
+    """SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS order_date FROM orders""",
+)
+def csv_column_orders(t: Tables):
+    """Two files whose headers order the columns differently; columns are bound by name."""
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("order_date"))
+    folder = scratch_folder(t.spark, "orders-orders")
+    even = sinks.write_csv(rows.where("o_orderkey % 2 = 0"), f"{folder}/even")
+    turned = rows.where("o_orderkey % 2 <> 0").select("order_date", "o_totalprice", "o_orderkey", "o_orderstatus")
+    odd = sinks.write_csv(turned, f"{folder}/odd")
+    return readers.read_csv(t.spark, [even, odd], ORDER_CSV)
+
+
+@query(
+    "csv_quoted_breaks",
+    """SELECT doc_id, text, lang FROM (SELECT doc_id, replace(text, chr(10), chr(10) || '"q", ') AS text, lang FROM documents)""",
+)
+def csv_quoted_breaks(t: Tables):
+    """Texts with line breaks, quotes and separators, one record each."""
+    out = t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit('\n"q", ')).alias("text"), "lang")
+    folder = scratch_folder(t.spark, "documents-csv")
+    out.write.option("header", "true").option("escape", '"').csv(folder)
+    schema = T.StructType.fromDDL("doc_id bigint, text string, lang string")
+    return readers.read_csv(t.spark, folder, schema, missing=(), multi_line=True)
+
+
+@query(
+    "csv_two_line_header",
+    """SELECT CAST(c_custkey AS VARCHAR) AS "Id", c_name AS "Real name", CAST(c_acctbal AS DOUBLE) AS "Balance" FROM customer""",
+)
+def csv_two_line_header(t: Tables):
+    """A file with a code line above its header line."""
+    from ...operators.columns import promote_header
+
+    rows = t.customer.select(F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("string"))
+    head = t.spark.createDataFrame([("Id", "Real name", "Balance")], rows.schema)
+    folder = scratch_folder(t.spark, "two-line-csv")
+    head.unionByName(rows).toDF("HD.0", "HD.1", "HD.2").write.option("header", "true").csv(folder)
+    named = promote_header(readers.read_two_line_csv(t.spark, folder), "Id")
+    return named.withColumn("Balance", F.col("Balance").cast("double"))

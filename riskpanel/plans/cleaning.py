@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.dates import date_text, parse_date, parse_timestamp, year_end
+from ..functions.dates import count_rejects, parse_date, parse_timestamp, year_end
 from ..functions.numbers import scaled_key
 from ..functions.text import (
     GEOGRAPHY_PATTERN,
@@ -90,8 +90,11 @@ def clean_census(raw: DataFrame) -> DataFrame:
 
 
 def combine_census(tables: Sequence[DataFrame]) -> DataFrame:
-    """All census attributes per area; areas without a key match each other."""
-    return outer_join_all(list(tables), KEYS)
+    """All census attributes per area. Rows without a key name no area and would only multiply; they are left out.
+
+    An attribute name found in several tables gets the suffixes ``_x`` and ``_y``.
+    """
+    return outer_join_all([t.na.drop(subset=list(KEYS)) for t in tables], KEYS)
 
 
 def clean_properties(
@@ -113,7 +116,7 @@ def clean_properties(
 
 
 def clean_inspections(inspections: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Distinct inspections of residential parcels with parsed dates."""
+    """Distinct inspections of residential parcels with parsed dates; unread dates stay apart in ``distinct``."""
     inspections = inspections.withColumns(
         {"STREET_NAME": strip("STREET_NAME"), "STREET_NUM": strip("STREET_NUM")}
     )
@@ -124,14 +127,20 @@ def clean_inspections(inspections: DataFrame, lookup: DataFrame) -> DataFrame:
             parse_timestamp("INSPECTION_DATE").alias("INSPECTION_DATE"),
             "INSPECTION_RESULT",
             "VIOLATION",
+            F.col("INSPECTION_DATE").alias("__raw"),
         )
+        .withColumn("__raw", F.when(F.col("INSPECTION_DATE").isNull(), F.col("__raw")))
         .withColumn("violation_year", F.year("INSPECTION_DATE"))
         .distinct()
+        .drop("__raw")
     )
 
 
 def clean_liens(liens: DataFrame, lookup: DataFrame, municipality: str) -> DataFrame:
-    """Distinct complete liens of residential parcels; the tax year becomes its last day."""
+    """Distinct complete liens of residential parcels; the tax year becomes its last day.
+
+    Liens whose filing dates cannot be read are told apart by the raw text.
+    """
     required = ["pin", "tax_year", "lien_description", "amount", "satisfied"]
     rows = drop_null_rows(liens.where(F.col("municipality") == municipality), required)
     return (
@@ -143,8 +152,11 @@ def clean_liens(liens: DataFrame, lookup: DataFrame, municipality: str) -> DataF
             "lien_description",
             "amount",
             "satisfied",
+            F.col("filing_date").alias("__raw"),
         )
+        .withColumn("__raw", F.when(F.col("filing_date").isNull(), F.col("__raw")))
         .distinct()
+        .drop("__raw")
     )
 
 
@@ -163,7 +175,7 @@ def area_profile(
 ) -> tuple[DataFrame, DataFrame]:
     """(profile, areas): modes and means per area joined with census attributes, and the area list."""
     placed = left_lookup(properties, parcels, {"PARID": "PIN"})
-    profile = group_profile(placed, KEYS, PROFILE_MODES, PROFILE_MEANS, exact_scale=2)
+    profile = group_profile(placed, KEYS, PROFILE_MODES, PROFILE_MEANS, exact_scale=9)
     joined = profile.join(census, list(KEYS), "inner")
     return joined, joined.select(*KEYS).distinct()
 
@@ -197,7 +209,7 @@ def clean_incidents(
         {
             "street": clean_street("street"),
             "number": strip("number"),
-            "CALL_CREATED_DATE": parse_date(date_text("CALL_CREATED_DATE")),
+            "CALL_CREATED_DATE": parse_date("CALL_CREATED_DATE"),
         }
     )
     rows = rows.withColumn("incident_year", F.year("CALL_CREATED_DATE"))
@@ -217,18 +229,37 @@ def incidents_to_areas(
     """Incidents by address to parcels to areas; distinct rows of the kept columns.
 
     An address shared by several parcels puts the incident into each of their
-    areas. ``min_fraction`` drops kept columns with too few values first; without
-    it, repeated events of an address collapse before the joins.
+    areas. Addresses are brought to distinct areas before any incident meets
+    them, so an address of many parcels in one area is one row. ``min_fraction``
+    drops kept columns with too few values first; without it, repeated events of
+    an address collapse before the join.
     """
     if min_fraction is None:
         incidents = incidents.select(*[quoted(c) for c in keep], "street", "number").distinct()
+    parcel_rows = left_lookup(lookup, parcels, {"PARID": "PIN"})
+    addresses = drop_null_rows(parcel_rows, KEYS).groupBy("PROPERTYADDRESS", "PROPERTYHOUSENUM", *KEYS).agg(
+        F.count(F.lit(1)).alias("__parcels")
+    )
     placed = equi_join(
-        incidents, lookup, {"street": "PROPERTYADDRESS", "number": "PROPERTYHOUSENUM"}, "inner"
+        incidents, addresses, {"street": "PROPERTYADDRESS", "number": "PROPERTYHOUSENUM"}, "inner"
     )
-    placed = drop_null_rows(left_lookup(placed, parcels, {"PARID": "PIN"}), KEYS)
-    rows = placed.select(*[quoted(c) for c in keep], *KEYS)
     if min_fraction is not None:
-        rows = drop_sparse(rows, min_fraction=min_fraction)
-    return rows.distinct()
+        # The share is of the rows per parcel, which the counts stand for.
+        filled = [F.sum(F.when(quoted(c).isNotNull(), F.col("__parcels")).otherwise(0)).alias(c) for c in keep]
+        row = placed.agg(F.sum("__parcels").alias("__all"), *filled).first()
+        keep = [c for c in keep if (row[c] or 0) >= min_fraction * (row["__all"] or 0)]
+    return placed.select(*[quoted(c) for c in keep], *KEYS).distinct()
 
 
+def date_rejects(
+    inspections: DataFrame, liens: DataFrame, incidents: Sequence[DataFrame]
+) -> dict[str, int]:
+    """Texts per source that are there but are no date, from one pass over each date column."""
+    columns = [("inspections", inspections, "INSPECTION_DATE"), ("liens", liens, "filing_date")]
+    columns += [("incidents", table, "CALL_CREATED_DATE") for table in incidents]
+    parts = [
+        table.agg(count_rejects(column, parse_timestamp(column)).alias("n")).select(F.lit(name).alias("source"), "n")
+        for name, table, column in columns
+    ]
+    rows = union_all_names(*parts).groupBy("source").agg(F.sum("n").alias("n")).collect()
+    return {row["source"]: row["n"] for row in rows}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import target_flag
 from ..operators.columns import categories_of, drop_columns, one_hot, quoted
 from ..operators.panel import EventSource, PanelResult, build_panel
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_to_table
 from ..sources import readers, schemas
 from . import cleaning
 
@@ -41,20 +41,25 @@ class Sources:
     incidents_new: DataFrame
 
 
-def read_sources(spark: SparkSession, folder: str, files: Mapping | None = None) -> Sources:
-    """All landed files of one folder; ``files`` overrides names in ``schemas.FILES``."""
+def read_sources(
+    spark: SparkSession, folder: str, files: Mapping | None = None, multi_line: bool = False
+) -> Sources:
+    """All landed files of one folder; ``files`` overrides names in ``schemas.FILES``.
+
+    ``multi_line`` reads quoted line breaks, at the price of one task per file.
+    """
     folder = folder.rstrip("/")
     names = {**schemas.FILES, **(files or {})}
 
     def csv(key: str, schema, encoding: str = "UTF-8") -> DataFrame:
-        return readers.read_csv(spark, f"{folder}/{names[key]}", schema, encoding)
+        return readers.read_csv(spark, f"{folder}/{names[key]}", schema, encoding, multi_line=multi_line)
 
     return Sources(
         inspections=csv("inspections", schemas.INSPECTIONS),
         assessments=csv("assessments", schemas.ASSESSMENTS, "ISO-8859-1"),
         liens=csv("liens", schemas.LIENS),
         parcels=csv("parcels", schemas.PARCELS),
-        census=[readers.read_two_line_csv(spark, f"{folder}/{name}") for name in names["census"]],
+        census=[readers.read_two_line_csv(spark, f"{folder}/{name}", multi_line=multi_line) for name in names["census"]],
         incidents_old=csv("incidents_old", None, "ISO-8859-1"),
         incidents_new=csv("incidents_new", None),
     )
@@ -67,6 +72,7 @@ class Prepared:
     liens: DataFrame
     profile: DataFrame
     areas: DataFrame
+    rejects: Mapping[str, int]
 
 
 def prepare(
@@ -75,10 +81,27 @@ def prepare(
     rare_count: int = cleaning.RARE_CODE_COUNT,
     min_values: int | None = cleaning.PROPERTY_MIN_VALUES,
     fix_street_type: bool = False,
+    keep: Sequence[str] = ("CALL_CREATED_DATE", "code"),
+    min_fraction: float | None = None,
+    bad_dates: str = "raise",
 ) -> Prepared:
-    """Clean every source and attach areas."""
+    """Clean every source and attach areas.
+
+    ``keep`` and ``min_fraction`` are the kept incident columns and the share of
+    values each must have. Texts that are no date raise, with their number per
+    source; with ``bad_dates="drop"`` they are only counted, in ``rejects``.
+    """
+    if bad_dates not in ("raise", "drop"):
+        raise ValueError("bad_dates is 'raise' or 'drop'")
+    rejects = cleaning.date_rejects(
+        sources.inspections, sources.liens, [sources.incidents_old, sources.incidents_new]
+    )
+    if bad_dates == "raise" and any(rejects.values()):
+        raise ValueError(f"texts that are no date: {rejects}; pass bad_dates='drop' to go on without them")
     properties, lookup = cleaning.clean_properties(sources.assessments, place.city, min_values)
-    parcels = cleaning.parcel_areas(sources.parcels, place.subdivision)
+    # Read by every source below: written once.
+    lookup = cut_to_table(lookup)
+    parcels = cut_to_table(cleaning.parcel_areas(sources.parcels, place.subdivision))
     census = cleaning.combine_census([cleaning.clean_census(t) for t in sources.census])
     profile, _ = cleaning.area_profile(properties, parcels, census)
     # One row per area; read for the area list, the categories and the final join.
@@ -89,11 +112,12 @@ def prepare(
         sources.incidents_old, sources.incidents_new, rare_count, fix_street_type
     )
     return Prepared(
-        incidents=cleaning.incidents_to_areas(incidents, lookup, parcels),
+        incidents=cleaning.incidents_to_areas(incidents, lookup, parcels, keep, min_fraction),
         inspections=cleaning.events_to_areas(inspections, parcels, "PARCEL"),
         liens=cleaning.events_to_areas(liens, parcels, "pin"),
         profile=profile,
         areas=profile.select(*cleaning.KEYS).distinct(),
+        rejects=rejects,
     )
 
 

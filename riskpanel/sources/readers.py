@@ -1,19 +1,21 @@
 """Readers for landed files: CSV in several encodings, JSON record lists, filtered tables.
 
-CSV columns are bound by header name, not by position: the header line is read
-first (one line, on the driver) and the declared types are applied to the
-columns found. Missing-value tokens become null in the scan's projection.
+CSV columns are bound by header name, not by position: the header line of every
+file is read first (one line each, on the driver), files are grouped by their
+header, and the declared types are applied to the columns found. Missing-value tokens become null in the scan's projection.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import MISSING_TOKENS, missing_to_null
 from ..operators.columns import quoted
+from ..session import run_parallel
 
 # Byte order mark as text, and as it looks after a wrong decoding.
 _MARKS = ("\ufeff", "\u00ef\u00bb\u00bf", "\u00ef..")
@@ -34,6 +36,16 @@ def csv_header(spark: SparkSession, path, encoding: str, sep: str) -> list[str]:
     return [clean_header(value, i) for i, value in enumerate(first or [])]
 
 
+def headers(spark: SparkSession, path: str | Sequence[str], encoding: str, sep: str) -> list[tuple[list[str], list[str]]]:
+    """(header, files) for every different header among the files of a path."""
+    paths = [path] if isinstance(path, str) else list(path)
+    files = sorted(row["path"] for row in spark.read.format("binaryFile").load(paths).select("path").collect())
+    groups: dict[tuple, list[str]] = {}
+    for file, header in zip(files, run_parallel(lambda f: csv_header(spark, f, encoding, sep), files, 8)):
+        groups.setdefault(tuple(header), []).append(file)
+    return [(list(header), found) for header, found in groups.items() if header] or [([], paths)]
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -46,28 +58,12 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header line. Columns absent from ``schema`` are text.
 
-    A declared column that is not in the file is an error. ``select_declared``
-    returns only the declared columns, which prunes the scan.
+    Files may order their columns differently and may have columns of their own,
+    null elsewhere. A declared column that a file lacks is an error.
+    ``select_declared`` returns only the declared columns, which prunes the
+    scan. ``multi_line`` reads line breaks within quotes, one file per task.
     """
-    path = list(path) if not isinstance(path, str) else path
-    names = csv_header(spark, path, encoding, sep)
     types = {f.name: f.dataType for f in schema.fields} if schema else {}
-    absent = [n for n in types if n not in names]
-    if absent:
-        raise ValueError(f"{path}: columns not found: {absent}")
-    # Everything is scanned as text, then cast, so a token such as "NA" in a number column is null.
-    raw = (
-        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-        .option("header", "true")
-        .option("enforceSchema", "true")
-        .option("encoding", encoding)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", str(multi_line).lower())
-        .csv(path)
-    )
-    chosen = list(types) if select_declared else names
 
     def typed(name: str) -> Column:
         value = missing_to_null(quoted(name), missing) if missing else quoted(name)
@@ -79,10 +75,30 @@ def read_csv(
             return value.try_cast("decimal(38,6)").try_cast("bigint").alias(name)
         return value.try_cast(kind).alias(name)
 
-    return raw.select(*[typed(n) for n in chosen])
-
-
-def read_two_line_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    parts = []
+    for names, files in headers(spark, path, encoding, sep):
+        absent = [n for n in types if n not in names]
+        if absent:
+            raise ValueError(f"{files}: columns not found: {absent}")
+        # Everything is scanned as text, then cast, so a token such as "NA" in a number column is null.
+        raw = (
+            spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+            .option("header", "true")
+            .option("enforceSchema", "true")
+            .option("encoding", encoding)
+            .option("sep", sep)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("multiLine", str(multi_line).lower())
+            .csv(files)
+        )
+        parts.append(raw.select(*[typed(n) for n in (list(types) if select_declared else names)]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_two_line_csv(
+    spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False
+) -> DataFrame:
     """CSV whose data starts with a second header line; both stay for ``promote_header``.
 
     Columns are named by position so that repeated or dotted codes do no harm;
@@ -92,7 +108,7 @@ def read_two_line_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     return (
         spark.read.schema(schema).option("header", "true").option("encoding", encoding)
-        .option("quote", '"').option("escape", '"').csv(path)
+        .option("quote", '"').option("escape", '"').option("multiLine", str(multi_line).lower()).csv(path)
     )
 
 
@@ -101,12 +117,12 @@ def read_json_records(
     path: str,
     record_schema: T.StructType,
     at: str = "result.records",
-    one_per_file: bool = True,
+    one_per_file: bool = False,
 ) -> DataFrame:
-    """Rows of a record list inside JSON documents, one per file or one per line.
+    """Rows of a record list inside JSON documents, one per line or one per file.
 
-    One document per line lets a large file be split; a whole-file document is
-    read by one task.
+    One document per line lets a large file be split. With ``one_per_file`` a
+    document may span lines, and each file is read by one task.
     """
     schema: T.DataType = T.ArrayType(record_schema)
     for name in reversed(at.split(".")):

@@ -1,4 +1,4 @@
-"""Explicit schemas: no source is read with type inference.
+"""Explicit schemas: no source is read with type inference; columns without a declared type are text.
 
 The tables and their column names are fixed values given by the data portals.
 Text columns stay text until a cleaning plan converts them, so that a bad value
@@ -33,21 +33,6 @@ LIENS = _schema(
     ["pin", "municipality", "filing_date", "lien_description", "satisfied"], ["amount"], ["tax_year"]
 )
 PARCELS = _schema(["PIN", "BLOCKCE10", "geo_name_cousub"], longs=["TRACTCE10"])
-INCIDENTS_OLD = _schema(
-    [
-        "Unnamed: 0", "PRIMARY_UNIT", "MAP_PAGE", "alm_dttm", "arv_dttm", "XCOORD", "YCOORD", "inci_id",
-        "inci_type", "alarms", "st_prefix", "st_suffix", "st_type", "CALL_NO", "descript", "AGENCY",
-        "street", "number", "full.code", "CALL_CREATED_DATE",
-    ]
-)
-INCIDENTS_NEW = _schema(
-    [
-        "alm_dttm", "arv_dttm", "XCOORD", "YCOORD", "alarms", "inci_type", "CALL_NO", "descript", "street",
-        "number", "full.code", "CALL_CREATED_DATE", "st_prefix", "st_suffix", "st_type", "prop_use_code",
-        "prop_use_descript", "response_time", "CALL_TYPE_FINAL", "COUNCIL", "NEIGHBORHOOD", "PRIMARY_UNIT",
-    ]
-)
-
 # Names under which the landed files are looked up; a caller may pass its own.
 FILES = {
     "inspections": "inspections.csv",

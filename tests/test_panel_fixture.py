@@ -122,7 +122,7 @@ EXPECTED = {
 }
 COLUMNS = [
     "target", "incident__735 - Alarm", "incident__745 - Alarm", "inspection__Violations Found",
-    "inspection__Abated", "inspection__A", "inspection__B", "amount", "lien__CITY", "lien__SCHOOL",
+    "inspection__Abated", "inspection__A", "inspection__B", "lien__amount", "lien__CITY", "lien__SCHOOL",
 ]
 
 
