@@ -52,7 +52,7 @@ def expected_panel(calls, visits):
                 counts[(*key, f"visit__{what}")] += 1
             for label in {x for x in (labels or "").split(" :: ") if x}:
                 counts[(*key, f"visit__{label}")] += 1
-            counts[(*key, "amount")] += round(amount * 100)
+            counts[(*key, "visit__amount")] += round(amount * 100)
     days = [month_end(c[0]) for c in calls]
     periods = period_values([(min(days), max(days))], "month")
     return {
@@ -60,7 +60,7 @@ def expected_panel(calls, visits):
     }
 
 
-NAMES = ["call__2b", "call__3c", "call__4d", "visit__x", "visit__y", "visit__A", "visit__B", "amount"]
+NAMES = ["call__2b", "call__3c", "call__4d", "visit__x", "visit__y", "visit__A", "visit__B", "visit__amount"]
 
 
 @pytest.mark.parametrize("seed,ratio", [(1, None), (2, 0.0)])
@@ -76,7 +76,7 @@ def test_panel_equals_plain_python(spark, seed, ratio):
     result = build_panel(areas, sources, ["area"], "month", min_ratio=ratio)
     got = {}
     for r in result.panel.collect():
-        values = {c: round(r[c] * 100) if c == "amount" else r[c] for c in NAMES}
+        values = {c: round(r[c] * 100) if c == "visit__amount" else r[c] for c in NAMES}
         assert (r["period"], r["area"]) not in got
         got[r["period"], r["area"]] = (r["target"], values)
     assert got == expected_panel(calls, visits)
