@@ -10,7 +10,8 @@ other training documents turns both into a score.
 
 Counting is exact and grouped by Spark. For scoring, probabilities are folded
 into hashed slots whose number follows the counted n-grams up to a stated bound,
-so the model that is broadcast has a proven size; n-grams that share a slot add up.
+so the model that is broadcast has a proven size; of keys that share a slot the
+one with most evidence stays, and a stored check tells the others apart.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import cut_to_table
 from .common import separators, text_bytes, with_text, word_hashes
 
-# Hashed slots at most: 2^21 words (nine floats) and 2^22 bigrams (three floats), 126 MB.
+# Hashed slots at most: 2^21 words (nine floats and a check) and 2^22 bigrams (three and a check), 138 MB.
 MAX_WORD_BITS = 21
 MAX_BIGRAM_BITS = 22
 # Labelled rows at most that the two-feature curve is fitted on.
@@ -36,8 +37,9 @@ MAX_BROADCAST_LABELS = 2_000_000
 # The words that ssharp most for toxicity: this share of a text, and no fewer than so many.
 SHARP_SHARE = 0.015
 SHARP_LEAST = 2
+# Words without evidence that every text is taken to have besides its own.
+PRIOR_WORDS = 8
 _SEPARATORS = separators(only_alphanumeric=True)
-_LEFT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _grams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +47,12 @@ def _grams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     left = np.concatenate((np.zeros(1, np.uint64), words[:-1])) if len(words) else words
     starts = bounds[:-1][bounds[:-1] < len(words)]
     left[starts] = 0
-    return left, left * _LEFT + words
+    return left, ((left << np.uint64(23)) | (left >> np.uint64(41))) ^ words
+
+
+def gram_key(left: Column, word: Column) -> Column:
+    """The same bigram key as an expression."""
+    return F.shiftleft(left, 23).bitwiseOR(F.shiftrightunsigned(left, 41)).bitwiseXOR(word)
 
 
 def count_bigrams(labelled: DataFrame) -> DataFrame:
@@ -85,23 +92,34 @@ def _bits(types: int, most: int) -> int:
     return int(min(most, max(12, int(types).bit_length() + 2)))
 
 
-def _slots(df: DataFrame, key: str, bits: int, *sums: str, least: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
-    """Fold rows into hashed slots and fetch them: at most 2^bits rows."""
-    slot = F.col(key).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("slot")
-    folded = df.groupBy(slot).agg(
-        *[F.sum(c).cast("float").alias(c) for c in sums], *[F.min(c).cast("float").alias(c) for c in least]
+def _slots(df: DataFrame, key: Column, bits: int, order: Column, *columns: str) -> dict[str, np.ndarray]:
+    """Fold rows into hashed slots and fetch them: at most 2^bits rows.
+
+    A slot holds the row with the largest ``order`` and a check of its key, so a
+    key that finds another's row counts as unseen instead of borrowing it.
+    """
+    rows = df.select(
+        key.bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("slot"), order.alias("order"),
+        F.struct(F.shiftrightunsigned(key, 48).cast("int").alias("check"), *[F.col(c).cast("float").alias(c) for c in columns]).alias("row"),
     )
-    rows = folded.toArrow()
-    return {c: rows.column(c).to_numpy() for c in ("slot", *sums, *least)}
+    folded = rows.groupBy("slot").agg(F.max(F.struct("order", "row")).alias("best")).select("slot", "best.row.*").toArrow()
+    return {c: folded.column(c).to_numpy() for c in ("slot", "check", *columns)}
+
+
+def _check(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(48)).astype(np.uint16)
 
 
 @dataclass
 class Model:
-    """Probabilities by hashed slot. ``curve`` holds intercept and weights of the score."""
+    """Probabilities by hashed slot, and the curve that turns evidence into a score."""
 
     word: np.ndarray  # by word slot: toxic, ordinary, shared share; their backoff weights; one over their counts
     bigram: np.ndarray  # by bigram slot: discounted counts, toxic, ordinary, shared
-    curve: np.ndarray
+    word_check: np.ndarray  # which key each slot holds
+    bigram_check: np.ndarray
+    unseen: np.ndarray  # the columns of ``word`` for a word that is in no slot
+    curve: np.ndarray  # intercept and weights of the score
 
     def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood difference per word: over the whole text, and over the words where it is highest."""
@@ -112,21 +130,29 @@ class Model:
             if not len(words):
                 continue
             left, gram = _grams(words, bounds)
-            w, h, g = (words & word_mask).astype(np.int64), (left & word_mask).astype(np.int64), (gram & gram_mask).astype(np.int64)
+            of_word, of_left = (self.look_up(keys, word_mask) for keys in (words, left))
+            slot = (gram & gram_mask).astype(np.int64)
+            pair = self.bigram[:, slot] * (self.bigram_check[slot] == _check(gram))
             # Relative to the word's shared share.
-            base = self.bigram[2, g] * self.word[8, h] / self.word[2, w] + self.word[5, h]
-            toxic = self.bigram[0, g] * self.word[6, h] + self.word[3, h] * base * self.word[0, w]
-            ordinary = self.bigram[1, g] * self.word[7, h] + self.word[4, h] * base * self.word[1, w]
+            base = pair[2] * of_left[8] / of_word[2] + of_left[5]
+            toxic = pair[0] * of_left[6] + of_left[3] * base * of_word[0]
+            ordinary = pair[1] * of_left[7] + of_left[4] * base * of_word[1]
             each = np.log(toxic, dtype=np.float64) - np.log(ordinary, dtype=np.float64)
             for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
                 if a == b:
                     continue
                 found = each[a:b]
-                whole[first + i] = found.mean()
-                few = min(len(found), max(SHARP_LEAST, math.ceil(SHARP_SHARE * len(found))))
-                sharp[first + i] = np.partition(found, len(found) - few)[-few:].mean()
+                # A few words are weaker evidence than many.
+                whole[first + i] = found.sum() / (len(found) + PRIOR_WORDS)
+                few = max(SHARP_LEAST, math.ceil(SHARP_SHARE * len(found)))
+                top = np.partition(found, len(found) - few)[-few:] if few < len(found) else found
+                sharp[first + i] = top.sum() / few
         return whole, sharp
 
+    def look_up(self, keys: np.ndarray, mask: np.uint64) -> np.ndarray:
+        slot = (keys & mask).astype(np.int64)
+        return np.where(self.word_check[slot] == _check(keys), self.word[:, slot], self.unseen[:, None])
+
     def score(self, whole: np.ndarray, sharp: np.ndarray) -> np.ndarray:
         x = self.curve[0] + self.curve[1] * whole + self.curve[2] * sharp
         return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
@@ -160,7 +186,8 @@ def fit_counts(labelled: DataFrame) -> Model:
     kinds = words.agg(F.count("*").alias("types"), *[F.sum(f"{c}_{x}").alias(f"{c}_{x}") for c in n for x in ("k", "any")]).first()
     total = {c: max(kinds[f"{c}_k"] or 0.0, 1.0) for c in n}
     word_discount = _discount(words.select(F.round(f"{small}_k").alias("k")), "k")
-    rest = {c: word_discount * (kinds[f"{c}_any"] or total[c]) / total[c] for c in n}
+    # One share for both classes, as large as thinned alike: a word that neither has seen says nothing.
+    rest = sum(word_discount * (kinds[f"{c}_any"] or total[c]) / total[c] for c in n) / len(n)
     shared_total = sum(total.values()) + kinds["types"] + 1
     unseen = 1.0 / shared_total
     shared = (F.col("toxic_k") + F.col("ordinary_k")) / F.lit(shared_total)
@@ -168,7 +195,7 @@ def fit_counts(labelled: DataFrame) -> Model:
     def class_word(c: str) -> Column:
         """What the class adds to the share of an unseen word, which every slot starts with."""
         kept = (F.col(f"{c}_k") - word_discount * F.col(f"{c}_any")) / F.lit(total[c])
-        return F.greatest(kept, F.lit(0.0)) + F.lit(rest[c]) * shared
+        return F.greatest(kept, F.lit(0.0)) + F.lit(rest) * shared
 
     def left_over(c: str) -> Column:
         share_left = F.lit(discount) * F.col(f"{c}_types") / F.col(f"{c}_all")
@@ -185,30 +212,32 @@ def fit_counts(labelled: DataFrame) -> Model:
     models = ("toxic", "ordinary", "shared")
     sums = [x for c in models for x in (F.sum(f"{c}_n").alias(f"{c}_all"), F.sum(f"{c}_seen").alias(f"{c}_types"))]
     histories = thinned.groupBy("history").agg(*sums)
-    word_bits = _bits(kinds["types"], MAX_WORD_BITS)
-    word = np.ones((9, 1 << word_bits), np.float32)
-    word[:3] = np.array([[rest["toxic"] * unseen], [rest["ordinary"] * unseen], [unseen]])
     shares = [class_word("toxic").alias("toxic"), class_word("ordinary").alias("ordinary"), shared.alias("shared")]
-    got = _slots(words.select("word", *shares), "word", word_bits, *models)
-    for k, c in enumerate(models):
-        word[k, got["slot"]] += got[c]
-    stats = [left_over(c).alias(c) for c in models] + [F.greatest(F.col(f"{c}_all"), F.lit(1e-6)).alias(f"{c}_all") for c in models]
-    totals = tuple(f"{c}_all" for c in models)
-    got = _slots(histories.select("history", *stats), "history", word_bits, *totals, least=models)
-    for k, c in enumerate(models):
-        word[3 + k, got["slot"]] = got[c]
-        word[6 + k, got["slot"]] = 1.0 / got[f"{c}_all"]
+    weight = F.abs(F.col("toxic_k") - F.col("ordinary_k")).alias("weight")
+    stats = [left_over(c).alias(f"{c}_left") for c in models] + [
+        (1.0 / F.greatest(F.col(f"{c}_all"), F.lit(1e-6))).alias(f"{c}_one") for c in models
+    ]
+    every = words.select("word", weight, *shares).join(histories.select(F.col("history").alias("word"), *stats), "word", "full")
+    names = [*models, *[f"{c}_left" for c in models], *[f"{c}_one" for c in models]]
+    defaults = {**{c: 0.0 for c in models}, **{n: 1.0 for n in names[3:]}, "weight": 0.0}
+    word_bits = _bits(kinds["types"], MAX_WORD_BITS)
+    got = _slots(every.na.fill(defaults), F.col("word"), word_bits, F.col("weight"), *names)
+    nothing = np.array([rest * unseen, rest * unseen, unseen, *[1.0] * 6], np.float32)
+    word = np.repeat(nothing[:, None], 1 << word_bits, axis=1)
+    word_check = np.zeros(1 << word_bits, np.uint16)
+    word_check[got["slot"]] = got["check"]
+    for k, c in enumerate(names):
+        word[k, got["slot"]] = got[c] + (nothing[k] if k < 3 else 0.0)
     gram_bits = _bits(size["pairs"], MAX_BIGRAM_BITS)
-    low = F.lit((1 << gram_bits) - 1)
-    # The low bits of history * _LEFT + word, without leaving 64 bits.
-    product = F.col("history").bitwiseAND(low) * F.lit(int(_LEFT) & ((1 << gram_bits) - 1))
-    key = product.bitwiseAND(low) + F.col("word").bitwiseAND(low)
-    pairs = thinned.select(key.alias("gram"), *[kept_pair(c).cast("float").alias(c) for c in models])
+    pairs = thinned.select("history", "word", *[kept_pair(c).alias(c) for c in models])
+    heavy = F.greatest("toxic", "ordinary")
+    got = _slots(pairs, gram_key(F.col("history"), F.col("word")), gram_bits, heavy, *models)
     bigram = np.zeros((3, 1 << gram_bits), np.float32)
-    got = _slots(pairs, "gram", gram_bits, *models)
+    bigram_check = np.zeros(1 << gram_bits, np.uint16)
+    bigram_check[got["slot"]] = got["check"]
     for k, c in enumerate(models):
         bigram[k, got["slot"]] = got[c]
-    return Model(word, bigram, np.array([0.0, 1.0, 0.0]))
+    return Model(word, bigram, word_check, bigram_check, nothing, np.array([0.0, 1.0, 0.0]))
 
 
 def fit_curve(whole: np.ndarray, sharp: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> np.ndarray:
