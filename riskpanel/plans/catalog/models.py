@@ -7,6 +7,7 @@ the defaults of the library; every query still fits on all rows.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ...operators import models
@@ -158,3 +159,41 @@ def model_roc_band(t: Tables):
         "adaboost": lambda: AdaBoost(rounds=3),
     }
     return evaluation.curve_bands(dataset(t), learners)[0]
+
+
+def _round_sql(number: int, rows: str) -> str:
+    """One boosting round over rows (f0, f1, f2, y, w): the cut with the smallest impurity and its sides."""
+    sides = " UNION ALL ".join(f"SELECT {k} AS feature, f{k} AS side, y, w FROM {rows}" for k in range(3))
+    return f"""
+ g{number} AS (SELECT feature, sum(w) FILTER (side = 0) AS n0, coalesce(sum(w) FILTER (side = 0 AND y = 1), 0) AS p0,
+               sum(w) FILTER (side = 1) AS n1, coalesce(sum(w) FILTER (side = 1 AND y = 1), 0) AS p1 FROM ({sides}) GROUP BY 1),
+ b{number} AS (SELECT feature, p0 / n0 AS l, p1 / n1 AS r FROM g{number} ORDER BY p0 * (n0 - p0) / n0 + p1 * (n1 - p1) / n1, feature LIMIT 1)"""
+
+
+_BOOST_ROWS_SQL = """
+ rows1 AS (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END AS f0, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS f1,
+           CASE WHEN month(o_orderdate) < 6 THEN 1 ELSE 0 END AS f2,
+           CASE WHEN o_totalprice + (CASE WHEN o_orderstatus = 'F' THEN 60000 ELSE 0 END)
+                  - (CASE WHEN o_orderpriority LIKE '1%' THEN 30000 ELSE 0 END) > 250000 THEN 1 ELSE 0 END AS y, 1.0::DOUBLE AS w
+    FROM orders)"""
+_NEXT_ROWS_SQL = """
+ rows2 AS (SELECT f0, f1, f2, y, w * exp((CASE WHEN y = 1 THEN -0.5 ELSE 0.5 END) * ln(p / (1 - p))) AS w
+           FROM (SELECT *, CASE WHEN CASE feature WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END = 0 THEN l ELSE r END AS p FROM rows1, b1))"""
+
+
+@query(
+    "adaboost_rounds",
+    f"""WITH {_BOOST_ROWS_SQL}, {_round_sql(1, "rows1")}, {_NEXT_ROWS_SQL}, {_round_sql(2, "rows2")}
+       SELECT CAST(1 AS INTEGER) AS round, feature, round(l, 6) AS left_share, round(r, 6) AS right_share FROM b1
+       UNION ALL SELECT 2, feature, round(l, 6), round(r, 6) FROM b2""",
+)
+def adaboost_rounds(t: Tables):
+    """The first two stumps of SAMME.R on three 0/1 features: cut and share of class 1 per side."""
+    first = F.col("o_orderpriority").startswith("1")
+    done = F.col("o_orderstatus") == "F"
+    label = F.col("o_totalprice") + F.when(done, 60000).otherwise(0) - F.when(first, 30000).otherwise(0) > 250000
+    flags = [c.cast("double") for c in (first, done, F.month("o_orderdate") < 6)]
+    rows = t.orders.select(array_to_vector(F.array(*flags)).alias("features"), label.cast("double").alias("label"))
+    stumps = AdaBoost(rounds=2, algorithm="SAMME.R").fit(rows).stumps
+    found = [(k + 1, s.feature, round(s.left, 6), round(s.right, 6)) for k, s in enumerate(stumps)]
+    return t.spark.createDataFrame(found, "round int, feature int, left_share double, right_share double")
