@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 from ..session import cut_lineage
 from .common import partitions, text_bytes, with_text
-from .token_count import Splitter
+from .token_count import Splitter, byte_letters
 
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -167,10 +167,15 @@ class Encoder(Splitter):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
+        self.model = self.tokenizer.model  # words are normalised and split already
+        self.letters = byte_letters()
+
     def word_value(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        tokens = self.model.tokenize("".join([self.letters[b] for b in word.encode()]))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
 
-    special_value = word_value
+    def special_value(self, text: str) -> bytes:
+        return np.array([self.tokenizer.token_to_id(text)], "<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(self.pieces(text))

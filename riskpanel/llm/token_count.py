@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -82,6 +83,8 @@ class Splitter:
         # Special strings in a text stand for themselves and end the pieces beside them.
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile(f"({'|'.join(map(regex.escape, special))})".encode())
+        # Bytes that every special string starts with: a text without them holds none.
+        self.mark = os.path.commonprefix(special).encode() if special else None
         self.values = Remembered(self.piece_value, cache_entries)
         self.words = Remembered(self.word_value, cache_entries)
         self.spec = spec
@@ -94,6 +97,8 @@ class Splitter:
         return "".join(c.lower() for c in text)  # by character: no rule for final letters
 
     def piece_value(self, piece: bytes):
+        if not self.may_hold_special(piece):
+            return self.join([self.words[w] for w in self.split.findall(self.normal(piece))])
         found = []
         for k, part in enumerate(self.special.split(piece)):
             if k % 2:
@@ -102,9 +107,12 @@ class Splitter:
                 found += [self.words[w] for w in self.split.findall(self.normal(part))]
         return self.join(found)
 
+    def may_hold_special(self, text: bytes) -> bool:
+        return self.mark is not None and self.mark in text
+
     def pieces(self, text: bytes):
         """Values of the white-space pieces. A special string keeps its case, so texts without one are folded first."""
-        return map(self.values.__getitem__, (text if b"<|" in text else text.lower()).split())
+        return map(self.values.__getitem__, (text if self.may_hold_special(text) else text.lower()).split())
 
 
 class TokenCounter(Splitter):
