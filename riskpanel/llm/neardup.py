@@ -9,7 +9,8 @@ left is confirmed on the full sets.
 Groups of equal sets are one node. A bucket is not expanded into pairs: every
 node meets its bucket's pivot, the best estimate first. Only where members of a
 bucket end in different components are the nodes outside its largest component
-compared with the others, in blocks and by sketch, which loses no link.
+held against the others, in blocks that carry the full sets; a block returns at
+most one confirmed link for a node and a component, and no link is lost.
 """
 
 from __future__ import annotations
@@ -28,10 +29,9 @@ from .common import _random_words, mix, partitions, text_bytes, word_hashes
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
-# Members of a bucket that are compared in one block.
+# Members of a bucket, and shingles of all of them, that are compared in one block.
 BLOCK = 2048
-# Candidates per node and component in the first round of the exact remainder; the second takes all.
-FIRST_CANDIDATES = 4
+BLOCK_SHINGLES = 500_000
 
 _XOR = (_random_words(7, SAMPLES) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 _TIMES = (_random_words(11, SAMPLES) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -173,82 +173,132 @@ def with_component(df: DataFrame, labels: DataFrame, node: str, name: str) -> Da
     return df.join(labels, node, "left").withColumn(name, F.coalesce("found", node)).drop("found")
 
 
-BLOCK_ROWS = "key bigint, mine int, theirs int, asks int, doc bigint, comp bigint, n bigint, sketch array<bigint>"
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """Rows (doc, shingles): the sorted shingle hashes as bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s.tobytes() for _, s in shingle_sets(text_bytes(batch.column(1)), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc", "shingles"])
 
-def remaining_candidates(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, each: int | None) -> DataFrame:
-    """Candidates (a, b) between components that still share a bucket.
+    return texts.select("doc", "text").mapInArrow(run, "doc bigint, shingles binary")
 
-    In such a bucket the nodes outside its largest component ask all members of
-    other components. Both sides are cut into blocks; sizes and sketches sieve
-    within a block, and ``each`` keeps the best candidates per node and component.
+
+class Members:
+    """Some members of a bucket block as arrays; their sets only where the rows carry them."""
+
+    def __init__(self, batch: pa.RecordBatch, lo: int, hi: int):
+        part = batch.slice(lo, hi - lo)
+        self.doc, self.comp, self.n = (part.column(c).to_numpy() for c in ("doc", "comp", "n"))
+        wide = lambda c: part.column(c).flatten().to_numpy().view(np.uint64).reshape(len(self.doc), -1)
+        self.sketch, self.bands = wide("sketch"), wide("bands")
+        carried = "shingles" in batch.schema.names
+        self.sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in part.column("shingles")] if carried else None
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+
+def alike(asker: Members, i: int, others: Members, band: int, percent: int, limit: int) -> np.ndarray:
+    """Places of the others in other components that sizes and sketches leave for member ``i`` of the askers.
+
+    A pair is looked at in the first bucket it shares only.
+    """
+    small, large = np.minimum(others.n, asker.n[i]), np.maximum(others.n, asker.n[i])
+    fits = np.flatnonzero((others.comp != asker.comp[i]) & (100 * small >= percent * large))
+    fits = fits[(others.bands[fits] == asker.bands[i]).argmax(axis=1) == band]
+    return fits[np.bitwise_count(others.sketch[fits] ^ asker.sketch[i]).sum(axis=1) <= limit]
+
+
+def confirmed_links(asker: Members, i: int, others: Members, fits: np.ndarray, percent: int) -> list[int]:
+    """Of the fitting others one linked document per component, by intersecting the sets."""
+    if not len(fits):
+        return []
+    shingles, n = asker.sets[i], asker.n[i]
+    flat = np.concatenate([others.sets[k] for k in fits])
+    place = np.minimum(np.searchsorted(shingles, flat), len(shingles) - 1)
+    starts = np.cumsum([0, *(len(others.sets[k]) for k in fits[:-1])])
+    common = np.add.reduceat((shingles[place] == flat).astype(np.int64), starts)
+    linked = fits[100 * common >= percent * (n + others.n[fits] - common)]
+    return others.doc[linked[np.unique(others.comp[linked], return_index=True)[1]]].tolist()
+
+
+def meet(rows: DataFrame, payload: list[str], percent: int, confirm_sets: bool) -> DataFrame:
+    """Let the askers of every bucket block meet its members.
+
+    Without sets: rows (key, doc) that some pair leaves after sizes and sketches.
+    With sets: confirmed links (a, b).
     """
-    placed = with_component(buckets.select("key", "doc"), labels, "doc", "comp")
-    per = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    top = per.groupBy("key").agg(
-        F.sum("size").alias("all"), F.max(F.struct("size", F.col("comp").alias("main"))).alias("largest"), F.count("*").alias("kinds")
-    )
-    # Two members have met as node and pivot already.
-    top = top.where("kinds > 1 and all > 2").select(
-        "key", F.col("largest.main").alias("main"),
-        F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
-        F.ceil((F.col("all") - F.col("largest.size")) / BLOCK).cast("int").alias("askers"),
-    )
-    rows = placed.join(cut_to_table(top), "key").join(sketches, "doc")
     hashed = F.xxhash64("doc")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = rows.where("comp <> main").select(
-        "key", F.pmod(hashed, F.col("askers")).cast("int").alias("mine"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("theirs"), F.lit(0).alias("asks"), "doc", "comp", "n", "sketch",
+        "key", F.pmod(hashed, F.col("askers")).cast("int").alias("mine"), every("blocks").alias("theirs"), F.lit(0).alias("asks"), *payload
     )
     asked = rows.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("mine"),
-        F.pmod(hashed, F.col("blocks")).cast("int").alias("theirs"), F.lit(1).alias("asks"), "doc", "comp", "n", "sketch",
+        "key", every("askers").alias("mine"), F.pmod(hashed, F.col("blocks")).cast("int").alias("theirs"), F.lit(1).alias("asks"), *payload
     )
     limit = most_ones(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, left = None, []
-
-        def ask(right) -> tuple[list[int], list[int]]:
-            a, b = [], []
-            for doc, comp, n, sketch in left:
-                d, c, m, s = right
-                fits = np.flatnonzero((c != comp) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n)))
-                apart = np.bitwise_count(s[fits] ^ sketch).sum(axis=1)
-                good = apart <= limit
-                fits, apart = fits[good], apart[good]
-                if each is not None:
-                    order = np.lexsort((apart, c[fits]))
-                    place = np.arange(len(order))
-                    starts = np.r_[True, c[fits][order][1:] != c[fits][order][:-1]] if len(order) else np.empty(0, bool)
-                    rank = place - np.maximum.accumulate(np.where(starts, place, 0))
-                    fits = fits[order[rank < each]]
-                a += [doc] * len(fits)
-                b += d[fits].tolist()
-            return a, b
-
+        current, askers = None, []
         for batch in batches:
-            key, mine, theirs, asks, doc, comp, n = (batch.column(k).to_numpy() for k in range(7))
-            sketch = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
+            key, mine, theirs, asks = (batch.column(k).to_numpy() for k in range(4))
             edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(mine) != 0) | (np.diff(theirs) != 0)) + 1
-            a_out: list[int] = []
-            b_out: list[int] = []
+            found: set[tuple[int, int]] = set()
             for lo, hi in zip([0, *edge], [*edge, len(key)]):
-                group = (key[lo], mine[lo], theirs[lo])
-                if group != current:
-                    current, left = group, []
+                if (key[lo], mine[lo], theirs[lo]) != current:
+                    current, askers = (key[lo], mine[lo], theirs[lo]), []
                 cut = lo + int(np.searchsorted(asks[lo:hi], 1))
-                left += [(int(doc[i]), int(comp[i]), int(n[i]), sketch[i].copy()) for i in range(lo, cut)]
-                if cut < hi:
-                    a, b = ask((doc[cut:hi], comp[cut:hi], n[cut:hi], sketch[cut:hi]))
-                    a_out += a
-                    b_out += b
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+                if cut > lo:
+                    askers.append(Members(batch, lo, cut))
+                if cut == hi:
+                    continue
+                others, wanted = Members(batch, cut, hi), key[lo].astype(np.uint64)
+                for group in askers:
+                    for i in range(len(group)):
+                        band = int((group.bands[i] == wanted).argmax())
+                        fits = alike(group, i, others, band, percent, limit)
+                        doc = int(group.doc[i])
+                        if confirm_sets:
+                            found |= {(min(doc, d), max(doc, d)) for d in confirmed_links(group, i, others, fits, percent)}
+                        elif len(fits):
+                            found.add((int(key[lo]), doc))
+                            found |= {(int(key[lo]), d) for d in others.doc[fits].tolist()}
+            a, b = zip(*sorted(found)) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
+
+    names = ["a", "b"] if confirm_sets else ["key", "doc"]
+    dealt = asking.unionByName(asked).repartition(partitions(rows), "key", "mine", "theirs")
+    return dealt.sortWithinPartitions("key", "mine", "theirs", "asks").mapInArrow(run, f"{names[0]} bigint, {names[1]} bigint").distinct()
+
+
+def remaining_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components that still share a bucket.
 
-    count = partitions(buckets)
-    dealt = asking.unionByName(asked).repartition(count, "key", "mine", "theirs").sortWithinPartitions("key", "mine", "theirs", "asks")
-    found = dealt.mapInArrow(run, "a bigint, b bigint")
-    return found.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
+    In such a bucket the nodes outside its largest component ask all members of
+    other components. Both sides are cut into blocks of bounded expected size.
+    Sketches meet first; full sets are dealt only for members that a pair is
+    left of.
+    """
+    placed = with_component(buckets.select("key", "doc"), labels, "doc", "comp").join(nodes.select("doc", "n").distinct(), "doc")
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    top = per.groupBy("key").agg(
+        F.sum("size").alias("all"), F.sum("shingles").alias("shingles"), F.count("*").alias("kinds"),
+        F.max(F.struct("size", "shingles", F.col("comp").alias("main"))).alias("largest"),
+    )
+    blocks = lambda members, shingles: F.ceil(F.greatest(members / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    # Two members have met as node and pivot already.
+    top = top.where("kinds > 1 and all > 2").select(
+        "key", F.col("largest.main").alias("main"), blocks(F.col("all"), F.col("shingles")).alias("blocks"),
+        blocks(F.col("all") - F.col("largest.size"), F.col("shingles") - F.col("largest.shingles")).alias("askers"),
+    )
+    open_rows = cut_to_table(placed.select("key", "doc", "comp").join(cut_to_table(top), "key"))
+    narrow = ["doc", "comp", "n", "sketch", "bands"]
+    traits = nodes.select("doc", "n", "sketch", "bands")
+    left = cut_to_table(meet(open_rows.join(traits, "doc"), narrow, percent, confirm_sets=False))
+    sets = full_sets(texts.join(left.select("doc").distinct(), "doc", "left_semi"), size)
+    rows = open_rows.join(left, ["key", "doc"]).join(traits.join(sets, "doc"), "doc")
+    return meet(rows, [*narrow, "shingles"], percent, confirm_sets=True)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -299,14 +349,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return with_component(with_component(pairs, labels, "a", "comp_a"), labels, "b", "comp_b").where("comp_a <> comp_b").select("a", "b")
 
     rest = cut_to_table(across(stars.select("a", "b").join(best, ["a", "b"], "left_anti")))
-    rounds = [lambda: rest, *[lambda each=each: remaining_candidates(buckets, labels, sketches, percent, each) for each in (FIRST_CANDIDATES, None)]]
-    for candidates in rounds:
-        pairs = cut_to_table(candidates())
-        if pairs.isEmpty():
-            if candidates is not rounds[0]:
-                break
-            continue
-        confirmed = cut_to_table(confirm(pairs, texts, size, percent))
+    steps = [
+        lambda: confirm(rest, texts, size, percent),
+        lambda: remaining_links(buckets, labels, nodes, texts, size, percent),
+    ]
+    for links in steps:
+        confirmed = cut_to_table(links())
         if not confirmed.isEmpty():
             edges = edges.union(confirmed)
             labels = components(edges)
