@@ -122,9 +122,11 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     columns are not read. No rows: no rows.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
+    # Both joins below start from the same rows, so that the texts are shuffled once.
+    named = docs.where("doc_id is not null")
+    ids = named.groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
     order = neighbours(ids, "doc_id", "n_chars")
-    placed = docs.where("doc_id is not null").join(order, "doc_id")
+    placed = named.join(order, "doc_id")
     heads = placed.groupBy("doc_id").agg(
         F.min("text").alias("text"), F.first("previous").alias("previous"), F.first("previous_carry").alias("longest")
     )
@@ -135,7 +137,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     )
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("head", F.lit(1), half))
-    rows = docs.join(heads, "doc_id", "left")
+    apart = docs.where("doc_id is null")
+    rows = named.join(heads, "doc_id").unionByName(apart, allowMissingColumns=True)
     rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "next_lanes")
     rows = rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_lanes",
