@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from ..session import cut_lineage
@@ -227,7 +227,3 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     pieces = cut_pieces(docs, vocabulary, capacity, end_id, id_column)
     return pack(pieces, capacity, [id_column, "piece", "start", "ids_crc32"])
 
-
-def fill_rate(packed: DataFrame, capacity: int) -> Column:
-    """Share of the opened sequences' room that holds tokens, as an aggregate."""
-    return F.sum("length") / (F.countDistinct("sequence_id") * F.lit(capacity))
