@@ -22,14 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_to_table
 from .common import separators, text_bytes, with_text, word_hashes
 
-# Hashed slots at most: 2^21 words (nine floats and a check) and 2^22 bigrams (three and a check), 138 MB.
-MAX_WORD_BITS = 21
-MAX_BIGRAM_BITS = 22
+# Hashed slots at most: 2^20 words (nine floats and a check) and 2^20 bigrams (three and a check), 54 MB.
+MAX_WORD_BITS = 20
+MAX_BIGRAM_BITS = 20
 # Labelled rows at most that the two-feature curve is fitted on.
 CURVE_ROWS = 20_000
 # Label rows up to this many are broadcast; more are joined by shuffle.
@@ -149,6 +150,27 @@ class Model:
                 sharp[first + i] = top.sum() / few
         return whole, sharp
 
+    def __getstate__(self) -> dict:
+        """Filled slots only, which is what a broadcast carries."""
+        words = np.flatnonzero((self.word != self.unseen[:, None]).any(axis=0)).astype(np.int32)
+        pairs = np.flatnonzero(self.bigram.any(axis=0)).astype(np.int32)
+        return {
+            "bits": (self.word.shape[1], self.bigram.shape[1]), "unseen": self.unseen, "curve": self.curve,
+            "words": (words, self.word_check[words], self.word[:, words]),
+            "pairs": (pairs, self.bigram_check[pairs], self.bigram[:, pairs]),
+        }
+
+    def __setstate__(self, state: dict) -> None:
+        n_words, n_pairs = state["bits"]
+        self.unseen, self.curve = state["unseen"], state["curve"]
+        self.word, self.word_check = np.repeat(self.unseen[:, None], n_words, axis=1), np.zeros(n_words, np.uint16)
+        self.bigram, self.bigram_check = np.zeros((3, n_pairs), np.float32), np.zeros(n_pairs, np.uint16)
+        for (slots, check, values), checks, table in (
+            (state["words"], self.word_check, self.word), (state["pairs"], self.bigram_check, self.bigram),
+        ):
+            checks[slots] = check
+            table[:, slots] = values
+
     def look_up(self, keys: np.ndarray, mask: np.uint64) -> np.ndarray:
         slot = (keys & mask).astype(np.int64)
         return np.where(self.word_check[slot] == _check(keys), self.word[:, slot], self.unseen[:, None])
@@ -267,9 +289,7 @@ def fold_of(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3).cast("int")
 
 
-def _evidence(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
+def _evidence(docs: DataFrame, shared: Broadcast, columns: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole, sharp = shared.value.evidence(text_bytes(batch.column(len(columns))))
@@ -293,7 +313,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 1) -> Model
     labelled = with_labels(docs, labels).withColumn("fold", fold_of(F.col("doc_id")))
     model = fit_counts(labelled.where(F.col("fold") == counted).select("text", "toxic"))
     rest = labelled.where(F.col("fold") == curved).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
-    rows = _evidence(rest, model, ["toxic"]).toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = _evidence(rest, shared, ["toxic"]).toPandas()
+    shared.destroy()  # the executors' copies are not needed again
     model.curve = fit_curve(rows["whole"].to_numpy(), rows["sharp"].to_numpy(), rows["toxic"].to_numpy(float))
     return model
 
@@ -305,7 +327,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, held_o
     evidence and gets the curve's base score. Repeated rows are each returned;
     a row without id is scored too.
     """
-    scored = _evidence(docs, model, ["doc_id"])
+    scored = _evidence(docs, docs.sparkSession.sparkContext.broadcast(model), ["doc_id"])
     return scored.select(
         "doc_id", (fold_of(F.col("doc_id")) == held_out).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), "whole", "sharp",
