@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -20,6 +21,7 @@ def local_session(cores: int | str = 8, app: str = "riskpanel", **conf) -> Spark
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.files.maxPartitionBytes": "32m",
@@ -49,6 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="riskpanel-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # on a cluster the shared folder's owner cleans up
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
@@ -97,6 +100,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     package = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="riskpanel-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     root, name = os.path.split(package)
     context.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", root, name))
     _shipped.add(context.applicationId)
