@@ -134,12 +134,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut_to_table(both)
     labels = cut_to_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "comp"), "b")
-        heard = heard.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
-        nearer = labels.join(heard, "node").select("node", F.least("comp", "heard").alias("next"), "comp")
-        nearer = cut_to_table(nearer)
-        jump = nearer.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        moved = cut_to_table(nearer.join(jump, "next").select("node", F.least("next", "further").alias("comp"), (F.col("comp") != F.least("next", "further")).alias("changed")))
+        heard = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
+        nearer = labels.join(heard, "node").select("node", "comp", F.least("comp", "heard").alias("next"))
+        jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("further"))
+        best = F.least("next", "further")
+        moved = cut_to_table(nearer.join(jump, "next").select("node", best.alias("comp"), (F.col("comp") != best).alias("changed")))
         labels = moved.select("node", "comp")
         if moved.where("changed").isEmpty():
             return labels
