@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import plain
 import pytest
-from conftest import frame, passage
+from corpus_tables import frame, passage
 from pyspark.sql import functions as F
 from riskpanel.llm import fingerprint as fp
 from riskpanel.llm import neardup, substring

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import plain
 import pytest
-from conftest import frame
+from corpus_tables import frame
 from pyspark.sql import functions as F
 from riskpanel.llm import mixing, packing, topk, warc
 from riskpanel.llm.crawl import page_of, page_records

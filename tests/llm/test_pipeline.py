@@ -7,7 +7,7 @@ import __spark_entry__
 import corpus_pipeline
 import plain
 import pytest
-from conftest import edge_rows, frame
+from corpus_tables import edge_rows, frame
 from riskpanel.llm import pii
 from test_other import check_bins
 from test_rowwise import toxic_rows

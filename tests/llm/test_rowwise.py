@@ -6,7 +6,7 @@ import random
 import numpy as np
 import plain
 import pytest
-from conftest import frame
+from corpus_tables import frame
 from riskpanel.llm import pii, toxicity
 from riskpanel.llm.packing import Encoder
 from riskpanel.llm.token_count import TokenCounter, count_tokens, merge_count
