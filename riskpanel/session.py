@@ -90,11 +90,15 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the session's Python workers this package, once per application.
+    """Give the session's Python workers this package, once per application, and small batches.
 
-    Needed where the package is on the driver's path only; Spark's own file
-    distribution carries the archive.
+    The package is needed where it is on the driver's path only; Spark's own
+    file distribution carries the archive. Batches of long texts are held
+    several times over by a worker and its executor, so they are kept to a few
+    megabytes.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
