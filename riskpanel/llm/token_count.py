@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Remembered, text_bytes, with_text
 
 # Pieces and words remembered per Python worker; more are computed again, with the same result.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 
 def byte_letters() -> list[str]:
