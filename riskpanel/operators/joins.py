@@ -41,10 +41,22 @@ def left_lookup(df: DataFrame, lookup: DataFrame, keys: Mapping[str, str]) -> Da
 def outer_join_null_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer join in which null keys match each other; keys are coalesced.
 
-    Other columns that both sides have get the suffixes ``_x`` and ``_y``.
+    Other columns that both sides have get the suffixes ``_x`` and ``_y``, once
+    more where an earlier join has used the name.
     """
     shared = (set(left.columns) & set(right.columns)) - set(keys)
-    named = lambda df, suffix: df.select(*[quoted(c).alias(c + suffix if c in shared else c) for c in df.columns])
+    taken = (set(left.columns) | set(right.columns)) - shared
+
+    def named(df: DataFrame, suffix: str) -> DataFrame:
+        names = []
+        for c in df.columns:
+            name = c + suffix if c in shared else c
+            while c in shared and name in taken:
+                name += suffix
+            taken.add(name)
+            names.append(quoted(c).alias(name))
+        return df.select(*names)
+
     left, right = named(left, "_x"), named(right, "_y")
     renamed = right.select(
         *[quoted(k).alias(f"__r_{k}") for k in keys],
