@@ -8,10 +8,11 @@ to the same ground. A document's evidence is its length-normalised log-likelihoo
 over the whole text and over its most toxic words; a logistic curve fitted on
 other training documents turns both into a score.
 
-Counting is exact and grouped by Spark. For scoring, probabilities are folded
-into hashed slots whose number follows the counted n-grams up to a stated bound,
-so the model that is broadcast has a proven size; of keys that share a slot the
-one with most evidence stays, and a stored check tells the others apart.
+Counting is exact and grouped by Spark, and the counted tables stay there. The
+n-grams counted most often, up to a stated number, are broadcast with a sieve of
+all others, so what is broadcast has a proven size. A text's n-grams that are not
+among them but pass the sieve are joined to the tables, so every counted n-gram
+has its value in every text, however many there are.
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_to_table
 from .common import separators, text_bytes, with_text, word_hashes
 
-# Hashed slots at most: 2^20 words (nine floats and a check) and 2^20 bigrams (three and a check), 54 MB.
-MAX_WORD_BITS = 20
-MAX_BIGRAM_BITS = 20
+# Counted words (two floats and a key) and bigrams (one float and a key) that are broadcast at most, 41 MB;
+# the sieve of each has up to 2^SIEVE_BITS bits, 8 MB. What is beyond them is joined.
+HELD_WORDS = 1 << 20
+HELD_BIGRAMS = 1 << 21
+SIEVE_BITS = 26
 # Labelled rows at most that the two-feature curve is fitted on.
 CURVE_ROWS = 20_000
 # Label rows up to this many are broadcast; more are joined by shuffle.
@@ -89,96 +91,148 @@ def _discount(counts: DataFrame, column: str) -> float:
     return min(0.95, max(0.1, (n["n1"] + 0.5) / (n["n1"] + 2 * n["n2"] + 1.0)))
 
 
-def _bits(types: int, most: int) -> int:
-    return int(min(most, max(12, int(types).bit_length() + 2)))
+def _top_counted(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The rows of the highest ``weight``, as many whole weights as ``most`` rows allow, and whether these are all."""
+    rows = df.groupBy("weight").count()
+    down = rows.orderBy(F.col("weight").desc()).limit(most + 1).collect()
+    kept, least = 0, None
+    for row in down:
+        if kept + row["count"] > most:
+            return (df.where(F.col("weight") >= least) if least is not None else df.limit(0)), False
+        kept, least = kept + row["count"], row["weight"]
+    return df, True
+
+
+def _in_sieve(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(key, 4).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+class Held:
+    """Values of the n-grams counted most often by key, and a sieve that all counted ones pass; None if all are held."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, sieve: np.ndarray | None):
+        self.keys, self.values, self.sieve = keys, values, sieve
+
+    @classmethod
+    def fetch(cls, df: DataFrame, key: Column, most: int, *columns: str) -> Held:
+        """Take up to ``most`` rows of ``df`` and a sieve of at most 2^SIEVE_BITS bits to the driver."""
+        top, whole = _top_counted(df, most)
+        got = top.select(key.alias("key"), *columns).toArrow()
+        keys = got.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        values = np.stack([got.column(c).to_numpy()[order] for c in columns]).astype(np.float32)
+        if whole:
+            return cls(keys[order], values, None)
+        bits = min(SIEVE_BITS, df.count().bit_length() + 4)
+        at = df.select(_in_sieve(key, bits).alias("at")).select((F.col("at") / 64).cast("int").alias("lane"), (F.col("at") % 64).cast("int").alias("bit"))
+        lanes = at.groupBy("lane").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+        sieve = np.zeros(1 << (bits - 6), np.uint64)
+        sieve[lanes.column("lane").to_numpy()] = lanes.column("bits").to_numpy().view(np.uint64)
+        return cls(keys[order], values, sieve)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of the keys (0 where not held), whether held, and whether only the tables can tell."""
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            held = self.keys[at] == keys
+            values = np.where(held, self.values[:, at], np.float32(0))
+        else:
+            held, values = np.zeros(len(keys), bool), np.zeros((len(self.values), len(keys)), np.float32)
+        if self.sieve is None:
+            return values, held, np.zeros(len(keys), bool)
+        at = (keys >> np.uint64(4)) & np.uint64(64 * len(self.sieve) - 1)
+        passed = (self.sieve[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+        return values, held, passed.astype(bool) & ~held
+
+
+def _few(n: int) -> int:
+    """How many of ``n`` words are the sharpest."""
+    return min(n, max(SHARP_LEAST, math.ceil(SHARP_SHARE * n)))
+
+
+def _highest(values: np.ndarray, few: int) -> np.ndarray:
+    return np.partition(values, len(values) - few)[len(values) - few :] if 0 < few < len(values) else values
 
 
-def _slots(df: DataFrame, key: Column, bits: int, order: Column, *columns: str) -> dict[str, np.ndarray]:
-    """Fold rows into hashed slots and fetch them: at most 2^bits rows.
+@dataclass
+class Model:
+    """Log-likelihood differences of counted bigrams and words, and the curve that turns evidence into a score.
 
-    A slot holds the row with the largest ``order`` and a check of its key, so a
-    key that finds another's row counts as unseen instead of borrowing it.
+    A counted bigram has its own difference; any other has the sum of what its
+    left neighbour leaves over and what its word has, each 0 if not counted.
     """
-    rows = df.select(
-        key.bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("slot"), order.alias("order"),
-        F.struct(F.shiftrightunsigned(key, 48).cast("int").alias("check"), *[F.col(c).cast("float").alias(c) for c in columns]).alias("row"),
-    )
-    folded = rows.groupBy("slot").agg(F.max(F.struct("order", "row")).alias("best")).select("slot", "best.row.*").toArrow()
-    return {c: folded.column(c).to_numpy() for c in ("slot", "check", *columns)}
-
-
-def _check(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(48)).astype(np.uint16)
 
+    words: Held  # what is left over as a left neighbour, and the word's own
+    bigrams: Held
+    curve: np.ndarray  # intercept and weights of the score
+    word_table: DataFrame | None = None  # (word, left, own)
+    bigram_table: DataFrame | None = None  # (history, word, value)
 
-@dataclass
-class Model:
-    """Probabilities by hashed slot, and the curve that turns evidence into a score."""
+    @property
+    def whole(self) -> bool:
+        """Whether all counted n-grams are held, so that no join is needed."""
+        return self.words.sieve is None and self.bigrams.sieve is None
 
-    word: np.ndarray  # by word slot: toxic, ordinary, shared share; their backoff weights; one over their counts
-    bigram: np.ndarray  # by bigram slot: discounted counts, toxic, ordinary, shared
-    word_check: np.ndarray  # which key each slot holds
-    bigram_check: np.ndarray
-    unseen: np.ndarray  # the columns of ``word`` for a word that is in no slot
-    curve: np.ndarray  # intercept and weights of the score
+    def __getstate__(self) -> dict:
+        """What a broadcast carries: all but the tables."""
+        return {**self.__dict__, "word_table": None, "bigram_table": None}
 
-    def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood difference per word: over the whole text, and over the words where it is highest."""
-        whole, sharp = np.zeros(len(texts)), np.zeros(len(texts))
-        word_mask = np.uint64(self.word.shape[1] - 1)
-        gram_mask = np.uint64(self.bigram.shape[1] - 1)
+    def differences(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per text with words: its index, the difference of each word, which are open, left neighbours, words."""
+        start, _, start_open = self.words.find(np.zeros(1, np.uint64))
         for first, words, bounds in word_hashes(texts, True, _SEPARATORS):
             if not len(words):
                 continue
             left, gram = _grams(words, bounds)
-            of_word, of_left = (self.look_up(keys, word_mask) for keys in (words, left))
-            slot = (gram & gram_mask).astype(np.int64)
-            pair = self.bigram[:, slot] * (self.bigram_check[slot] == _check(gram))
-            # Relative to the word's shared share.
-            base = pair[2] * of_left[8] / of_word[2] + of_left[5]
-            toxic = pair[0] * of_left[6] + of_left[3] * base * of_word[0]
-            ordinary = pair[1] * of_left[7] + of_left[4] * base * of_word[1]
-            each = np.log(toxic, dtype=np.float64) - np.log(ordinary, dtype=np.float64)
+            (as_left, own), _, word_open = self.words.find(words)
+            before, before_open = np.roll(as_left, 1), np.roll(word_open, 1)
+            starts = bounds[:-1][bounds[:-1] < len(words)]
+            before[starts], before_open[starts] = start[0], start_open
+            (value,), held, open_ = self.bigrams.find(gram)
+            each = np.where(held, value.astype(np.float64), before.astype(np.float64) + own)
+            open_ |= ~held & (word_open | before_open)
             for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                if a == b:
-                    continue
-                found = each[a:b]
-                # A few words are weaker evidence than many.
-                whole[first + i] = found.sum() / (len(found) + PRIOR_WORDS)
-                few = max(SHARP_LEAST, math.ceil(SHARP_SHARE * len(found)))
-                top = np.partition(found, len(found) - few)[-few:] if few < len(found) else found
-                sharp[first + i] = top.sum() / few
+                if a < b:
+                    yield first + i, each[a:b], open_[a:b], left[a:b], words[a:b]
+
+    def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Difference per word over the whole text, and over the words where it is highest, if all is held."""
+        whole, sharp = np.zeros(len(texts)), np.zeros(len(texts))
+        for i, each, *_ in self.differences(texts):
+            # A few words are weaker evidence than many.
+            whole[i] = each.sum() / (len(each) + PRIOR_WORDS)
+            few = _few(len(each))
+            sharp[i] = _highest(each, few).sum() / few
         return whole, sharp
 
-    def __getstate__(self) -> dict:
-        """Filled slots only, which is what a broadcast carries."""
-        words = np.flatnonzero((self.word != self.unseen[:, None]).any(axis=0)).astype(np.int32)
-        pairs = np.flatnonzero(self.bigram.any(axis=0)).astype(np.int32)
-        return {
-            "bits": (self.word.shape[1], self.bigram.shape[1]), "unseen": self.unseen, "curve": self.curve,
-            "words": (words, self.word_check[words], self.word[:, words]),
-            "pairs": (pairs, self.bigram_check[pairs], self.bigram[:, pairs]),
-        }
-
-    def __setstate__(self, state: dict) -> None:
-        n_words, n_pairs = state["bits"]
-        self.unseen, self.curve = state["unseen"], state["curve"]
-        self.word, self.word_check = np.repeat(self.unseen[:, None], n_words, axis=1), np.zeros(n_words, np.uint16)
-        self.bigram, self.bigram_check = np.zeros((3, n_pairs), np.float32), np.zeros(n_pairs, np.uint16)
-        for (slots, check, values), checks, table in (
-            (state["words"], self.word_check, self.word), (state["pairs"], self.bigram_check, self.bigram),
-        ):
-            checks[slots] = check
-            table[:, slots] = values
-
-    def look_up(self, keys: np.ndarray, mask: np.uint64) -> np.ndarray:
-        slot = (keys & mask).astype(np.int64)
-        return np.where(self.word_check[slot] == _check(keys), self.word[:, slot], self.unseen[:, None])
+    def parts(self, texts: list[bytes]) -> list[pa.Array]:
+        """Per text: number of words, sum of the held ones, the highest of them, and the open bigrams with their number."""
+        n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        tops, n_tops, opens, n_open = [], np.zeros(len(texts), np.int64), [], np.zeros(len(texts), np.int64)
+        for i, each, open_, left, words in self.differences(texts):
+            n[i] = len(each)
+            known = each[~open_]
+            total[i] = known.sum()
+            tops.append(_highest(known, _few(len(each))))
+            n_tops[i] = len(tops[-1])
+            pairs, count = np.unique(np.stack([left[open_], words[open_]]), axis=1, return_counts=True)
+            opens.append((pairs[0], pairs[1], count))
+            n_open[i] = len(count)
+        value = np.concatenate([np.zeros(0), *tops])
+        history, word, count = (np.concatenate([np.zeros(0, t), *(x[k] for x in opens)]) for k, t in enumerate((np.uint64, np.uint64, np.int64)))
+        top = pa.StructArray.from_arrays([pa.array(value), pa.array(np.ones(len(value), np.int64))], ["value", "n"])
+        rest = pa.StructArray.from_arrays([pa.array(history.view(np.int64)), pa.array(word.view(np.int64)), pa.array(count)], ["history", "word", "n"])
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))).astype(np.int32)), x) for k, x in ((n_tops, top), (n_open, rest))]
+        return [pa.array(n), pa.array(total), *lists]
 
     def score(self, whole: np.ndarray, sharp: np.ndarray) -> np.ndarray:
         x = self.curve[0] + self.curve[1] * whole + self.curve[2] * sharp
         return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
+    def score_column(self) -> Column:
+        x = F.lit(float(self.curve[0])) + F.lit(float(self.curve[1])) * F.col("whole") + F.lit(float(self.curve[2])) * F.col("sharp")
+        return 1.0 / (1.0 + F.exp(-F.greatest(F.least(x, F.lit(500.0)), F.lit(-500.0))))
+
 
 def _thinned(count: str, share: float, name: str) -> list[Column]:
     """Expected count, and probability to be seen at all, if each occurrence is kept with ``share``."""
@@ -187,13 +241,17 @@ def _thinned(count: str, share: float, name: str) -> list[Column]:
 
 
 def fit_counts(labelled: DataFrame) -> Model:
-    """Count all labelled rows (text, toxic) and derive both models.
+    """Count all labelled rows (text, toxic) and derive both models."""
+    return derive(cut_to_table(count_bigrams(labelled)))
+
+
+def derive(counts: DataFrame) -> Model:
+    """Both models of counted bigrams (history, word, toxic, ordinary), which are read several times.
 
     The larger class enters with the counts expected from a thinning to the
     smaller one's size, so that neither class is favoured for having seen more.
     """
-    counts = cut_to_table(count_bigrams(labelled))
-    size = counts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("*").alias("pairs")).first()
+    size = counts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).first()
     n = {c: size[c] or 0 for c in ("toxic", "ordinary")}
     small = min(n, key=n.get)
     share = {c: min(n.values()) / n[c] if n[c] else 1.0 for c in n}
@@ -215,9 +273,9 @@ def fit_counts(labelled: DataFrame) -> Model:
     shared = (F.col("toxic_k") + F.col("ordinary_k")) / F.lit(shared_total)
 
     def class_word(c: str) -> Column:
-        """What the class adds to the share of an unseen word, which every slot starts with."""
+        """The class's share of a word, above that of an unseen one; a word that is a left neighbour only counts as unseen."""
         kept = (F.col(f"{c}_k") - word_discount * F.col(f"{c}_any")) / F.lit(total[c])
-        return F.greatest(kept, F.lit(0.0)) + F.lit(rest) * shared
+        return F.coalesce(F.greatest(kept, F.lit(0.0)) + F.lit(rest) * shared, F.lit(0.0)) + F.lit(rest * unseen)
 
     def left_over(c: str) -> Column:
         share_left = F.lit(discount) * F.col(f"{c}_types") / F.col(f"{c}_all")
@@ -227,39 +285,45 @@ def fit_counts(labelled: DataFrame) -> Model:
         return F.greatest(F.col(f"{c}_n") - discount * F.col(f"{c}_seen"), F.lit(0.0))
 
     # The shared model counts both thinned classes together.
-    thinned = thinned.withColumns({
+    together = {
         "shared_n": F.col("toxic_n") + F.col("ordinary_n"),
         "shared_seen": 1.0 - (1.0 - F.col("toxic_seen")) * (1.0 - F.col("ordinary_seen")),
-    })
+    }
+    thinned = thinned.withColumns(together)
     models = ("toxic", "ordinary", "shared")
     sums = [x for c in models for x in (F.sum(f"{c}_n").alias(f"{c}_all"), F.sum(f"{c}_seen").alias(f"{c}_types"))]
     histories = thinned.groupBy("history").agg(*sums)
-    shares = [class_word("toxic").alias("toxic"), class_word("ordinary").alias("ordinary"), shared.alias("shared")]
-    weight = F.abs(F.col("toxic_k") - F.col("ordinary_k")).alias("weight")
     stats = [left_over(c).alias(f"{c}_left") for c in models] + [
         (1.0 / F.greatest(F.col(f"{c}_all"), F.lit(1e-6))).alias(f"{c}_one") for c in models
     ]
-    every = words.select("word", weight, *shares).join(histories.select(F.col("history").alias("word"), *stats), "word", "full")
-    names = [*models, *[f"{c}_left" for c in models], *[f"{c}_one" for c in models]]
-    defaults = {**{c: 0.0 for c in models}, **{n: 1.0 for n in names[3:]}, "weight": 0.0}
-    word_bits = _bits(kinds["types"], MAX_WORD_BITS)
-    got = _slots(every.na.fill(defaults), F.col("word"), word_bits, F.col("weight"), *names)
-    nothing = np.array([rest * unseen, rest * unseen, unseen, *[1.0] * 6], np.float32)
-    word = np.repeat(nothing[:, None], 1 << word_bits, axis=1)
-    word_check = np.zeros(1 << word_bits, np.uint16)
-    word_check[got["slot"]] = got["check"]
-    for k, c in enumerate(names):
-        word[k, got["slot"]] = got[c] + (nothing[k] if k < 3 else 0.0)
-    gram_bits = _bits(size["pairs"], MAX_BIGRAM_BITS)
-    pairs = thinned.select("history", "word", *[kept_pair(c).alias(c) for c in models])
-    heavy = F.greatest("toxic", "ordinary")
-    got = _slots(pairs, gram_key(F.col("history"), F.col("word")), gram_bits, heavy, *models)
-    bigram = np.zeros((3, 1 << gram_bits), np.float32)
-    bigram_check = np.zeros(1 << gram_bits, np.uint16)
-    bigram_check[got["slot"]] = got["check"]
-    for k, c in enumerate(models):
-        bigram[k, got["slot"]] = got[c]
-    return Model(word, bigram, word_check, bigram_check, nothing, np.array([0.0, 1.0, 0.0]))
+    shares = [class_word("toxic").alias("toxic_share"), class_word("ordinary").alias("ordinary_share")]
+    shares.append((F.coalesce(shared, F.lit(0.0)) + F.lit(unseen)).alias("shared_share"))
+    weights = thinned.groupBy("word").agg(F.sum("shared_n").alias("weight"))
+    left = histories.select(F.col("history").alias("word"), *stats)
+    # As a start of text, history 0 is in every text and held first.
+    weight = F.when(F.col("word") == 0, 1e18).otherwise(F.floor(F.coalesce(F.col("weight"), F.lit(0.0))))
+    every = cut_to_table(
+        words.join(weights, "word").join(left, "word", "full")
+        .select("word", weight.alias("weight"), *shares, *[F.coalesce(f"{c}_{x}", F.lit(1.0)).alias(f"{c}_{x}") for x in ("left", "one") for c in models])
+    )
+    held_words = every.select(
+        "word", "weight", (F.log("toxic_left") - F.log("ordinary_left")).cast("float").alias("left"),
+        (F.log("toxic_share") - F.log("ordinary_share")).cast("float").alias("own"),
+    )
+    # A counted bigram: the class's discounted share, and the rest by the shared model relative to the word's share.
+    joined = counts.join(every.select("word", *[f"{c}_share" for c in models]), "word").join(
+        every.select(F.col("word").alias("history"), *[f"{c}_{x}" for c in models for x in ("left", "one")]), "history"
+    )
+    joined = joined.select("*", *classes).withColumns(together)
+    base = kept_pair("shared") * F.col("shared_one") / F.col("shared_share") + F.col("shared_left")
+    by_class = [kept_pair(c) * F.col(f"{c}_one") + F.col(f"{c}_left") * base * F.col(f"{c}_share") for c in n]
+    value = (F.log(by_class[0]) - F.log(by_class[1])).cast("float").alias("value")
+    pairs = cut_to_table(joined.select("history", "word", (F.col("toxic") + F.col("ordinary")).alias("weight"), value))
+    return Model(
+        Held.fetch(held_words, F.col("word"), HELD_WORDS, "left", "own"),
+        Held.fetch(pairs, gram_key(F.col("history"), F.col("word")), HELD_BIGRAMS, "value"),
+        np.array([0.0, 1.0, 0.0]), held_words.drop("weight"), pairs.drop("weight"),
+    )
 
 
 def fit_curve(whole: np.ndarray, sharp: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -289,18 +353,57 @@ def fold_of(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3).cast("int")
 
 
-def _evidence(docs: DataFrame, shared: Broadcast, columns: list[str]) -> DataFrame:
+def _evidence(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    """Rows (columns..., whole, sharp), one per row of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = len(columns)
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, sharp = shared.value.evidence(text_bytes(batch.column(len(columns))))
-            score = shared.value.score(whole, sharp)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(columns)], pa.array(whole), pa.array(sharp), pa.array(score)],
-                names=[*columns, "whole", "sharp", "score"],
-            )
+            whole, sharp = shared.value.evidence(text_bytes(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(whole), pa.array(sharp)], names=[*columns, "whole", "sharp"])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
-    return with_text(docs, *columns).mapInArrow(run, ", ".join([*fields, "whole double, sharp double, score double"]))
+    if model.whole:
+        return with_text(docs, *columns).mapInArrow(run, ", ".join([*fields, "whole double, sharp double"]))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = shared.value.parts(text_bytes(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *parts], names=[*columns, "n_", "total_", "top_", "open_"])
+
+    parts = "n_ bigint, total_ double, top_ array<struct<value: double, n: bigint>>, open_ array<struct<history: bigint, word: bigint, n: bigint>>"
+    rows = with_text(docs, *columns).mapInArrow(split, ", ".join([*fields, parts]))
+    rows = cut_to_table(rows.withColumn("row_", F.monotonically_increasing_id()))
+    return _joined(rows, model).select(*columns, "whole", "sharp")
+
+
+def _joined(rows: DataFrame, model: Model) -> DataFrame:
+    """Settle the open bigrams of the rows by joins with the counted tables."""
+    open_ = rows.select("row_", F.explode("open_").alias("open")).select("row_", "open.*")
+    left = model.word_table.select(F.col("word").alias("history"), "left")
+    own = model.word_table.select("word", "own")
+    # Each distinct bigram once, however many texts hold it.
+    known = open_.select("history", "word").distinct().join(model.bigram_table, ["history", "word"], "left")
+    known = known.join(left, "history", "left").join(own, "word", "left")
+    zero = F.lit(0.0)
+    apart = F.coalesce(F.col("left").cast("double"), zero) + F.coalesce(F.col("own").cast("double"), zero)
+    known = known.select("history", "word", F.coalesce(F.col("value").cast("double"), apart).alias("value"))
+    found = open_.join(known, ["history", "word"]).groupBy("row_").agg(F.collect_list(F.struct("value", "n")).alias("found_"))
+    few = F.least(F.col("n_"), F.greatest(F.lit(SHARP_LEAST), F.ceil(F.lit(SHARP_SHARE) * F.col("n_"))))
+    none = F.from_json(F.lit("[]"), "array<struct<value: double, n: bigint>>")
+    both = rows.drop("open_").join(found, "row_", "left").withColumn("found_", F.coalesce("found_", none)).withColumn("few_", few)
+
+    def add(held: Column, one: Column) -> Column:
+        take = F.least(held["left"], one["n"])
+        return F.struct((held["left"] - take).alias("left"), (held["sum"] + take * one["value"]).alias("sum"))
+
+    start = F.struct(F.col("few_").alias("left"), F.lit(0.0).alias("sum"))
+    top = F.aggregate(F.sort_array(F.concat("top_", "found_"), asc=False), start, add)["sum"]
+    total = F.col("total_") + F.aggregate("found_", F.lit(0.0), lambda held, one: held + one["value"] * one["n"])
+    return both.select(
+        "*", (total / (F.col("n_") + PRIOR_WORDS)).alias("whole"), F.when(F.col("n_") > 0, top / F.col("few_")).otherwise(0.0).alias("sharp")
+    )
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 1) -> Model:
@@ -313,9 +416,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 1) -> Model
     labelled = with_labels(docs, labels).withColumn("fold", fold_of(F.col("doc_id")))
     model = fit_counts(labelled.where(F.col("fold") == counted).select("text", "toxic"))
     rest = labelled.where(F.col("fold") == curved).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = _evidence(rest, shared, ["toxic"]).toPandas()
-    shared.destroy()  # the executors' copies are not needed again
+    rows = _evidence(rest, model, ["toxic"]).toPandas()
     model.curve = fit_curve(rows["whole"].to_numpy(), rows["sharp"].to_numpy(), rows["toxic"].to_numpy(float))
     return model
 
@@ -327,7 +428,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, held_o
     evidence and gets the curve's base score. Repeated rows are each returned;
     a row without id is scored too.
     """
-    scored = _evidence(docs, docs.sparkSession.sparkContext.broadcast(model), ["doc_id"])
+    scored = _evidence(docs, model, ["doc_id"]).withColumn("score", model.score_column())
     return scored.select(
         "doc_id", (fold_of(F.col("doc_id")) == held_out).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), "whole", "sharp",
@@ -335,7 +436,14 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, held_o
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The documents with a score below the threshold, all columns kept, in one pass over the texts."""
+    """The documents with a score below the threshold, all columns kept; in one pass over the texts if the model is held whole."""
+    if not model.whole:
+        # A score depends on the text alone.
+        text = F.coalesce(F.col("text"), F.lit(""))
+        keys = {"key_": F.xxhash64(text), "check_": F.xxhash64(F.lit(1), text)}
+        scored = _evidence(docs.withColumns(keys), model, list(keys)).where(model.score_column() >= threshold)
+        kept = docs.withColumns(keys).join(scored.select(*keys).distinct(), list(keys), "left_anti")
+        return kept.select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

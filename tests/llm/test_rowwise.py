@@ -145,3 +145,22 @@ def test_toxicity_edges(spark, edge_docs, edges, no_docs):
     empty = toxicity.fit_toxicity(no_docs, labels.limit(0))
     assert toxicity.score_toxicity(no_docs, empty).count() == 0
     assert toxicity.score_toxicity(edge_docs, empty).select(F.countDistinct("score")).first()[0] == 1
+
+
+def test_toxicity_joins_what_is_not_held(spark, monkeypatch):
+    rows, labels, _ = toxic_rows(300)
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    results = []
+    for words, bigrams in ((1 << 20, 1 << 20), (50, 50), (0, 0)):
+        monkeypatch.setattr(toxicity, "HELD_WORDS", words)
+        monkeypatch.setattr(toxicity, "HELD_BIGRAMS", bigrams)
+        model = toxicity.fit_toxicity(docs, labels)
+        assert model.whole == (bigrams > 50)
+        scored = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+        results.append((scored, {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()}))
+    first, kept = results[0]
+    assert len(first) == len(rows) and 0 < len(kept) < len(rows)
+    for other, other_kept in results[1:]:
+        assert other_kept == kept and other.keys() == first.keys()
+        for d, row in first.items():
+            assert abs(other[d].whole - row.whole) < 1e-9 and abs(other[d].sharp - row.sharp) < 1e-9 and abs(other[d].score - row.score) < 1e-6
