@@ -5,8 +5,8 @@ documents. A word's probability in a class interpolates the class's discounted
 bigram with the bigram model that both classes share, tilted by the class's own
 discounted continuation counts, so that expressions rare in one class fall back
 to the same ground. A document's evidence is its length-normalised log-likelihood difference,
-over the whole text and over its most toxic words; a logistic curve fitted on
-other training documents turns both into a score.
+over the whole text and over its most toxic words; a logistic curve, fitted on
+training documents scored by models that have not counted them, turns both into a score.
 
 Counting is exact and grouped by Spark, and the counted tables stay there. The
 n-grams counted most often, up to a stated number, are broadcast with a sieve of
@@ -59,30 +59,31 @@ def gram_key(left: Column, word: Column) -> Column:
 
 
 def count_bigrams(labelled: DataFrame) -> DataFrame:
-    """Rows (history, word, toxic, ordinary) with counts over all rows of (text, toxic)."""
+    """Rows (history, word, toxic_0, ordinary_0, toxic_1, ordinary_1) with counts over all rows of (text, toxic, half)."""
+    names = [f"{c}_{half}" for half in (0, 1) for c in ("toxic", "ordinary")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(0))
-            label = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
+            label, half = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (1, 2))
+            part = 2 * half + 1 - label
             for first, words, bounds in word_hashes(texts, True, _SEPARATORS):
                 if not len(words):
                     continue
                 left, gram = _grams(words, bounds)
-                toxic = np.repeat(label[first : first + len(bounds) - 1], np.diff(bounds))
+                of_word = np.repeat(part[first : first + len(bounds) - 1], np.diff(bounds))
                 keys, at, group = np.unique(gram, return_index=True, return_inverse=True)
-                ones = np.bincount(group, weights=toxic, minlength=len(keys)).astype(np.int64)
-                both = np.bincount(group, minlength=len(keys))
+                counts = np.bincount(4 * group + of_word, minlength=4 * len(keys)).reshape(-1, 4).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(left[at].view(np.int64)), pa.array(words[at].view(np.int64)),
-                        pa.array(ones, pa.int32()), pa.array(both - ones, pa.int32()),
+                        *[pa.array(np.ascontiguousarray(counts[:, k])) for k in range(4)],
                     ],
-                    names=["history", "word", "toxic", "ordinary"],
+                    names=["history", "word", *names],
                 )
 
-    rows = labelled.mapInArrow(run, "history bigint, word bigint, toxic int, ordinary int")
-    return rows.groupBy("history", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    rows = labelled.mapInArrow(run, "history bigint, word bigint, " + ", ".join(f"{c} int" for c in names))
+    return rows.groupBy("history", "word").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _discount(counts: DataFrame, column: str) -> float:
@@ -240,9 +241,10 @@ def _thinned(count: str, share: float, name: str) -> list[Column]:
     return [(F.col(count) * share).alias(f"{name}_n"), seen.alias(f"{name}_seen")]
 
 
-def fit_counts(labelled: DataFrame) -> Model:
-    """Count all labelled rows (text, toxic) and derive both models."""
-    return derive(cut_to_table(count_bigrams(labelled)))
+def counts_of(counts: DataFrame, *halves: int) -> DataFrame:
+    """The bigrams that these halves hold, with their counts there."""
+    both = [sum((F.col(f"{c}_{half}") for half in halves[1:]), F.col(f"{c}_{halves[0]}")).alias(c) for c in ("toxic", "ordinary")]
+    return counts.select("history", "word", *both).where("toxic + ordinary > 0")
 
 
 def derive(counts: DataFrame) -> Model:
@@ -407,17 +409,26 @@ def _joined(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 1) -> Model:
-    """Fit on the folds of ``doc_id`` other than ``held_out``: one is counted, the other fits the curve.
+    """Fit on the folds of ``doc_id`` other than ``held_out``: all their labelled rows are counted.
+
+    The curve is fitted across: models of each fold's counts alone score up to
+    half of ``CURVE_ROWS`` rows of the other, so no row is scored by a model that
+    has counted it.
 
     Without labelled documents in a fold, or without both classes, scores follow
     what is there: an empty count model gives every text the same evidence.
     """
-    counted, curved = [k for k in range(3) if k != held_out]
-    labelled = with_labels(docs, labels).withColumn("fold", fold_of(F.col("doc_id")))
-    model = fit_counts(labelled.where(F.col("fold") == counted).select("text", "toxic"))
-    rest = labelled.where(F.col("fold") == curved).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
-    rows = _evidence(rest, model, ["toxic"]).toPandas()
-    model.curve = fit_curve(rows["whole"].to_numpy(), rows["sharp"].to_numpy(), rows["toxic"].to_numpy(float))
+    folds = [k for k in range(3) if k != held_out]
+    labelled = with_labels(docs, labels).withColumn("fold", fold_of(F.col("doc_id"))).where(F.col("fold") != held_out)
+    labelled = labelled.withColumn("half", (F.col("fold") == folds[1]).cast("int"))
+    counts = cut_to_table(count_bigrams(labelled.select("text", "toxic", "half")))
+    found = []
+    for counted, scored in ((0, 1), (1, 0)):
+        rest = labelled.where(F.col("half") == scored).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS // 2)
+        found.append(_evidence(rest, derive(counts_of(counts, counted)), ["toxic"]).toPandas())
+    whole, sharp, toxic = (np.concatenate([rows[c].to_numpy(float) for rows in found]) for c in ("whole", "sharp", "toxic"))
+    model = derive(counts_of(counts, 0, 1))
+    model.curve = fit_curve(whole, sharp, toxic)
     return model
 
 

@@ -164,3 +164,14 @@ def test_toxicity_joins_what_is_not_held(spark, monkeypatch):
         assert other_kept == kept and other.keys() == first.keys()
         for d, row in first.items():
             assert abs(other[d].whole - row.whole) < 1e-9 and abs(other[d].sharp - row.sharp) < 1e-9 and abs(other[d].score - row.score) < 1e-6
+
+
+def test_toxicity_counts_both_folds(spark):
+    rows, labels, truth = toxic_rows(300)
+    fold = {r.doc_id: r.fold for r in frame(spark, rows).select("doc_id", toxicity.fold_of(F.col("doc_id")).alias("fold")).collect()}
+    # Each fold has a toxic word of its own.
+    rows = [(d, t + f" only{fold[d]}" * 4 if truth[d] else t) for d, t in rows]
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    _, sharp = model.evidence([b"only0 only0", b"only2 only2", b"only1 only1"])
+    assert sharp[0] > 0.5 and sharp[1] > 0.5 and sharp[2] < 0.5
