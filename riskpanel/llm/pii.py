@@ -66,7 +66,14 @@ _ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])({_LOCAL})({_AT})({_LABEL}(?:(?:{_
 _ENDINGS = "com|org|net|edu|gov|mil|info|biz|io|dev|app|ai|uk|us|eu|ca|de|fr|es|ch|nl|at"
 _CREDIBLE = re.compile(rf"{_OPEN}|{_CLOSE}|@|\b(?:{_ENDINGS})\Z", re.IGNORECASE)
 _SIGN = re.compile(rf"{_AT}|{_DOT}", re.IGNORECASE)
-_ANCHOR = re.compile(rf"{_OPEN}\s*(?:at|@|dot|\.)\s*{_CLOSE}|\sdot\s", re.IGNORECASE)
+_STRONG = rf"{_OPEN}\s*(?:at|@|dot|\.)\s*{_CLOSE}|\sdot\s"
+_PLAIN_AT = rf"\sat\s+(?={_LABEL}(?:\.{_LABEL})*\.(?:{_ENDINGS})\b)"
+_STRONG_ANCHOR = re.compile(_STRONG, re.IGNORECASE)
+_ANCHOR = re.compile(rf"{_STRONG}|{_PLAIN_AT}", re.IGNORECASE)
+# A lone "at" before a real domain counts after a word that no prose has there, or after one that asks for mail.
+_LIKE_LOCAL = re.compile(r"(?=.*[A-Za-z])[A-Za-z0-9._%+-]*[0-9._%+-]")
+_ASKS = re.compile(r"\b(?:e-?mail|mail|mailto|contact|write|reach|address)(?:\s+(?:address|is|to))*[\s:]\s*\Z", re.IGNORECASE)
+_NO_LOCAL = re.compile(r"(?:me|us|him|her|them|you|it|is|to)\Z", re.IGNORECASE)
 # Characters around an anchor that an address can reach.
 REACH = 320
 _IP_WORDS = re.compile(
@@ -162,6 +169,12 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def like_local(text: str, address: re.Match) -> bool:
+    """Whether what stands before a lone "at" is the local part of an address and not a word of prose."""
+    asked = _ASKS.search(text, max(0, address.start() - 40), address.start())
+    return bool(_LIKE_LOCAL.match(address[1]) or asked and not _NO_LOCAL.match(address[1]))
+
+
 def sign_edits(text: str) -> list[tuple[int, int, str]]:
     """Written-out signs inside disguised addresses and number groups."""
     edits: list[tuple[int, int, str]] = []
@@ -175,7 +188,7 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
     for a, b in windows:
         taken = a
         for address in _ADDRESS.finditer(text, a, b):
-            if _ANCHOR.search(address[0]) and _CREDIBLE.search(address[0]):
+            if _ANCHOR.search(address[0]) and _CREDIBLE.search(address[0]) and (_STRONG_ANCHOR.search(address[0]) or like_local(text, address)):
                 for sign in _SIGN.finditer(text, *address.span()):
                     written = sign[0].strip()
                     if written not in ("@", ".") or written != sign[0]:

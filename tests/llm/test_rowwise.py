@@ -175,3 +175,20 @@ def test_toxicity_counts_both_folds(spark):
     model = toxicity.fit_toxicity(docs, labels)
     _, sharp = model.evidence([b"only0 only0", b"only2 only2", b"only1 only1"])
     assert sharp[0] > 0.5 and sharp[1] > 0.5 and sharp[2] < 0.5
+
+
+@pytest.mark.parametrize("text, address", [
+    ("write to john.smith at example.com", "john.smith at example.com"),
+    ("ask j_doe7 at mail.example.org.", "j_doe7 at mail.example.org"),
+    ("e-mail: john at example.com now", "john at example.com"),
+    ("email address is john at example.com", "john at example.com"),
+])
+def test_lone_at_before_a_real_domain(text, address):
+    a = text.index(address)
+    assert pii.all_spans(text)[1] == [("email", a, a + len(address))]
+    assert pii.masked(text) == text.replace(address, "<email>")
+
+
+def test_lone_at_in_prose():
+    for text in ("look at example.com", "email me at example.com", "we met in 2024 at example.com", "john.smith at home", "see a.b at example.zzz"):
+        assert pii.all_spans(text)[1] == []
