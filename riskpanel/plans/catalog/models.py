@@ -1,8 +1,8 @@
 """Model queries on a monthly panel of the test tables.
 
 The panel is written once per session as the training matrix that all model
-queries read. Ensembles are smaller than the published settings, which stay
-the defaults of the library; every query still fits on all rows.
+queries read. Ensembles, grids and sweeps are the library's defaults, which are
+the published settings; every query fits on all rows.
 """
 
 from __future__ import annotations
@@ -50,10 +50,6 @@ def dataset(t: Tables) -> evaluation.Dataset:
     return _held[key]
 
 
-def small_forest(**params):
-    return models.forest(**{"numTrees": 20, "maxDepth": 8, **params})
-
-
 def _report(t: Tables, name: str, learner):
     data = dataset(t)
     model = learner.fit(data.train)
@@ -82,37 +78,36 @@ def training_matrix(t: Tables):
 
 @query("rf_report")
 def rf_report(t: Tables):
-    return _report(t, "forest", models.forest(numTrees=65, maxDepth=10))
+    return _report(t, "forest", models.forest())
 
 
 @query("gbt_report")
 def gbt_report(t: Tables):
-    return _report(t, "boosted_trees", models.boosted_trees(maxIter=15))
+    return _report(t, "boosted_trees", models.boosted_trees())
 
 
 @query("adaboost_report")
 def adaboost_report(t: Tables):
-    return _report(t, "adaboost", AdaBoost(rounds=15, seed=models.SEED))
+    return _report(t, "adaboost", AdaBoost(**models.ADABOOST, seed=models.SEED))
 
 
 @query("adaboost_samme_report")
 def adaboost_samme_report(t: Tables):
-    return _report(t, "adaboost_samme", AdaBoost(rounds=10, algorithm="SAMME", seed=models.SEED))
+    return _report(t, "adaboost_samme", AdaBoost(**{**models.ADABOOST, "algorithm": "SAMME"}, seed=models.SEED))
 
 
 @query("feature_importance_topk")
 def feature_importance_topk(t: Tables):
-    return evaluation.ranked_features(dataset(t), small_forest)
+    return evaluation.ranked_features(dataset(t), models.forest)
 
 
 @query("extra_importance")
 def extra_importance(t: Tables):
-    return evaluation.ranked_features(dataset(t), lambda: models.unsampled_forest(depth=10))
+    return evaluation.ranked_features(dataset(t), models.unsampled_forest)
 
 
 def _sweep(t: Tables):
-    learner = lambda: models.forest(**{**models.SWEEP_FOREST, "numTrees": 20})
-    return evaluation.selection_sweep(dataset(t), small_forest, learner)[0]
+    return evaluation.selection_sweep(dataset(t), models.forest, lambda: models.forest(**models.SWEEP_FOREST))[0]
 
 
 @query("threshold_sweep")
@@ -127,38 +122,31 @@ def best_threshold(t: Tables):
 
 @query("grid_search_rf")
 def grid_search_rf(t: Tables):
-    grid = {"maxDepth": [3, 5], "featureSubsetStrategy": ["sqrt", "log2"], "numTrees": [1, 10]}
-    return evaluation.search(dataset(t), models.forest, grid)[0]
+    return evaluation.search(dataset(t), models.forest, models.FOREST_GRID)[0]
 
 
 @query("grid_search_ada")
 def grid_search_ada(t: Tables):
-    grid = {"algorithm": ["SAMME", "SAMME.R"], "rounds": [1, 5]}
-    return evaluation.search(dataset(t), AdaBoost, grid)[0]
+    return evaluation.search(dataset(t), AdaBoost, models.ADABOOST_GRID)[0]
 
 
 @query("search_report")
 def search_report(t: Tables):
     """Per class report of the refitted best combination."""
     data = dataset(t)
-    _, best = evaluation.search(data, models.forest, {"maxDepth": [3, 6], "numTrees": [10]})
+    _, best = evaluation.search(data, models.forest, models.FOREST_GRID)
     return evaluation.search_report(data, models.forest, best)
 
 
 @query("tuned_model_risk")
 def tuned_model_risk(t: Tables):
-    return evaluation.risk_levels(evaluation.tuned_scores(dataset(t), {"numTrees": 50}))
+    return evaluation.risk_levels(evaluation.tuned_scores(dataset(t)))
 
 
 @query("model_roc_band")
 def model_roc_band(t: Tables):
     """ROC bands of three learners over seven expanding folds."""
-    learners = {
-        "forest": lambda: models.forest(numTrees=10, maxDepth=5),
-        "boosted_trees": lambda: models.boosted_trees(maxIter=3),
-        "adaboost": lambda: AdaBoost(rounds=3),
-    }
-    return evaluation.curve_bands(dataset(t), learners)[0]
+    return evaluation.curve_bands(dataset(t), {**evaluation.default_learners(), "forest": lambda: models.forest(**models.TUNED_FOREST)})[0]
 
 
 def _round_sql(number: int, rows: str) -> str:

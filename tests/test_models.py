@@ -169,3 +169,29 @@ def test_whole_evaluation(spark, data, tmp_path):
     reports = spark.read.parquet(written["model_reports"])
     assert {r["model"] for r in reports.collect()} == {"forest", "adaboost"}
     assert "adaboost_search_report" in written and "importances" in written
+
+
+def test_catalog_uses_published_settings(monkeypatch):
+    from riskpanel.plans.catalog import models as catalog
+
+    monkeypatch.setattr(catalog, "dataset", lambda t: None)
+    monkeypatch.setattr(catalog, "_report", lambda t, name, learner: learner)
+    monkeypatch.setattr(evaluation, "search", lambda data, learner, grid: (grid, grid))
+    monkeypatch.setattr(evaluation, "search_report", lambda data, learner, best: best)
+    monkeypatch.setattr(evaluation, "ranked_features", lambda data, learner: learner())
+    monkeypatch.setattr(evaluation, "selection_sweep", lambda data, ranker, learner: ((ranker(), learner()), None))
+    monkeypatch.setattr(evaluation, "tuned_scores", lambda data, params=None: params or {})
+    monkeypatch.setattr(evaluation, "risk_levels", lambda scores: scores)
+    monkeypatch.setattr(evaluation, "curve_bands", lambda data, learners: ({k: make() for k, make in learners.items()}, None))
+    monkeypatch.setattr(models, "forest", lambda **params: {**models.FOREST, **params})
+    monkeypatch.setattr(models, "boosted_trees", lambda **params: {**models.BOOSTED_TREES, **params})
+    monkeypatch.setattr(models, "unsampled_forest", lambda **params: params)
+    assert catalog.rf_report(None) == catalog.feature_importance_topk(None) == models.FOREST
+    assert catalog.gbt_report(None) == models.BOOSTED_TREES and catalog.extra_importance(None) == {}
+    assert catalog.adaboost_report(None).rounds == catalog.adaboost_samme_report(None).rounds == 100
+    assert catalog.adaboost_samme_report(None).algorithm == "SAMME"
+    assert catalog.threshold_sweep(None) == (models.FOREST, {**models.FOREST, **models.SWEEP_FOREST})
+    assert catalog.grid_search_rf(None) == catalog.search_report(None) == models.FOREST_GRID
+    assert catalog.grid_search_ada(None) == models.ADABOOST_GRID and catalog.tuned_model_risk(None) == {}
+    bands = catalog.model_roc_band(None)
+    assert bands["forest"] == models.TUNED_FOREST and bands["boosted_trees"]["maxIter"] == 1500 and bands["adaboost"].rounds == 100
