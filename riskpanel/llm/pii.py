@@ -48,12 +48,11 @@ DIGITS = {
 }
 _DIGIT = "zero|one|two|three|four|five|six|seven|eight|nine|oh|o"
 _SEPARATOR = r"[\s,-]{1,3}"
-# Rows of at least three spelled digits, with what may stand between them.
-_SPELLED = re.compile(
-    rf"\b(?:plus{_SEPARATOR})?(?:zero|one|two|three|four|five|six|seven|eight|nine)"
-    rf"(?:(?:{_SEPARATOR}|\s(?:dot|point|dash|hyphen)\s)(?:{_DIGIT}|[0-9]+)\b){{2,}}",
-    re.IGNORECASE,
-)
+_FIRST = "zero|one|two|three|four|five|six|seven|eight|nine"
+_NEXT = rf"(?:{_SEPARATOR}|\s(?:dot|point|dash|hyphen)\s)(?:{_DIGIT}|[0-9]+)\b"
+# Rows of at least three spelled digits, with what may stand between them; the hint is a part of every such row.
+_SPELLED = re.compile(rf"\b(?:plus{_SEPARATOR})?(?:{_FIRST})(?:{_NEXT}){{2,}}", re.IGNORECASE)
+_SPELLED_HINT = re.compile(rf"\b(?:{_FIRST}){_NEXT}", re.IGNORECASE)
 _UNIT = re.compile(rf"\b(?:plus|dot|point|dash|hyphen|{_DIGIT})\b|[0-9]+", re.IGNORECASE)
 _OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
 _AT = rf"\s*(?:{_OPEN}\s*(?:at|@)\s*{_CLOSE})\s*|\s+at\s+|\s*@\s*"
@@ -208,10 +207,7 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
     plain = text
     if not text.isascii() and _LOOKALIKE.search(text):
         plain = text.translate(_CHARACTERS)  # one for one: offsets stay
-    lower = plain.lower()
-    if len(lower) != len(plain):
-        lower = plain
-    edits = spelled_edits(plain) if _SPELLED_HINT.search(lower) else []
+    edits = spelled_edits(plain) if _SPELLED_HINT.search(plain) else []
     spelled = Rewritten(plain, edits) if edits else None
     current = spelled.text if spelled else plain
     signs = sign_edits(current) if spelled or _ANCHOR.search(plain) else []
@@ -229,7 +225,6 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-_SPELLED_HINT = re.compile(r"\b(?:zero|one|two|three|four|five|six|seven|eight|nine)[\s,-]{1,3}(?:zero|one|two|three|four|five|six|seven|eight|nine|oh|o|dot|point|[0-9])\b")
 _ORDER = {kind: k for k, kind in enumerate(KINDS)}
 
 

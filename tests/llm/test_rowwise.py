@@ -192,3 +192,10 @@ def test_lone_at_before_a_real_domain(text, address):
 def test_lone_at_in_prose():
     for text in ("look at example.com", "email me at example.com", "we met in 2024 at example.com", "john.smith at home", "see a.b at example.zzz"):
         assert pii.all_spans(text)[1] == []
+
+
+def test_spelled_digits_between_dashes_and_in_capitals():
+    row = "four " + " ".join(["one"] * 15)
+    for text in (row.replace(" ", " dash "), "\u0130 " + row.upper(), "plus " + " hyphen ".join("one two three four five six seven eight nine zero".split())):
+        kind = "phone" if text.startswith("plus") else "card"
+        assert pii.all_spans(text)[1] == [(kind, 2 * text.startswith("\u0130"), len(text))]
