@@ -149,18 +149,23 @@ def sorted_categories(rows: Iterable, limit: int | None, what: str) -> list:
     return sorted(values)
 
 
-def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list:
-    """Sorted distinct non-null values. More than ``limit`` is an error, never a silent cut."""
-    rows = df.select(quoted(column)).na.drop().distinct().limit(limit + 1).collect()
+def _up_to(values: DataFrame, limit: int | None) -> DataFrame:
+    """The values, or one more than ``limit`` of them, which is enough to see the excess."""
+    return values if limit is None else values.limit(limit + 1)
+
+
+def categories(df: DataFrame, column: str, limit: int | None = MAX_CATEGORIES) -> list:
+    """Sorted distinct non-null values. More than ``limit`` is an error, never a silent cut; None is no limit."""
+    rows = _up_to(df.select(quoted(column)).na.drop().distinct(), limit).collect()
     return sorted_categories(rows, limit, column)
 
 
 def categories_of(
-    df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES
+    df: DataFrame, columns: Sequence[str], limit: int | None = MAX_CATEGORIES
 ) -> dict[str, list]:
     """Sorted distinct values of several columns, as text and read in one job."""
     parts = [
-        df.select(quoted(c).cast("string").alias("value")).na.drop().distinct().limit(limit + 1).select(
+        _up_to(df.select(quoted(c).cast("string").alias("value")).na.drop().distinct(), limit).select(
             "value", F.lit(c).alias("column")
         )
         for c in columns
@@ -172,19 +177,19 @@ def categories_of(
 
 
 def label_categories(
-    df: DataFrame, column: str, separator: str = LABEL_SEPARATOR, limit: int = MAX_CATEGORIES
+    df: DataFrame, column: str, separator: str = LABEL_SEPARATOR, limit: int | None = MAX_CATEGORIES
 ) -> list[str]:
     """Sorted distinct labels of a multi-label column."""
     labels = df.select(quoted(column).alias("__text")).na.drop().distinct()
     labels = labels.select(F.explode(split_labels("__text", separator)).alias("label"))
-    return sorted_categories(labels.distinct().limit(limit + 1).collect(), limit, column)
+    return sorted_categories(_up_to(labels.distinct(), limit).collect(), limit, column)
 
 
 def one_hot(
-    df: DataFrame, column: str, values: Sequence | None = None, prefix: str | None = None
+    df: DataFrame, column: str, values: Sequence | None = None, prefix: str | None = None, limit: int | None = MAX_CATEGORIES
 ) -> DataFrame:
     """Append one 0/1 column per value; a null value has zeros everywhere."""
-    values = categories(df, column) if values is None else values
+    values = categories(df, column, limit) if values is None else values
     names = feature_names(prefix or column, values)
     return df.select(
         "*",
@@ -201,9 +206,10 @@ def one_hot_labels(
     values: Sequence[str] | None = None,
     prefix: str | None = None,
     separator: str = LABEL_SEPARATOR,
+    limit: int | None = MAX_CATEGORIES,
 ) -> DataFrame:
     """Append one 0/1 column per label of a multi-label text."""
-    values = label_categories(df, column, separator) if values is None else values
+    values = label_categories(df, column, separator, limit) if values is None else values
     names = feature_names(prefix or column, values)
     labels = df.withColumn("__labels", split_labels(quoted(column), separator))
     return labels.select(

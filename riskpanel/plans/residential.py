@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import target_flag
-from ..operators.columns import categories_of, drop_columns, one_hot, quoted
+from ..operators.columns import MAX_CATEGORIES, categories_of, drop_columns, one_hot, quoted
 from ..operators.panel import EventSource, PanelResult, build_panel
 from ..session import cut_lineage, cut_to_table
 from ..sources import readers, schemas
@@ -121,9 +121,11 @@ def prepare(
     )
 
 
-def encode_profile(profile: DataFrame, columns: Sequence[str] = cleaning.PROFILE_MODES) -> DataFrame:
+def encode_profile(
+    profile: DataFrame, columns: Sequence[str] = cleaning.PROFILE_MODES, max_categories: int | None = MAX_CATEGORIES
+) -> DataFrame:
     """One-hot the profile's categories while it has one row per area."""
-    for column, values in categories_of(profile, columns).items():
+    for column, values in categories_of(profile, columns, max_categories).items():
         profile = one_hot(profile, column, values)
     return drop_columns(profile, columns)
 
@@ -137,10 +139,12 @@ def residential_panel(
     keep_unmatched_periods: bool = False,
     lien_sums: Sequence[str] = ("amount",),
     values: Mapping[str, Mapping[str, Sequence]] | None = None,
+    max_categories: int | None = MAX_CATEGORIES,
 ) -> PanelResult:
     """Label, counts before the first target, liens of the year and the encoded profile.
 
     ``lien_sums`` may also name ``satisfied`` where that column is numeric.
+    ``max_categories`` is the most values a one-hot column may have, None for no limit.
     """
     values = values or {}
     sources = [
@@ -176,9 +180,10 @@ def residential_panel(
         cleaning.KEYS,
         period=period,
         min_ratio=min_ratio,
-        attributes=encode_profile(prepared.profile),
+        attributes=encode_profile(prepared.profile, max_categories=max_categories),
         until=until,
         keep_unmatched_periods=keep_unmatched_periods,
+        max_categories=max_categories,
     )
 
 

@@ -6,6 +6,7 @@ import os
 import pytest
 
 from riskpanel.operators.panel import EventSource, build_panel
+from riskpanel.operators import columns
 from riskpanel.plans import cleaning, residential
 
 FILES = {
@@ -204,3 +205,12 @@ def test_target_times_of_day_are_compared_exactly(spark):
     source = EventSource("call", calls, "at", one_hot=["code"], target=calls["code"].startswith("1"))
     row = build_panel(areas, [source], ["area"]).panel.first()
     assert row["target"] == 1 and row["call__2x"] == 1
+
+
+def test_category_limit_is_passed_on(spark, prepared):
+    assert residential.residential_panel(prepared, min_ratio=None, max_categories=None).features
+    with pytest.raises(ValueError, match="more than 0 values"):
+        residential.encode_profile(prepared.profile, max_categories=0)
+    df = spark.createDataFrame([("a;b",), ("c",), (None,)], "x string")
+    assert columns.categories(df, "x", None) == ["a;b", "c"] == columns.categories_of(df, ["x"], None)["x"]
+    assert columns.label_categories(df, "x", ";", None) == ["a", "b", "c"]
