@@ -167,3 +167,77 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     vectors = vectors.select(F.col("vec_id").alias("id"), whole.alias("vector"))
     best = exact_top_k(vectors, vectors.where("id % 50 = 0"), 5)
     return best.withColumn("score", F.col("score").cast("bigint"))
+
+
+def _kmeans_sql(k: int = 16, rounds: int = 3, scale: int = 64, dim: int = 64) -> str:
+    """The assignments and floored means, one pair of steps per round."""
+    nearest = """
+a{t} AS MATERIALIZED (
+  SELECT n, vec_id, v, cluster, distance FROM (
+    SELECT k.n, k.vec_id, k.v, c.cluster,
+           CAST(list_sum(list_transform(range(1, {dim} + 1), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) AS BIGINT) AS distance
+    FROM kept k CROSS JOIN c{t} c)
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY distance, cluster) = 1)"""
+    moved = """
+c{u} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.v, c.v) AS v FROM c{t} c LEFT JOIN (
+    SELECT cluster, list(mean ORDER BY i) AS v FROM (
+      SELECT cluster, i, CAST(floor(sum(v[i])::DOUBLE / count(*)) AS BIGINT) AS mean
+      FROM a{t}, unnest(range(1, {dim} + 1)) AS u(i) GROUP BY cluster, i) GROUP BY cluster) m USING (cluster))"""
+    steps = []
+    for t in range(rounds):
+        steps += [nearest.format(t=t, dim=dim), moved.format(t=t, u=t + 1, dim=dim)]
+    steps.append(nearest.format(t=rounds, dim=dim))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS INTEGER) AS cluster, v FROM kept WHERE vec_id IS NOT NULL
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= {k}),
+{",".join(steps)}
+SELECT a.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (cluster)
+"""
+
+
+@query("op11_centroid_clustering", _kmeans_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from .centroids import cluster_centroids
+
+    return cluster_centroids(table(spark, folder, "embeddings")).drop("scans")
+
+
+NEGATIVES_SQL = """
+WITH clean AS MATERIALIZED (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.id AS anchor_id, c.id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM clean a JOIN clean c ON a.id % 100 = 0 AND a.id <> c.id AND len(a.v) = len(c.v)),
+positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM positive JOIN scored s USING (anchor_id)
+WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .centroids import whole_components
+    from .negatives import hard_negatives
+    from .topk import finite
+
+    rows = table(spark, folder, "embeddings").where(finite(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select(F.col("vec_id").alias("id"), label.alias("label"), whole_components(F.col("embedding"), 256).alias("vector"))
+    return hard_negatives(rows, rows.where("id % 100 = 0"))
