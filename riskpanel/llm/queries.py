@@ -241,3 +241,13 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = rows.select(F.col("vec_id").alias("id"), label.alias("label"), whole_components(F.col("embedding"), 256).alias("vector"))
     return hard_negatives(rows, rows.where("id % 100 = 0"))
+
+
+@query("op13_suffix_dedup")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .suffixes import remove_repeated_bytes
+
+    kept = remove_repeated_bytes(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

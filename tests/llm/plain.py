@@ -55,6 +55,25 @@ def without_repeats(rows: list[tuple], window: int) -> list[tuple]:
     return out
 
 
+def without_repeated_bytes(rows: list[tuple], window: int) -> list[tuple]:
+    """(doc_id, n_bytes, n_removed, n_spans, kept bytes) per row, windows compared as byte strings."""
+    texts = [(t or "").encode() for _, t in rows]
+    seen: dict[bytes, int] = {}
+    for t in texts:
+        for i in range(len(t) - window + 1):
+            key = t[i : i + window]
+            seen[key] = seen.get(key, 0) + 1
+    out = []
+    for (d, _), t in zip(rows, texts):
+        gone = bytearray(len(t))
+        for i in range(len(t) - window + 1):
+            if seen[t[i : i + window]] > 1:
+                gone[i : i + window] = b"\x01" * window
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out.append((d, len(t), sum(gone), spans, bytes(b for b, g in zip(t, gone) if not g)))
+    return out
+
+
 def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
