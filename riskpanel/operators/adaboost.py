@@ -1,34 +1,30 @@
 """AdaBoost on depth-1 trees for labels 0 and 1, algorithms SAMME and SAMME.R.
 
 A stump cuts one feature at one threshold, so what it does to a row's weight
-depends only on the side of the cut and the label: four factors. The weight of
-a row after any number of rounds is therefore a closed expression over its
-features, and a round needs one weighted tree fit, whose leaves hold the four
-sums the round needs. No per-round copy of the rows is kept and the plan does not grow along a
-chain; only after many rounds the current weights are written to the
-checkpoint folder and the expression starts afresh.
+depends only on the row's bin of that feature and its label. The log weight of a
+row after any number of rounds is a sum of one table entry per feature, and a
+round is one histogram of weights per (feature, bin, label), whose prefix sums
+give every cut's sides at once. The best cut is the one with the least weighted
+impurity and is always taken, however little it separates the classes. No
+per-round copy of the rows is kept and no plan grows.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from math import exp, log
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import DecisionTreeClassifier
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage, ensure_checkpoint_dir
+from .binned import MAX_BINS, Block, bin_rows, confusion, macro_recall
 from .columns import quoted
 
 # Probabilities are kept this far away from zero before a logarithm is taken.
 SMALLEST = 2.220446049250313e-16
 
-_CUT = re.compile(r"If \(feature (\d+) <= ([-+0-9.eE]+)\)")
-
 
 @dataclass(frozen=True)
 class Stump:
@@ -39,6 +35,7 @@ class Stump:
     left: float
     right: float
     weight: float = 1.0
+    bin: int = 0
 
     @property
     def cut(self) -> tuple:
@@ -73,16 +70,44 @@ def _sum_over_cuts(x: Column, terms: Sequence[tuple[tuple, float, float]]) -> Co
     return parts[0] if parts else F.lit(0.0)
 
 
+def weight_histogram(block: Block, table: np.ndarray, shift: float) -> np.ndarray:
+    """Sum of weights per label and key; ``table`` holds log factors per label and key."""
+    n = block.keys.shape[1]
+    out = np.zeros((2, table.shape[1]))
+    for label, rows in enumerate(block.by_label()):
+        keys = block.keys[rows]
+        weights = block.count[rows] * np.exp(table[label][keys].sum(axis=1) - shift)
+        out[label] = np.bincount(keys.ravel(), weights=np.repeat(weights, n), minlength=table.shape[1])
+    return out
+
+
+def best_cut(histogram: np.ndarray, n_features: int, n_bins: int) -> tuple[int | None, int, dict]:
+    """Feature and bin of the cut with the least weighted impurity, and the weight per (side, label).
+
+    Ties go to the smaller feature, then threshold. Without two non-empty sides
+    or with one class only there is nothing to cut.
+    """
+    sums = histogram.reshape(2, n_features, n_bins)
+    left = np.cumsum(sums, axis=2)[:, :, :-1]
+    total = sums[:, :1].sum(axis=2, keepdims=True) if n_features else np.zeros((2, 1, 1))
+    # Added from the other end, not as a difference, which would leave rounding behind.
+    right = np.cumsum(sums[:, :, ::-1], axis=2)[:, :, ::-1][:, :, 1:]
+    n_left, n_right = left.sum(axis=0), right.sum(axis=0)
+    valid = (n_left > 0) & (n_right > 0)
+    if not valid.any() or (total <= 0).any():
+        return None, 0, {(side, label): float(total[label].sum()) if side == 0 else 0.0 for side in (0, 1) for label in (0, 1)}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        impurity = left[0] * left[1] / n_left + right[0] * right[1] / n_right
+    impurity = np.where(valid, impurity, np.inf)
+    # Equal impurities may differ in their last digits.
+    feature, at = divmod(int(np.flatnonzero(impurity.ravel() <= impurity.min() * (1 + 1e-12))[0]), n_bins - 1)
+    exact = {(0, label): float(sums[label, feature, : at + 1].sum()) for label in (0, 1)}
+    return feature, at, {**exact, **{(1, label): float(sums[label, feature, at + 1 :].sum()) for label in (0, 1)}}
+
+
 class AdaBoost:
-    def __init__(
-        self,
-        rounds: int = 100,
-        algorithm: str = "SAMME.R",
-        learning_rate: float = 1.0,
-        seed: int = 27,
-        checkpoint_every: int = 100,
-        max_bins: int = 32,
-    ):
+    def __init__(self, rounds: int = 100, algorithm: str = "SAMME.R", learning_rate: float = 1.0, seed: int = 27, checkpoint_every: int = 100, max_bins: int = MAX_BINS):
+        """``seed`` and ``checkpoint_every`` have no effect: a fit draws nothing and keeps no state in rows."""
         if algorithm not in ("SAMME", "SAMME.R"):
             raise ValueError("algorithm is 'SAMME' or 'SAMME.R'")
         self.rounds = rounds
@@ -93,70 +118,55 @@ class AdaBoost:
         self.max_bins = max_bins
 
     def fit(self, df: DataFrame) -> "AdaBoostModel":
-        ensure_checkpoint_dir(df.sparkSession)
-        base = df.select(
-            # Without metadata every feature is continuous, so that every split is a cut.
-            F.col("features").alias("features", metadata={}),
-            "label", vector_to_array("features").alias("x"), F.lit(0.0).alias("log_weight"),
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        rows = base.count()
-        stumps: list[Stump] = []
-        # Per round: cut, and left and right log factors as (label 0, label 1) pairs.
-        growth: list[tuple[tuple, tuple, tuple]] = []
-        shift = 0.0
+        binned = bin_rows(df, max_bins=self.max_bins)
         try:
-            for number in range(self.rounds):
-                if growth and number % self.checkpoint_every == 0:
-                    written = cut_lineage(self._weigh(base, growth))
-                    base.unpersist()
-                    base, growth = written.persist(StorageLevel.MEMORY_AND_DISK), []
-                # The weight relative to the mean keeps exponents in range; trees only see ratios.
-                state = self._weigh(base, growth).withColumn(
-                    "weight", F.exp(F.col("log_weight") - F.lit(shift))
-                )
-                feature, threshold, sums = self._best_cut(state, number)
-                sums["rows"] = rows
-                stump, done = self._judge(feature, threshold, sums, first=not stumps)
-                if stump is not None:
-                    stumps.append(stump)
-                if done:
-                    break
-                step, mean_after = self._step(stump, sums)
-                growth += step
-                shift += log(mean_after) if mean_after > 0 else 0.0
+            return AdaBoostModel(binned.each([None], self.boost)[0], self.algorithm)
         finally:
-            base.unpersist()
-        return AdaBoostModel(stumps, self.algorithm)
+            binned.release()
 
-    @staticmethod
-    def _weigh(base: DataFrame, growth: Sequence) -> DataFrame:
-        """Add the log factors of all rounds since the weights were last written."""
-        if not growth:
-            return base
-        zeros, ones = (
-            _sum_over_cuts(F.col("x"), [(cut, left[label], right[label]) for cut, left, right in growth])
-            for label in (0, 1)
-        )
-        return base.withColumn(
-            "log_weight", F.col("log_weight") + F.when(F.col("label") == 1, ones).otherwise(zeros)
-        )
+    def fit_folds(self, folded: DataFrame, n_splits: int) -> list["AdaBoostModel"]:
+        """A model per expanding fold; the folds share one binning."""
+        binned = bin_rows(folded, "test_fold", self.max_bins)
+        try:
+            return [AdaBoostModel(stumps, self.algorithm) for stumps in binned.each(range(n_splits), self.boost)]
+        finally:
+            binned.release()
 
-    def _best_cut(self, state: DataFrame, number: int) -> tuple[int | None, float, dict]:
-        """Cut of a weighted depth-1 tree, and the weight per (side, label) from its leaves; side 0 is left."""
-        tree = DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=self.seed + number, maxBins=self.max_bins)
-        model = tree.fit(state)
-        root = model._call_java("rootNode")
-        if model.depth == 0:
-            feature, threshold, leaves = None, 0.0, [list(root.impurityStats().stats()), [0.0, 0.0]]
+    def boost(self, fold: int | None, source) -> list[Stump]:
+        """The stumps of the rows before a fold, from any source of histograms."""
+        n_features, n_bins = source.n_features, source.n_bins
+        table, shift = np.zeros((2, n_features * n_bins)), 0.0
+        if source.n_blocks == 1 and hasattr(source, "block"):
+            held = source.block.before(fold)
+            histogram = lambda: weight_histogram(held, table, shift)
         else:
-            found = _CUT.search(model.toDebugString)
-            if not found:
-                raise ValueError("the stump's split is not a cut of a continuous feature")
-            feature, threshold = int(found.group(1)), float(found.group(2))
-            leaves = [list(side.impurityStats().stats()) for side in (root.leftChild(), root.rightChild())]
-        return feature, threshold, {(side, label): leaf[label] if label < len(leaf) else 0.0 for side, leaf in enumerate(leaves) for label in (0, 1)}
-
-    def _judge(self, feature, threshold, sums, first: bool) -> tuple[Stump | None, bool]:
+            histogram = lambda: source.total(_weighing(fold, table, shift))
+        stumps: list[Stump] = []
+        rows = 0.0
+        for _ in range(self.rounds):
+            found = histogram()
+            feature, at, sums = best_cut(found, n_features, n_bins) if np.size(found) > 1 else (None, 0, {(s, c): 0.0 for s in (0, 1) for c in (0, 1)})
+            rows = rows or sum(sums.values())
+            if not rows:
+                break
+            threshold = float(source.cuts[feature][at]) if feature is not None else 0.0
+            stump, done = self._judge(feature, threshold, at, sums, first=not stumps)
+            if stump is not None:
+                stumps.append(stump)
+            if done:
+                break
+            factors, mean_after = self._step(stump, sums, rows)
+            shift += log(mean_after) if mean_after > 0 else 0.0
+            if feature is None:
+                table[:, :n_bins] += np.array(factors[0])[:, None]
+                continue
+            begin = feature * n_bins
+            for label in (0, 1):
+                table[label, begin : begin + at + 1] += factors[0][label]
+                table[label, begin + at + 1 : begin + n_bins] += factors[1][label]
+        return stumps
+
+    def _judge(self, feature, threshold, at, sums, first: bool) -> tuple[Stump | None, bool]:
         """The round's stump (or none) and whether boosting ends with it."""
         chance = [
             sums[side, 1] / (sums[side, 0] + sums[side, 1]) if sums[side, 0] + sums[side, 1] > 0 else 0.5
@@ -167,17 +177,18 @@ class AdaBoost:
             sums[side, 0] if Stump.vote(chance[side]) > 0 else sums[side, 1] for side in (0, 1)
         )
         error = missed / total
+        stump = Stump(feature, threshold, *chance, bin=at)
         if error <= 0:
-            return Stump(feature, threshold, *chance), True
+            return stump, True
         if self.algorithm == "SAMME.R":
-            return Stump(feature, threshold, *chance), False
+            return stump, False
         if error >= 0.5:
             if first:
                 raise ValueError("the first stump is no better than chance")
             return None, True
-        return Stump(feature, threshold, *chance, self.learning_rate * log(1.0 / error - 1.0)), False
+        return Stump(feature, threshold, *chance, self.learning_rate * log(1.0 / error - 1.0), at), False
 
-    def _step(self, stump: Stump, sums) -> tuple[list, float]:
+    def _step(self, stump: Stump, sums, rows: float) -> tuple[list, float]:
         """Log factors of this round per side and label, and the mean weight after it."""
         factors = []
         for chance in (stump.left, stump.right):
@@ -190,7 +201,46 @@ class AdaBoost:
         after = sum(
             sums[side, label] * exp(factors[side][label]) for side in (0, 1) for label in (0, 1)
         )
-        return [(stump.cut, factors[0], factors[1])], after / sums["rows"]
+        return factors, after / rows
+
+    @classmethod
+    def shared_scores(cls, folded: DataFrame, grid: Mapping[str, Sequence], combos: Sequence[dict], n_splits: int) -> dict[tuple[int, int], float | None]:
+        """Macro recall by (combination, fold): one fit per fold and setting scores all its numbers of rounds.
+
+        The stumps of fewer rounds are the first ones of more rounds.
+        """
+        groups: dict[tuple, list[int]] = {}
+        for number, params in enumerate(combos):
+            groups.setdefault(tuple((k, v) for k, v in params.items() if k != "rounds"), []).append(number)
+        most = max(grid.get("rounds", [cls().rounds]))
+        bins = {dict(group).get("max_bins", MAX_BINS) for group in groups}
+        out: dict[tuple[int, int], float | None] = {}
+        for max_bins in bins:
+            binned = bin_rows(folded, "test_fold", max_bins)
+            fits = [(group, fold) for group in groups if dict(group).get("max_bins", MAX_BINS) == max_bins for fold in range(n_splits)]
+
+            def run(fit, source):
+                group, fold = fit
+                return cls(**{**dict(group), "rounds": most}).boost(fold, source)
+
+            try:
+                for (group, fold), stumps in zip(fits, binned.each(fits, run)):
+                    model = AdaBoostModel(stumps, dict(group).get("algorithm", "SAMME.R"))
+                    stages = [combos[number].get("rounds", most) for number in groups[group]]
+                    cells = binned.total(_testing(fold, model.tables(stages, binned.n_features, binned.n_bins)))
+                    for k, number in enumerate(groups[group]):
+                        out[number, fold] = macro_recall(cells[k]) if np.ndim(cells) else None
+            finally:
+                binned.release()
+        return out
+
+
+def _weighing(fold: int | None, table: np.ndarray, shift: float):
+    return lambda block: weight_histogram(block.before(fold), table, shift)
+
+
+def _testing(fold: int, tables: np.ndarray):
+    return lambda block: confusion(block, fold, tables)
 
 
 class AdaBoostModel:
@@ -200,13 +250,28 @@ class AdaBoostModel:
         self.stumps = list(stumps)
         self.algorithm = algorithm
 
+    def _votes(self, stump: Stump) -> tuple[float, float]:
+        if self.algorithm == "SAMME":
+            return stump.weight * stump.vote(stump.left), stump.weight * stump.vote(stump.right)
+        return stump.log_odds(stump.left), stump.log_odds(stump.right)
+
+    def tables(self, stages: Sequence[int], n_features: int, n_bins: int) -> np.ndarray:
+        """Votes per key of the first so many stumps, for every stage."""
+        out = np.zeros((len(stages), n_features * n_bins))
+        for k, stage in enumerate(stages):
+            for stump in self.stumps[:stage]:
+                left, right = self._votes(stump)
+                begin = (stump.feature or 0) * n_bins
+                split = begin + n_bins if stump.feature is None else begin + stump.bin + 1
+                out[k, begin:split] += left
+                out[k, split : begin + n_bins] += right
+        return out
+
     def transform(self, df: DataFrame) -> DataFrame:
         total = sum(s.weight for s in self.stumps) or 1.0
+        votes = soft = [(s.cut, *self._votes(s)) for s in self.stumps]
         if self.algorithm == "SAMME":
-            votes = [(s.cut, s.weight * s.vote(s.left), s.weight * s.vote(s.right)) for s in self.stumps]
             soft = [(s.cut, s.weight * (2 * s.left - 1), s.weight * (2 * s.right - 1)) for s in self.stumps]
-        else:
-            votes = soft = [(s.cut, s.log_odds(s.left), s.log_odds(s.right)) for s in self.stumps]
         x = F.col("__x")
         scored = df.withColumn("__x", vector_to_array("features")).withColumns(
             {"__vote": _sum_over_cuts(x, votes) / F.lit(total), "__soft": _sum_over_cuts(x, soft) / F.lit(total)}

@@ -1,8 +1,10 @@
-"""Models, reports and searches on Spark ML.
+"""Models, reports and searches on assembled vectors.
 
-Rows stay distributed: each fit is a Spark job on assembled vectors, and the
-driver only loops over parameters, folds and thresholds. What comes back to the
-driver per fit is a fitted model and one row of counts.
+Rows stay distributed: forests are Spark ML's, boosting runs on histograms over
+binned rows, and the driver only loops over parameters, folds and thresholds. A
+learner may offer to score a whole grid from few fits (``shared_scores``) or to
+fit all folds on one binning (``fit_folds``); what comes back to the driver is
+fitted models and counts.
 """
 
 from __future__ import annotations
@@ -12,14 +14,15 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir, run_parallel
-from .adaboost import AdaBoostModel
+from ..session import run_parallel
+from .boosted import BoostedTrees
 from .columns import quoted
+from .forests import ProbabilityForest, RandomCutForest, shared_scores
 from .metrics import confusion_cells, metric_columns, score_summary
 from .timeorder import fold_test, fold_train
 
@@ -98,24 +101,24 @@ def positive_score(column: str = "probability"):
 # ---------------------------------------------------------------- learners
 
 
-def forest(seed: int = SEED, **params) -> RandomForestClassifier:
-    settings = {**FOREST, **params}
-    return RandomForestClassifier(seed=seed, **settings)
+def forest(seed: int = SEED, **params) -> ProbabilityForest:
+    return ProbabilityForest(seed=seed, **{**FOREST, **params})
 
 
-def boosted_trees(seed: int = SEED, **params) -> GBTClassifier:
-    """Boosted trees; the session gets a checkpoint folder so that many rounds do not grow one lineage."""
-    session = SparkSession.getActiveSession()
-    if session is not None:
-        ensure_checkpoint_dir(session)
-    return GBTClassifier(seed=seed, **{**BOOSTED_TREES, **params})
+def _forest_scores(folded: DataFrame, grid: Mapping[str, Sequence], combos: Sequence[dict], n_splits: int) -> dict:
+    return shared_scores({"seed": SEED, **FOREST}, folded, grid, combos, n_splits)
 
 
-def unsampled_forest(seed: int = SEED, num_trees: int = 10, depth: int = MAX_TREE_DEPTH) -> RandomForestClassifier:
-    """Every tree sees all rows; used for a second ranking of the features."""
-    return RandomForestClassifier(
-        seed=seed, numTrees=num_trees, maxDepth=depth, bootstrap=False, featureSubsetStrategy="sqrt"
-    )
+forest.shared_scores = _forest_scores
+
+
+def boosted_trees(seed: int = SEED, **params) -> BoostedTrees:
+    return BoostedTrees(seed=seed, **{**BOOSTED_TREES, **params})
+
+
+def unsampled_forest(seed: int = SEED, num_trees: int = 10, depth: int = MAX_TREE_DEPTH) -> RandomCutForest:
+    """Every tree sees all rows and has random cuts; used for a second ranking of the features."""
+    return RandomCutForest(seed=seed, numTrees=num_trees, maxDepth=depth)
 
 
 # ---------------------------------------------------------------- scoring and reports
@@ -124,7 +127,8 @@ def unsampled_forest(seed: int = SEED, num_trees: int = 10, depth: int = MAX_TRE
 def score_rows(model, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Label, hard prediction and probability of class 1."""
     done = model.transform(df)
-    probability = F.col("probability") if isinstance(model, AdaBoostModel) else positive_score()
+    single = isinstance(done.schema["probability"].dataType, T.DoubleType)
+    probability = F.col("probability") if single else positive_score()
     return done.select(*[quoted(c) for c in keep], "label", "prediction", probability.alias("score"))
 
 
@@ -230,15 +234,21 @@ def grid_scores(
     """Macro recall of every combination on every expanding fold.
 
     ``folded`` carries ``label``, ``features`` and ``test_fold``. The result has
-    one row per combination and fold.
+    one row per combination and fold. A learner with ``shared_scores`` reads the
+    smaller combinations off larger fits.
     """
     combos = list(enumerate(parameter_grid(grid)))
     tasks = [(number, params, fold) for number, params in combos for fold in range(n_splits)]
+    shared = getattr(learner, "shared_scores", None)
+    known = shared(folded, grid, [params for _, params in combos], n_splits) if shared else None
 
     def run(task):
         number, params, fold = task
-        model = learner(**params).fit(fold_train(folded, fold))
-        score = model_metrics(model, fold_test(folded, fold))["recall_macro"]
+        if known is not None:
+            score = known[number, fold]
+        else:
+            model = learner(**params).fit(fold_train(folded, fold))
+            score = model_metrics(model, fold_test(folded, fold))["recall_macro"]
         return (number, *[str(v) for v in params.values()], fold, score)
 
     fields = ", ".join(f"{name} string" for name in grid)
@@ -260,11 +270,13 @@ def fold_scores(
     folded: DataFrame, learners: Mapping[str, Callable[[], object]], n_splits: int = CURVE_FOLDS, parallelism: int = 4
 ) -> DataFrame:
     """Scores (model, fold, label, score) of every learner refitted on every expanding fold."""
+    made = {name: make() for name, make in learners.items()}
+    together = {name: learner.fit_folds(folded, n_splits) for name, learner in made.items() if hasattr(learner, "fit_folds")}
     tasks = [(name, fold) for name in learners for fold in range(n_splits)]
 
     def run(task):
         name, fold = task
-        model = learners[name]().fit(fold_train(folded, fold))
+        model = together[name][fold] if name in together else learners[name]().fit(fold_train(folded, fold))
         scored = score_rows(model, fold_test(folded, fold))
         return scored.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "label", "score")
 

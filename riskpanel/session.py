@@ -78,6 +78,11 @@ def cut_to_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path beside the checkpoints."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def run_parallel(job: Callable, items: Sequence, parallelism: int) -> list:
     """Submit independent Spark jobs from a few driver threads, results in order."""
     if parallelism <= 1 or len(items) <= 1:
