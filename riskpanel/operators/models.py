@@ -90,7 +90,11 @@ def assemble(
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """Keep vectors for repeated fits; what does not fit in memory goes to disk."""
+    """Keep vectors for repeated fits, spread over all cores; what does not fit in memory goes to disk."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # Small tables are merged into one partition by adaptive execution, and a tree's nodes with them.
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 

@@ -32,7 +32,7 @@ def test_rare_target_moves_the_probability(spark, make):
     x = [[k % 2] for k in range(400)]
     y = [int(k // 2 % 20 < (6 if k % 2 else 2)) for k in range(400)]
     model = make().fit(frame(spark, x, y))
-    assert [float(v) for v in np.asarray(model.featureImportances.toArray() if hasattr(model.featureImportances, "toArray") else model.featureImportances)] == [1.0]
+    assert list(model.featureImportances) == [1.0]
     got = {round(r.score, 6) for r in models.score_rows(model, frame(spark, x, y)).collect()}
     assert got == {0.1, 0.3}
 
@@ -174,8 +174,8 @@ def test_prefixes_and_tops_of_a_forest(spark, folded):
     model = models.forest(numTrees=6, maxDepth=5).fit(train)
     cells = forests.prefix_cells(model, test, [1, 4, 6], [0, 2, 5])
     rows = test.select(vector_to_array("features").alias("x"), "label").collect()
-    mean = sum(tree.transform(test).select(F.col("prediction")).toPandas()["prediction"].to_numpy() for tree in model.trees[:4]) / 4
-    label = np.array([int(r.label) for r in rows])
+    x, label = np.array([r.x for r in rows]), np.array([int(r.label) for r in rows])
+    mean = sum(model.nodes.shares(x, slice(k, k + 1), [30])[0, 0] for k in range(4)) / 4
     want = np.bincount(2 * label + (mean > 0.5), minlength=4).reshape(2, 2)
     assert (cells[1, 2] == want).all() and (cells.sum(axis=(2, 3)) == len(rows)).all()
     # At depth 0 every row has its tree's mean.
@@ -184,13 +184,37 @@ def test_prefixes_and_tops_of_a_forest(spark, folded):
     assert len(shallow) == 12 and all(0 <= r.score <= 1 for r in shallow)
 
 
+def walk(nodes, root, values):
+    at = root
+    while nodes.feature[at] >= 0:
+        at = nodes.left[at] if values[nodes.feature[at]] <= nodes.threshold[at] else nodes.right[at]
+    return nodes.share[at]
+
+
+@pytest.mark.parametrize("values", [1 << 22, 300])
+def test_leaves_hold_their_rows_share(spark, monkeypatch, values):
+    """An unsampled tree on all features: every leaf's share is that of its rows; in tasks and by Spark ML."""
+    monkeypatch.setattr(binned, "BLOCK_VALUES", values)
+    x, y = table(n=300, d=3)
+    df = frame(spark, x, y)
+    model = models.forest(numTrees=2, maxDepth=4, bootstrap=False, featureSubsetStrategy="all").fit(df)
+    nodes = model.nodes
+    got = np.array([walk(nodes, nodes.root[0], v) for v in x])
+    for share in np.unique(got):
+        assert share == pytest.approx(y[got == share].mean())
+    scored = [r.score for r in models.score_rows(model, df, ["i"]).orderBy("i").collect()]
+    want = [(walk(nodes, nodes.root[0], v) + walk(nodes, nodes.root[1], v)) / 2 for v in x]
+    assert scored == pytest.approx(want)
+    assert np.sum(model.featureImportances) == pytest.approx(1.0)
+
+
 def test_random_cuts_are_the_drawn_ones(spark):
     x, y = table(seed=9, n=500)
     df = frame(spark, x, y)
     learner = models.unsampled_forest(num_trees=4)
     model, again = learner.fit(df), learner.fit(df)
     assert (model.featureImportances == again.featureImportances).all()
-    assert not np.allclose(model.featureImportances, models.forest(numTrees=4, bootstrap=False).fit(df).featureImportances.toArray())
+    assert not np.allclose(model.featureImportances, models.forest(numTrees=4, bootstrap=False).fit(df).featureImportances)
     low, high = x.min(axis=0), x.max(axis=0)
     for tree, (one, drawn) in enumerate(zip(model.trees, model.drawn)):
         assert drawn == learner.draw(low, high, tree) and all(a <= c <= b for f, (a, b) in enumerate(zip(low, high)) for c in drawn[f])
