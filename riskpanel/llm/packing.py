@@ -156,13 +156,17 @@ def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     return ranked.mapInArrow(place, f"{fields}, sequence_id bigint, offset bigint")
 
 
+# Pieces and words whose ids a Python worker remembers, twice as many at most: some 250 MB.
+REMEMBERED_WORDS = 400_000
+
+
 class Encoder(Splitter):
     """Token ids as little-endian bytes: words are encoded by the tokenizer and remembered."""
 
     join = staticmethod(b"".join)
 
     def __init__(self, vocabulary: str):
-        super().__init__(vocabulary)
+        super().__init__(vocabulary, REMEMBERED_WORDS)
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -172,7 +176,7 @@ class Encoder(Splitter):
 
     def word_value(self, word: str) -> bytes:
         tokens = self.model.tokenize("".join([self.letters[b] for b in word.encode()]))
-        return np.array([t.id for t in tokens], "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
 
     def special_value(self, text: str) -> bytes:
         return np.array([self.tokenizer.token_to_id(text)], "<u4").tobytes()
