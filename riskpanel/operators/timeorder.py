@@ -168,27 +168,25 @@ def forward_fill(
 
 
 def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
-    """Add the 0-based position of each row in the total order.
+    """Add the 0-based position of each row in the total order, and the number of rows.
 
-    No window is needed: inside a sorted partition the row number comes from
-    ``monotonically_increasing_id`` and the partition sizes give the offset.
+    Inside a sorted partition the row number comes from
+    ``monotonically_increasing_id``; a carry table of one row per partition
+    brings the rows before it, so the plan does not grow with the partitions.
     """
     ordered = range_partitioned(df, [quoted(c).asc() for c in order]).withColumn(
         "__local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     )
-    sizes = ordered.groupBy(_PID).agg(F.count(F.lit(1)).alias("__size")).collect()
-    # One number per partition: bounded by the number of partitions, not by the rows.
-    offsets: dict[int, int] = {}
-    total = 0
-    for row in sorted(sizes, key=lambda r: r[_PID]):
-        offsets[row[_PID]] = total
-        total += row["__size"]
-    last = max(offsets, default=-1)
-    steps = F.array(*[F.lit(offsets.get(p, 0)).cast("bigint") for p in range(last + 1)])
-    indexed = ordered.withColumn(name, F.get(steps, F.col(_PID)) + F.col("__local")) if offsets else (
-        ordered.withColumn(name, F.lit(None).cast("bigint"))
+    sizes = ordered.groupBy(_PID).agg(F.count(F.lit(1)).alias("__size"))
+    # As many rows as partitions, which the driver plans one by one anyway.
+    whole = Window.orderBy(_PID)
+    carry = sizes.select(
+        _PID,
+        F.coalesce(F.sum("__size").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.sum("__size").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("row_total"),
     )
-    return indexed.select(*[quoted(c) for c in df.columns], name, F.lit(total).cast("bigint").alias("row_total"))
+    joined = ordered.join(F.broadcast(carry), _PID)
+    return joined.select(*[quoted(c) for c in df.columns], (F.col("__before") + F.col("__local")).alias(name), "row_total")
 
 
 def expanding_folds(df: DataFrame, order: Sequence[str], n_splits: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.aggregate import top_k
 
@@ -28,8 +28,18 @@ def run_path(folder: str, name: str, run_id: str) -> str:
 
 
 def append_sweep(results: DataFrame, folder: str, run_id: str) -> str:
-    """Selection results of one run, comma separated, appended to the run's folder."""
-    return write_csv(results, run_path(folder, "feature_selection_results", run_id), mode="append")
+    """Selection results of one run, comma separated, added to the run's folder.
+
+    Results with a ``step`` replace those of the same run and step, so that a
+    repeated run does not add its rows again; others are appended.
+    """
+    path = run_path(folder, "feature_selection_results", run_id)
+    if "step" not in results.columns:
+        return write_csv(results, path, mode="append")
+    # The step stays in the files; its copy names their folders.
+    by_step = results.withColumn("run_step", F.col("step")).write.mode("overwrite").partitionBy("run_step")
+    by_step.option("partitionOverwriteMode", "dynamic").option("header", "true").option("escape", '"').csv(path)
+    return path
 
 
 def write_importances(importances: DataFrame, folder: str, run_id: str, k: int = 50) -> str:
