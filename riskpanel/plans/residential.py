@@ -46,7 +46,7 @@ def read_sources(
 ) -> Sources:
     """All landed files of one folder; ``files`` overrides names in ``schemas.FILES``.
 
-    ``multi_line`` reads quoted line breaks, at the price of one task per file.
+    ``multi_line`` reads quoted line breaks; files with two header lines then take one task each.
     """
     folder = folder.rstrip("/")
     names = {**schemas.FILES, **(files or {})}
