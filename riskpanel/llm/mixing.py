@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import partitions
+from .common import free_names, partitions
 
 # Rates above it are drawn as a sum of that many equal parts.
 PART_RATE = 32
@@ -76,15 +76,16 @@ def repetition_rates(docs: DataFrame, targets: DataFrame | None, size: Column, b
     return cut_lineage(rated.withColumn("table", poisson_table(part)))
 
 
-def attach_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
+def attach_rates(docs: DataFrame, rates: DataFrame, key: str = "mix_source") -> DataFrame:
     """Join by source: broadcast while the counted sources are few, else by key and salt."""
-    docs = docs.withColumn("mix_source", F.coalesce(F.col("source"), F.lit("")))
+    docs = docs.withColumn(key, F.coalesce(F.col("source"), F.lit("")))
     if rates.count() <= MAX_BROADCAST_SOURCES:
-        return docs.join(F.broadcast(rates), "mix_source")
+        return docs.join(F.broadcast(rates), key)
     salts = partitions(docs)
-    docs = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    rates = rates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return docs.join(rates, ["mix_source", "salt"]).drop("salt")
+    (salt,) = free_names(docs, "salt")
+    docs = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    rates = rates.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return docs.join(rates, [key, salt]).drop(salt)
 
 
 def mix_sources(
@@ -103,12 +104,14 @@ def mix_sources(
     alike; a null id is drawn as one id. No rows: no rows.
     """
     size = F.length(F.coalesce(F.col("text"), F.lit(""))) if size is None else size
-    names = [c for c in docs.columns if c not in ("copy", "rate", "mix_key")]
-    docs = docs.select(*names)
-    drawn = attach_rates(docs, repetition_rates(docs, targets, size, budget))
-    copies = poisson_copies(F.col("rate"), F.col("table"), seed, "doc_id")
-    drawn = drawn.withColumn("n_copies", copies).where("n_copies > 0")
-    each = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("copy").cast("string")))
-    keyed = each.select(*names, "copy", "rate", key.alias("mix_key"))
+    names = [c for c in docs.columns if c.lower() not in ("copy", "rate", "mix_key")]
+    docs = docs.select(*[f"`{c}`" for c in names])
+    key, table, n_copies = free_names(docs, "mix_source", "table", "n_copies")
+    rates = repetition_rates(docs, targets, size, budget).withColumnsRenamed({"mix_source": key, "table": table})
+    drawn = attach_rates(docs, rates, key)
+    copies = poisson_copies(F.col("rate"), F.col(table), seed, "doc_id")
+    drawn = drawn.withColumn(n_copies, copies).where(F.col(n_copies) > 0)
+    each = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1)))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("copy").cast("string")))
+    keyed = each.select(*[f"`{c}`" for c in names], "copy", "rate", place.alias("mix_key"))
     return keyed.repartitionByRange(partitions(docs), "mix_key").sortWithinPartitions("mix_key")

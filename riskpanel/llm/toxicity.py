@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_to_table
-from .common import separators, text_bytes, with_text, word_hashes
+from .common import free_names, separators, text_bytes, with_text, word_hashes
 
 # Counted words (two floats and a key) and bigrams (one float and a key) that are broadcast at most, 41 MB;
 # the sieve of each has up to 2^SIEVE_BITS bits, 8 MB. What is beyond them is joined.
@@ -451,7 +451,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     if not model.whole:
         # A score depends on the text alone.
         text = F.coalesce(F.col("text"), F.lit(""))
-        keys = {"key_": F.xxhash64(text), "check_": F.xxhash64(F.lit(1), text)}
+        keys = dict(zip(free_names(docs, "key_", "check_"), (F.xxhash64(text), F.xxhash64(F.lit(1), text))))
         scored = _evidence(docs.withColumns(keys), model, list(keys)).where(model.score_column() >= threshold)
         kept = docs.withColumns(keys).join(scored.select(*keys).distinct(), list(keys), "left_anti")
         return kept.select(*docs.columns)

@@ -7,7 +7,7 @@ import random
 from riskpanel.session import ship_package
 
 # Extra columns whose names the operators use themselves.
-CLASH = ["id", "doc", "row", "n", "rep", "rank", "part", "length", "score", "copy", "rate", "spans", "kept_text", "key", "comp", "start", "words"]
+CLASH = ["id", "doc", "row", "n", "rep", "rank", "part", "length", "score", "copy", "rate", "spans", "kept_text", "key", "comp", "start", "words", "table", "mix_source", "n_copies", "salt", "key_", "check_", "place_", "node"]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in CLASH)
 
 

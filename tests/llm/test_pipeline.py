@@ -45,8 +45,10 @@ def test_stages_against_plain_versions(spark, folder):
     single = stages["near_dedup"](spark, clean, folder).cache()
     assert single.columns == COLUMNS
     rows = [(r.doc_id, r.text) for r in clean.collect()]
-    groups = plain.near_groups(rows, 5, 80)
-    want = Counter(d for d, root in groups.items() if d == root)
+    # Every distinct id and text is a document of its own, in the order of the ids.
+    nodes = sorted({(d, t or "") for d, t in rows if d is not None})
+    groups = plain.near_groups([(k, t) for k, (_, t) in enumerate(nodes)], 5, 80)
+    want = Counter(nodes[k][0] for k, root in groups.items() if k == root)
     want[None] = sum(d is None for d, _ in rows)
     assert Counter(r.doc_id for r in single.collect()) == want
 
@@ -69,7 +71,23 @@ def test_run(spark, folder):
     assert rows and check_bins(rows, 2048) > 0
 
 
+def test_run_on_empty_tables(spark, tmp_path):
+    frame(spark, []).select(*COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_their_own_names(spark, folder, edges):
+    """Extra columns named as the stages name theirs come through unchanged."""
+    docs = frame(spark, edges)
+    for name in ("near_dedup", "mixing"):
+        got = dict(corpus_pipeline.STAGES)[name](spark, docs, folder)
+        rest = [c for c in docs.columns if c not in (*COLUMNS, "copy", "rate")]
+        assert set(rest) <= set(got.columns)
+        assert got.count() and got.where(" or ".join(f"`{c}` <> 'x'" for c in rest)).count() == 0
+
+
 def test_queries_are_whole_and_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert os.path.exists(corpus_pipeline.__file__)
