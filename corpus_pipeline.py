@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from riskpanel.llm.common import free_names
 from riskpanel.llm.mixing import mix_sources
 from riskpanel.llm.neardup import near_duplicates
 from riskpanel.llm.packing import pack_documents
@@ -34,15 +35,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group, that with the smallest id.
 
-    Rows that repeat an id are one document: the row with the smallest text
-    stays. Rows without an id cannot be told apart and all stay.
+    Every distinct pair of id and text is a document of its own; of rows that
+    repeat both one stays. Rows without an id cannot be told apart and all stay.
     """
     ship_package(spark)
-    kept = near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("kept").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]])
-    named = docs.join(cut_to_table(kept), "doc_id", "left_semi").withColumn("place_", F.row_number().over(first))
-    named = named.where("place_ = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    node, place = free_names(docs, "node", "place")
+    named = docs.where("doc_id is not null").withColumn(node, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    members = near_duplicates(named.select(F.col(node).alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    ids = named.select(node, F.col("doc_id").alias("id")).distinct()
+    grouped = ids.join(members.select(F.col("doc_id").alias(node), "component_id").distinct(), node)
+    kept = grouped.groupBy("component_id").agg(F.min(F.struct("id", node)).alias("least")).select(f"least.{node}")
+    order = Window.partitionBy(node).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    single = named.join(cut_to_table(kept), node, "left_semi").withColumn(place, F.row_number().over(order))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return single.where(F.col(place) == 1).select(*columns).unionByName(docs.where("doc_id is null"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
