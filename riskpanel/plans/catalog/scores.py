@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...operators import metrics, models
+from ...operators import curves, metrics, models
 from .base import Tables, big, query, rounded
 
 
@@ -160,3 +160,24 @@ def hard_label_auc(t: Tables):
     from ...operators.curves import auc
 
     return auc(predicted_lines(t), "prediction", "label", ["model"]).withColumn("auc", rounded("auc", 9))
+
+
+@query(
+    "auc_bucketed",
+    """WITH scored AS (SELECT o_orderstatus AS status, CAST(o_totalprice AS DOUBLE) AS score, o_orderpriority LIKE '1%' AS label FROM orders),
+            edges AS (SELECT min(score) AS low, max(score) AS high FROM scored),
+            counts AS (SELECT status, greatest(least(floor((score - edges.low) / (edges.high - edges.low) * 4096), 4095), 0) AS bucket,
+                              count(*) FILTER (label) AS pos, count(*) FILTER (NOT label) AS neg, min(score) AS low, max(score) AS high
+                       FROM scored, edges GROUP BY 1, 2),
+            steps AS (SELECT *, sum(pos) OVER (PARTITION BY status ORDER BY bucket DESC) AS tp FROM counts)
+       SELECT status, round(sum(neg * (2 * tp - pos))::DOUBLE / (2.0::DOUBLE * sum(pos) * sum(neg)), 9) AS auc,
+              round(coalesce(sum(pos * neg) FILTER (low < high), 0)::DOUBLE / (2.0::DOUBLE * sum(pos) * sum(neg)), 9) AS error
+       FROM steps GROUP BY status""",
+)
+def auc_bucketed(t: Tables):
+    """Area under the curve of prices per order status from a bounded summary, with its error bound."""
+    scored = t.orders.select(
+        F.col("o_orderstatus").alias("status"), "o_totalprice", F.when(F.col("o_orderpriority").startswith("1"), 1).otherwise(0).alias("label")
+    )
+    found = curves.bucketed_auc(scored, "o_totalprice", "label", ["status"])
+    return found.select("status", F.round("auc", 9).alias("auc"), F.round("error", 9).alias("error"))
