@@ -67,15 +67,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Spark removes the shuffle files of a query when it ends, not when the driver's memory is next collected.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_to_table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet beside the checkpoints and continue from the table.
 
     Like ``cut_lineage``, but columnar: smaller for long tables, and a reader of
-    few columns reads only those.
+    few columns reads only those. The shuffles behind the table are freed once it
+    is written.
     """
-    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut_to_table`` wrote, after its last reader."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(file) for file in df.inputFiles()}:
+        if os.path.basename(folder).startswith("table-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
