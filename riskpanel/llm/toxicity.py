@@ -18,19 +18,19 @@ has its value in every text, however many there are.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_to_table
+from ..session import cut_to_table, drop_table
 from .common import free_names, separators, text_bytes, with_text, word_hashes
 
-# Counted words (two floats and a key) and bigrams (one float and a key) that are broadcast at most, 41 MB;
+# Counted words (two floats and a key) and bigrams (one float and a key) that are broadcast at most, 59 MB;
 # the sieve of each has up to 2^SIEVE_BITS bits, 8 MB. What is beyond them is joined.
-HELD_WORDS = 1 << 20
+HELD_WORDS = 1 << 21
 HELD_BIGRAMS = 1 << 21
 SIEVE_BITS = 26
 # Labelled rows at most that the two-feature curve is fitted on.
@@ -50,7 +50,11 @@ def _grams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     left = np.concatenate((np.zeros(1, np.uint64), words[:-1])) if len(words) else words
     starts = bounds[:-1][bounds[:-1] < len(words)]
     left[starts] = 0
-    return left, ((left << np.uint64(23)) | (left >> np.uint64(41))) ^ words
+    return left, _grams_of(left, words)
+
+
+def _grams_of(left: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return ((left << np.uint64(23)) | (left >> np.uint64(41))) ^ words
 
 
 def gram_key(left: Column, word: Column) -> Column:
@@ -167,7 +171,8 @@ class Model:
     bigrams: Held
     curve: np.ndarray  # intercept and weights of the score
     word_table: DataFrame | None = None  # (word, left, own)
-    bigram_table: DataFrame | None = None  # (history, word, value)
+    bigram_table: Callable[[DataFrame], DataFrame] | None = None  # (history, word, value) of the wanted (history, word), at least
+    scratch: tuple[DataFrame, ...] = ()  # written tables behind these
 
     @property
     def whole(self) -> bool:
@@ -176,10 +181,15 @@ class Model:
 
     def __getstate__(self) -> dict:
         """What a broadcast carries: all but the tables."""
-        return {**self.__dict__, "word_table": None, "bigram_table": None}
+        return {**self.__dict__, "word_table": None, "bigram_table": None, "scratch": ()}
+
+    def drop(self) -> None:
+        """Delete the tables behind a model whose scores have all been read."""
+        for table in self.scratch:
+            drop_table(table)
 
     def differences(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per text with words: its index, the difference of each word, which are open, left neighbours, words."""
+        """Per text with words: its index, the difference of each word as far as held, which are open, left neighbours, words."""
         start, _, start_open = self.words.find(np.zeros(1, np.uint64))
         for first, words, bounds in word_hashes(texts, True, _SEPARATORS):
             if not len(words):
@@ -216,13 +226,15 @@ class Model:
             total[i] = known.sum()
             tops.append(_highest(known, _few(len(each))))
             n_tops[i] = len(tops[-1])
-            pairs, count = np.unique(np.stack([left[open_], words[open_]]), axis=1, return_counts=True)
-            opens.append((pairs[0], pairs[1], count))
+            gram = _grams_of(left[open_], words[open_])
+            _, at, count = np.unique(gram, return_index=True, return_counts=True)
+            opens.append((left[open_][at], words[open_][at], each[open_][at].astype(np.float32), count))
             n_open[i] = len(count)
         value = np.concatenate([np.zeros(0), *tops])
-        history, word, count = (np.concatenate([np.zeros(0, t), *(x[k] for x in opens)]) for k, t in enumerate((np.uint64, np.uint64, np.int64)))
+        kinds = (np.uint64, np.uint64, np.float32, np.int64)
+        history, word, apart, count = (np.concatenate([np.zeros(0, t), *(x[k] for x in opens)]) for k, t in enumerate(kinds))
         top = pa.StructArray.from_arrays([pa.array(value), pa.array(np.ones(len(value), np.int64))], ["value", "n"])
-        rest = pa.StructArray.from_arrays([pa.array(history.view(np.int64)), pa.array(word.view(np.int64)), pa.array(count)], ["history", "word", "n"])
+        rest = pa.StructArray.from_arrays([pa.array(history.view(np.int64)), pa.array(word.view(np.int64)), pa.array(apart), pa.array(count.astype(np.int32))], ["history", "word", "apart", "n"])
         lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))).astype(np.int32)), x) for k, x in ((n_tops, top), (n_open, rest))]
         return [pa.array(n), pa.array(total), *lists]
 
@@ -247,9 +259,12 @@ def counts_of(counts: DataFrame, *halves: int) -> DataFrame:
     return counts.select("history", "word", *both).where("toxic + ordinary > 0")
 
 
-def derive(counts: DataFrame) -> Model:
+def derive(counts: DataFrame, few_texts: bool = False) -> Model:
     """Both models of counted bigrams (history, word, toxic, ordinary), which are read several times.
 
+    With ``few_texts`` no bigram is held and the values are not written: the
+    texts' own bigrams pick theirs from the counted ones.
+
     The larger class enters with the counts expected from a thinning to the
     smaller one's size, so that neither class is favoured for having seen more.
     """
@@ -313,19 +328,26 @@ def derive(counts: DataFrame) -> Model:
         (F.log("toxic_share") - F.log("ordinary_share")).cast("float").alias("own"),
     )
     # A counted bigram: the class's discounted share, and the rest by the shared model relative to the word's share.
-    joined = counts.join(every.select("word", *[f"{c}_share" for c in models]), "word").join(
-        every.select(F.col("word").alias("history"), *[f"{c}_{x}" for c in models for x in ("left", "one")]), "history"
-    )
-    joined = joined.select("*", *classes).withColumns(together)
     base = kept_pair("shared") * F.col("shared_one") / F.col("shared_share") + F.col("shared_left")
     by_class = [kept_pair(c) * F.col(f"{c}_one") + F.col(f"{c}_left") * base * F.col(f"{c}_share") for c in n]
     value = (F.log(by_class[0]) - F.log(by_class[1])).cast("float").alias("value")
-    pairs = cut_to_table(joined.select("history", "word", (F.col("toxic") + F.col("ordinary")).alias("weight"), value))
-    return Model(
-        Held.fetch(held_words, F.col("word"), HELD_WORDS, "left", "own"),
-        Held.fetch(pairs, gram_key(F.col("history"), F.col("word")), HELD_BIGRAMS, "value"),
-        np.array([0.0, 1.0, 0.0]), held_words.drop("weight"), pairs.drop("weight"),
-    )
+    by_word = every.select("word", *[f"{c}_share" for c in models])
+    by_history = every.select(F.col("word").alias("history"), *[f"{c}_{x}" for c in models for x in ("left", "one")])
+
+    def valued(rows: DataFrame) -> DataFrame:
+        joined = rows.join(by_word, "word").join(by_history, "history").select("*", *classes).withColumns(together)
+        return joined.select("history", "word", (F.col("toxic") + F.col("ordinary")).alias("weight"), value)
+
+    key = gram_key(F.col("history"), F.col("word"))
+    of_words = Held.fetch(held_words, F.col("word"), HELD_WORDS, "left", "own")
+    curve = np.array([0.0, 1.0, 0.0])
+    if few_texts:
+        counted = counts.select("history", "word", (F.col("toxic") + F.col("ordinary")).alias("weight"), F.lit(0.0).cast("float").alias("value"))
+        pick = lambda wanted: valued(counts.join(wanted, ["history", "word"], "left_semi")).drop("weight")
+        return Model(of_words, Held.fetch(counted, key, 0, "value"), curve, held_words.drop("weight"), pick, (every,))
+    pairs = cut_to_table(valued(counts))
+    of_pairs = Held.fetch(pairs, key, HELD_BIGRAMS, "value")
+    return Model(of_words, of_pairs, curve, held_words.drop("weight"), lambda wanted: pairs.drop("weight"), (every, pairs))
 
 
 def fit_curve(whole: np.ndarray, sharp: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -355,8 +377,8 @@ def fold_of(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3).cast("int")
 
 
-def _evidence(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """Rows (columns..., whole, sharp), one per row of ``docs``."""
+def _evidence(docs: DataFrame, model: Model, columns: list[str], scratch: list[DataFrame]) -> DataFrame:
+    """Rows (columns..., whole, sharp), one per row of ``docs``; a table written for them is added to ``scratch``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = len(columns)
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
@@ -374,24 +396,30 @@ def _evidence(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
             parts = shared.value.parts(text_bytes(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *parts], names=[*columns, "n_", "total_", "top_", "open_"])
 
-    parts = "n_ bigint, total_ double, top_ array<struct<value: double, n: bigint>>, open_ array<struct<history: bigint, word: bigint, n: bigint>>"
+    parts = "n_ bigint, total_ double, top_ array<struct<value: double, n: bigint>>, open_ array<struct<history: bigint, word: bigint, apart: float, n: int>>"
     rows = with_text(docs, *columns).mapInArrow(split, ", ".join([*fields, parts]))
     rows = cut_to_table(rows.withColumn("row_", F.monotonically_increasing_id()))
+    scratch.append(rows)
     return _joined(rows, model).select(*columns, "whole", "sharp")
 
 
 def _joined(rows: DataFrame, model: Model) -> DataFrame:
     """Settle the open bigrams of the rows by joins with the counted tables."""
     open_ = rows.select("row_", F.explode("open_").alias("open")).select("row_", "open.*")
-    left = model.word_table.select(F.col("word").alias("history"), "left")
-    own = model.word_table.select("word", "own")
-    # Each distinct bigram once, however many texts hold it.
-    known = open_.select("history", "word").distinct().join(model.bigram_table, ["history", "word"], "left")
-    known = known.join(left, "history", "left").join(own, "word", "left")
-    zero = F.lit(0.0)
-    apart = F.coalesce(F.col("left").cast("double"), zero) + F.coalesce(F.col("own").cast("double"), zero)
-    known = known.select("history", "word", F.coalesce(F.col("value").cast("double"), apart).alias("value"))
-    found = open_.join(known, ["history", "word"]).groupBy("row_").agg(F.collect_list(F.struct("value", "n")).alias("found_"))
+    wanted = open_.select("history", "word").distinct()
+    known = open_.join(model.bigram_table(wanted), ["history", "word"], "left")
+    apart = F.col("apart").cast("double")
+    if model.words.sieve is not None:
+        # Words that are not held: their part of an uncounted bigram comes from the table, once for each distinct one.
+        left = model.word_table.select(F.col("word").alias("history"), "left")
+        own = model.word_table.select("word", "own")
+        zero = F.lit(0.0)
+        both = F.coalesce(F.col("left").cast("double"), zero) + F.coalesce(F.col("own").cast("double"), zero)
+        words = wanted.join(left, "history", "left").join(own, "word", "left").select("history", "word", both.alias("parts"))
+        known, apart = known.join(words, ["history", "word"]), F.col("parts")
+    value = F.coalesce(F.col("value").cast("double"), apart).alias("value")
+    found = known.select("row_", value, F.col("n").cast("bigint").alias("n"))
+    found = found.groupBy("row_").agg(F.collect_list(F.struct("value", "n")).alias("found_"))
     few = F.least(F.col("n_"), F.greatest(F.lit(SHARP_LEAST), F.ceil(F.lit(SHARP_SHARE) * F.col("n_"))))
     none = F.from_json(F.lit("[]"), "array<struct<value: double, n: bigint>>")
     both = rows.drop("open_").join(found, "row_", "left").withColumn("found_", F.coalesce("found_", none)).withColumn("few_", few)
@@ -425,9 +453,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 1) -> Model
     found = []
     for counted, scored in ((0, 1), (1, 0)):
         rest = labelled.where(F.col("half") == scored).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS // 2)
-        found.append(_evidence(rest, derive(counts_of(counts, counted)), ["toxic"]).toPandas())
+        across = derive(counts_of(counts, counted), few_texts=True)
+        scratch: list[DataFrame] = []
+        found.append(_evidence(rest, across, ["toxic"], scratch).toPandas())
+        for table in (*across.scratch, *scratch):
+            drop_table(table)
     whole, sharp, toxic = (np.concatenate([rows[c].to_numpy(float) for rows in found]) for c in ("whole", "sharp", "toxic"))
     model = derive(counts_of(counts, 0, 1))
+    drop_table(counts)
     model.curve = fit_curve(whole, sharp, toxic)
     return model
 
@@ -439,7 +472,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, held_o
     evidence and gets the curve's base score. Repeated rows are each returned;
     a row without id is scored too.
     """
-    scored = _evidence(docs, model, ["doc_id"]).withColumn("score", model.score_column())
+    scored = _evidence(docs, model, ["doc_id"], []).withColumn("score", model.score_column())
     return scored.select(
         "doc_id", (fold_of(F.col("doc_id")) == held_out).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), "whole", "sharp",
@@ -452,8 +485,13 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
         # A score depends on the text alone.
         text = F.coalesce(F.col("text"), F.lit(""))
         keys = dict(zip(free_names(docs, "key_", "check_"), (F.xxhash64(text), F.xxhash64(F.lit(1), text))))
-        scored = _evidence(docs.withColumns(keys), model, list(keys)).where(model.score_column() >= threshold)
-        kept = docs.withColumns(keys).join(scored.select(*keys).distinct(), list(keys), "left_anti")
+        scratch: list[DataFrame] = []
+        scored = _evidence(docs.withColumns(keys), model, list(keys), scratch).where(model.score_column() >= threshold)
+        # Written first, so that what the scores took is freed before the documents move.
+        toxic = cut_to_table(scored.select(*keys).distinct())
+        for table in scratch:
+            drop_table(table)
+        kept = docs.withColumns(keys).join(toxic, list(keys), "left_anti")
         return kept.select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
