@@ -29,7 +29,10 @@ SEQUENCE_TOKENS = 2048
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity score reaches the threshold; the models learn from these documents' labels."""
-    return drop_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), TOXIC_FROM)
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    kept = drop_toxic(docs, model, TOXIC_FROM)
+    model.drop()
+    return kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
