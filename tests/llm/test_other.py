@@ -147,6 +147,38 @@ def test_trees_prune_and_edges(spark):
     assert topk.exact_top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_queries_meet_few_cells_of_clustered_vectors(monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(16, 8)) * 100
+    points = np.floor(np.repeat(centres, 100, axis=0) + rng.normal(size=(1600, 8)))
+    order = rng.permutation(1600)
+    cells = topk.Cells([(int(i), points[i]) for i in order[:800]], 64, 5)
+    cell, away = cells.nearest(pa.array(points.tolist()))
+    cells.measure({int(c): (float(away[cell == c].max()), 2) for c in np.unique(cell)})
+    ids, asked = pa.array(range(0, 1600, 16)), points[::16]
+    row, block = map(np.concatenate, zip(*cells.met(ids, pa.array(asked.tolist()))))
+    met = set(zip(row.tolist(), (block >> 32).tolist()))
+    assert len(row) == 2 * len(met) and len(met) < len(asked) * len(np.unique(cell)) / 3
+    scores = asked @ points.T
+    scores[np.arange(100), np.arange(0, 1600, 16)] = -np.inf
+    for q in range(100):
+        least = np.sort(scores[q])[-5]
+        assert all((q, int(cell[c])) in met for c in np.flatnonzero(scores[q] >= least))
+
+
+def test_top_k_of_mixed_lengths_and_extra_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SAMPLE", 3)
+    monkeypatch.setattr(topk, "BLOCK_VECTORS", 4)
+    rows = [(i, [float(i % 7 - 3)] * (1 + i % 4), i, 1, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, cell long, block long, held string")
+    asked = df.where("id % 10 = 0")
+    want = []
+    for q, v, *_ in rows[::10]:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w, *_ in rows if c != q and len(w) == len(v))[:5]
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert sorted(map(tuple, topk.exact_top_k(df, asked.union(asked), 5).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("compress", [False, True])
 @pytest.mark.parametrize("least", [0, 20])
 def test_archive_round_trip(spark, compress, least):
