@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_to_table, drop_table
+from ..session import cut_to_table, drop_table, freeing_shuffles
 from .common import free_names, separators, text_bytes, with_text, word_hashes
 
 # Counted words (two floats and a key) and bigrams (one float and a key) that are broadcast at most, 59 MB;
@@ -37,12 +37,16 @@ SIEVE_BITS = 26
 CURVE_ROWS = 20_000
 # Label rows up to this many are broadcast; more are joined by shuffle.
 MAX_BROADCAST_LABELS = 2_000_000
-# The words that ssharp most for toxicity: this share of a text, and no fewer than so many.
+# The words that say most for toxicity: this share of a text, and no fewer than so many.
 SHARP_SHARE = 0.015
 SHARP_LEAST = 2
 # Words without evidence that every text is taken to have besides its own.
 PRIOR_WORDS = 8
 _SEPARATORS = separators(only_alphanumeric=True)
+MODELS = ("toxic", "ordinary", "shared")
+# What is known of a word: its share in each model, and as a left neighbour what it leaves over and one over its count.
+WORD_STATS = [f"{c}_share" for c in MODELS]
+LEFT_STATS = [f"{c}_{x}" for c in MODELS for x in ("left", "one")]
 
 
 def _grams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,8 +175,9 @@ class Model:
     bigrams: Held
     curve: np.ndarray  # intercept and weights of the score
     word_table: DataFrame | None = None  # (word, left, own)
-    bigram_table: Callable[[DataFrame], DataFrame] | None = None  # (history, word, value) of the wanted (history, word), at least
+    bigram_table: Callable[[DataFrame], DataFrame] | None = None  # (*keys, value) of the wanted keys, at least
     scratch: tuple[DataFrame, ...] = ()  # written tables behind these
+    keys: tuple[str, ...] = ("history", "word")  # what the bigram table is joined by, or ("gram",)
 
     @property
     def whole(self) -> bool:
@@ -228,13 +233,15 @@ class Model:
             n_tops[i] = len(tops[-1])
             gram = _grams_of(left[open_], words[open_])
             _, at, count = np.unique(gram, return_index=True, return_counts=True)
-            opens.append((left[open_][at], words[open_][at], each[open_][at].astype(np.float32), count))
+            key = (gram[at],) if self.keys == ("gram",) else (left[open_][at], words[open_][at])
+            opens.append((*key, each[open_][at].astype(np.float32), count.astype(np.int32)))
             n_open[i] = len(count)
         value = np.concatenate([np.zeros(0), *tops])
-        kinds = (np.uint64, np.uint64, np.float32, np.int64)
-        history, word, apart, count = (np.concatenate([np.zeros(0, t), *(x[k] for x in opens)]) for k, t in enumerate(kinds))
+        kinds = (*[np.uint64] * len(self.keys), np.float32, np.int32)
+        fields = [np.concatenate([np.zeros(0, t), *(x[k] for x in opens)]) for k, t in enumerate(kinds)]
+        fields = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in fields]
         top = pa.StructArray.from_arrays([pa.array(value), pa.array(np.ones(len(value), np.int64))], ["value", "n"])
-        rest = pa.StructArray.from_arrays([pa.array(history.view(np.int64)), pa.array(word.view(np.int64)), pa.array(apart), pa.array(count.astype(np.int32))], ["history", "word", "apart", "n"])
+        rest = pa.StructArray.from_arrays(fields, [*self.keys, "apart", "n"])
         lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))).astype(np.int32)), x) for k, x in ((n_tops, top), (n_open, rest))]
         return [pa.array(n), pa.array(total), *lists]
 
@@ -274,12 +281,17 @@ def derive(counts: DataFrame, few_texts: bool = False) -> Model:
     share = {c: min(n.values()) / n[c] if n[c] else 1.0 for c in n}
     discount = _discount(counts, small)
     classes = [x for c in n for x in _thinned(c, share[c], c)]
-    thinned = counts.select("history", "word", *classes)
+    # The shared model counts both thinned classes together.
+    together = {
+        "shared_n": F.col("toxic_n") + F.col("ordinary_n"),
+        "shared_seen": 1.0 - (1.0 - F.col("toxic_seen")) * (1.0 - F.col("ordinary_seen")),
+    }
+    thinned = counts.select("history", "word", *classes).withColumns(together)
     per_word = [x for c in n for x in (
         F.sum(f"{c}_seen").alias(f"{c}_k"),
         (1.0 - F.exp(F.sum(F.log(F.greatest(1.0 - F.col(f"{c}_seen"), F.lit(1e-12)))))).alias(f"{c}_any"),
     )]
-    words = thinned.groupBy("word").agg(*per_word)
+    words = cut_to_table(thinned.groupBy("word").agg(*per_word, F.sum("shared_n").alias("weight")))
     kinds = words.agg(F.count("*").alias("types"), *[F.sum(f"{c}_{x}").alias(f"{c}_{x}") for c in n for x in ("k", "any")]).first()
     total = {c: max(kinds[f"{c}_k"] or 0.0, 1.0) for c in n}
     word_discount = _discount(words.select(F.round(f"{small}_k").alias("k")), "k")
@@ -298,56 +310,94 @@ def derive(counts: DataFrame, few_texts: bool = False) -> Model:
         share_left = F.lit(discount) * F.col(f"{c}_types") / F.col(f"{c}_all")
         return F.when(F.col(f"{c}_all") > 0, F.least(share_left, F.lit(1.0))).otherwise(1.0)
 
-    def kept_pair(c: str) -> Column:
-        return F.greatest(F.col(f"{c}_n") - discount * F.col(f"{c}_seen"), F.lit(0.0))
-
-    # The shared model counts both thinned classes together.
-    together = {
-        "shared_n": F.col("toxic_n") + F.col("ordinary_n"),
-        "shared_seen": 1.0 - (1.0 - F.col("toxic_seen")) * (1.0 - F.col("ordinary_seen")),
-    }
-    thinned = thinned.withColumns(together)
-    models = ("toxic", "ordinary", "shared")
-    sums = [x for c in models for x in (F.sum(f"{c}_n").alias(f"{c}_all"), F.sum(f"{c}_seen").alias(f"{c}_types"))]
+    sums = [x for c in MODELS for x in (F.sum(f"{c}_n").alias(f"{c}_all"), F.sum(f"{c}_seen").alias(f"{c}_types"))]
     histories = thinned.groupBy("history").agg(*sums)
-    stats = [left_over(c).alias(f"{c}_left") for c in models] + [
-        (1.0 / F.greatest(F.col(f"{c}_all"), F.lit(1e-6))).alias(f"{c}_one") for c in models
+    stats = [left_over(c).alias(f"{c}_left") for c in MODELS] + [
+        (1.0 / F.greatest(F.col(f"{c}_all"), F.lit(1e-6))).alias(f"{c}_one") for c in MODELS
     ]
     shares = [class_word("toxic").alias("toxic_share"), class_word("ordinary").alias("ordinary_share")]
     shares.append((F.coalesce(shared, F.lit(0.0)) + F.lit(unseen)).alias("shared_share"))
-    weights = thinned.groupBy("word").agg(F.sum("shared_n").alias("weight"))
     left = histories.select(F.col("history").alias("word"), *stats)
     # As a start of text, history 0 is in every text and held first.
     weight = F.when(F.col("word") == 0, 1e18).otherwise(F.floor(F.coalesce(F.col("weight"), F.lit(0.0))))
-    every = cut_to_table(
-        words.join(weights, "word").join(left, "word", "full")
-        .select("word", weight.alias("weight"), *shares, *[F.coalesce(f"{c}_{x}", F.lit(1.0)).alias(f"{c}_{x}") for x in ("left", "one") for c in models])
-    )
+    shared_by_words = words.join(left, "word", "full").select(
+        "word", weight.alias("weight"), *shares, *[F.coalesce(f"{c}_{x}", F.lit(1.0)).alias(f"{c}_{x}") for c in MODELS for x in ("left", "one")]
+    )
+    every = cut_to_table(shared_by_words.select("word", "weight", *[F.col(c).cast("float").alias(c) for c in WORD_STATS + LEFT_STATS]))
+    drop_table(words)
     held_words = every.select(
         "word", "weight", (F.log("toxic_left") - F.log("ordinary_left")).cast("float").alias("left"),
         (F.log("toxic_share") - F.log("ordinary_share")).cast("float").alias("own"),
     )
-    # A counted bigram: the class's discounted share, and the rest by the shared model relative to the word's share.
-    base = kept_pair("shared") * F.col("shared_one") / F.col("shared_share") + F.col("shared_left")
-    by_class = [kept_pair(c) * F.col(f"{c}_one") + F.col(f"{c}_left") * base * F.col(f"{c}_share") for c in n]
-    value = (F.log(by_class[0]) - F.log(by_class[1])).cast("float").alias("value")
-    by_word = every.select("word", *[f"{c}_share" for c in models])
-    by_history = every.select(F.col("word").alias("history"), *[f"{c}_{x}" for c in models for x in ("left", "one")])
-
-    def valued(rows: DataFrame) -> DataFrame:
-        joined = rows.join(by_word, "word").join(by_history, "history").select("*", *classes).withColumns(together)
-        return joined.select("history", "word", (F.col("toxic") + F.col("ordinary")).alias("weight"), value)
-
-    key = gram_key(F.col("history"), F.col("word"))
     of_words = Held.fetch(held_words, F.col("word"), HELD_WORDS, "left", "own")
+    all_words = None
+    if of_words.sieve is None:
+        got = every.select("word", *WORD_STATS, *LEFT_STATS).toArrow()
+        keys = got.column("word").to_numpy()
+        order = np.argsort(keys)
+        all_words = keys[order], np.stack([got.column(c).to_numpy()[order] for c in WORD_STATS + LEFT_STATS])
+    valued = _valuation(every, all_words, share, discount)
     curve = np.array([0.0, 1.0, 0.0])
+    key = gram_key(F.col("history"), F.col("word"))
     if few_texts:
         counted = counts.select("history", "word", (F.col("toxic") + F.col("ordinary")).alias("weight"), F.lit(0.0).cast("float").alias("value"))
         pick = lambda wanted: valued(counts.join(wanted, ["history", "word"], "left_semi")).drop("weight")
         return Model(of_words, Held.fetch(counted, key, 0, "value"), curve, held_words.drop("weight"), pick, (every,))
-    pairs = cut_to_table(valued(counts))
+    # Where all words are held, a bigram's key is enough to join by.
+    joined_by = ("gram",) if all_words is not None else ("history", "word")
+    pairs = valued(counts)
+    if joined_by == ("gram",):
+        pairs, key = pairs.select(key.alias("gram"), "weight", "value"), F.col("gram")
+    pairs = cut_to_table(pairs)
     of_pairs = Held.fetch(pairs, key, HELD_BIGRAMS, "value")
-    return Model(of_words, of_pairs, curve, held_words.drop("weight"), lambda wanted: pairs.drop("weight"), (every, pairs))
+    return Model(of_words, of_pairs, curve, held_words.drop("weight"), lambda wanted: pairs.drop("weight"), (every, pairs), joined_by)
+
+
+def pair_values(toxic: np.ndarray, ordinary: np.ndarray, stats: np.ndarray, share: dict[str, float], discount: float) -> np.ndarray:
+    """Differences of counted bigrams: each class's discounted share, and the rest by the shared model relative to the word's share.
+
+    The rows of ``stats`` are those of the word, then those of the history.
+    """
+    of = dict(zip(WORD_STATS + LEFT_STATS, stats.astype(np.float64)))
+    n = {"toxic": toxic * share["toxic"], "ordinary": ordinary * share["ordinary"]}
+    seen = {c: 1.0 - (1.0 - share[c]) ** count if share[c] < 1 else (count > 0).astype(float) for c, count in (("toxic", toxic), ("ordinary", ordinary))}
+    n["shared"] = n["toxic"] + n["ordinary"]
+    seen["shared"] = 1.0 - (1.0 - seen["toxic"]) * (1.0 - seen["ordinary"])
+    kept = {c: np.maximum(n[c] - discount * seen[c], 0.0) * of[f"{c}_one"] for c in MODELS}
+    base = kept["shared"] / of["shared_share"] + of["shared_left"]
+    both = [kept[c] + of[f"{c}_left"] * base * of[f"{c}_share"] for c in ("toxic", "ordinary")]
+    return (np.log(both[0]) - np.log(both[1])).astype(np.float32)
+
+
+def _valuation(every: DataFrame, all_words: tuple[np.ndarray, np.ndarray] | None, share: dict[str, float], discount: float) -> Callable[[DataFrame], DataFrame]:
+    """Rows (history, word, toxic, ordinary) to (history, word, weight, value).
+
+    With all words at hand, at most HELD_WORDS, a bigram's words are looked up
+    in its task; else they are joined.
+    """
+    shared = every.sparkSession.sparkContext.broadcast(all_words) if all_words is not None else None
+    n_word = len(WORD_STATS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            history, word, toxic, ordinary, *stats = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if shared is not None:
+                keys, values = shared.value
+                stats = [*values[:n_word, np.searchsorted(keys, word)], *values[n_word:, np.searchsorted(keys, history)]]
+            value = pair_values(toxic, ordinary, np.stack(stats), share, discount)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(toxic + ordinary), pa.array(value)], names=["history", "word", "weight", "value"])
+
+    def valued(rows: DataFrame) -> DataFrame:
+        columns = [F.col(c).cast("bigint").alias(c) for c in ("history", "word", "toxic", "ordinary")]
+        if shared is None:
+            left = every.select(F.col("word").alias("history"), *LEFT_STATS)
+            rows = rows.join(every.select("word", *WORD_STATS), "word").join(left, "history")
+            columns += WORD_STATS + LEFT_STATS
+        return rows.select(*columns).mapInArrow(run, "history bigint, word bigint, weight bigint, value float")
+
+    return valued
 
 
 def fit_curve(whole: np.ndarray, sharp: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -396,7 +446,8 @@ def _evidence(docs: DataFrame, model: Model, columns: list[str], scratch: list[D
             parts = shared.value.parts(text_bytes(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *parts], names=[*columns, "n_", "total_", "top_", "open_"])
 
-    parts = "n_ bigint, total_ double, top_ array<struct<value: double, n: bigint>>, open_ array<struct<history: bigint, word: bigint, apart: float, n: int>>"
+    keys = "".join(f"{c}: bigint, " for c in model.keys)
+    parts = f"n_ bigint, total_ double, top_ array<struct<value: double, n: bigint>>, open_ array<struct<{keys}apart: float, n: int>>"
     rows = with_text(docs, *columns).mapInArrow(split, ", ".join([*fields, parts]))
     rows = cut_to_table(rows.withColumn("row_", F.monotonically_increasing_id()))
     scratch.append(rows)
@@ -406,8 +457,9 @@ def _evidence(docs: DataFrame, model: Model, columns: list[str], scratch: list[D
 def _joined(rows: DataFrame, model: Model) -> DataFrame:
     """Settle the open bigrams of the rows by joins with the counted tables."""
     open_ = rows.select("row_", F.explode("open_").alias("open")).select("row_", "open.*")
-    wanted = open_.select("history", "word").distinct()
-    known = open_.join(model.bigram_table(wanted), ["history", "word"], "left")
+    keys = list(model.keys)
+    wanted = open_.select(*keys).distinct()
+    known = open_.join(model.bigram_table(wanted), keys, "left")
     apart = F.col("apart").cast("double")
     if model.words.sieve is not None:
         # Words that are not held: their part of an uncounted bigram comes from the table, once for each distinct one.
@@ -446,23 +498,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 1) -> Model
     Without labelled documents in a fold, or without both classes, scores follow
     what is there: an empty count model gives every text the same evidence.
     """
-    folds = [k for k in range(3) if k != held_out]
-    labelled = with_labels(docs, labels).withColumn("fold", fold_of(F.col("doc_id"))).where(F.col("fold") != held_out)
-    labelled = labelled.withColumn("half", (F.col("fold") == folds[1]).cast("int"))
-    counts = cut_to_table(count_bigrams(labelled.select("text", "toxic", "half")))
-    found = []
-    for counted, scored in ((0, 1), (1, 0)):
-        rest = labelled.where(F.col("half") == scored).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS // 2)
-        across = derive(counts_of(counts, counted), few_texts=True)
-        scratch: list[DataFrame] = []
-        found.append(_evidence(rest, across, ["toxic"], scratch).toPandas())
-        for table in (*across.scratch, *scratch):
-            drop_table(table)
-    whole, sharp, toxic = (np.concatenate([rows[c].to_numpy(float) for rows in found]) for c in ("whole", "sharp", "toxic"))
-    model = derive(counts_of(counts, 0, 1))
-    drop_table(counts)
-    model.curve = fit_curve(whole, sharp, toxic)
-    return model
+    with freeing_shuffles(docs.sparkSession):
+        folds = [k for k in range(3) if k != held_out]
+        labelled = with_labels(docs, labels).withColumn("fold", fold_of(F.col("doc_id"))).where(F.col("fold") != held_out)
+        labelled = labelled.withColumn("half", (F.col("fold") == folds[1]).cast("int"))
+        counts = cut_to_table(count_bigrams(labelled.select("text", "toxic", "half")))
+        found = []
+        for counted, scored in ((0, 1), (1, 0)):
+            rest = labelled.where(F.col("half") == scored).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS // 2)
+            across = derive(counts_of(counts, counted), few_texts=True)
+            scratch: list[DataFrame] = []
+            found.append(_evidence(rest, across, ["toxic"], scratch).toPandas())
+            for table in (*across.scratch, *scratch):
+                drop_table(table)
+        whole, sharp, toxic = (np.concatenate([rows[c].to_numpy(float) for rows in found]) for c in ("whole", "sharp", "toxic"))
+        model = derive(counts_of(counts, 0, 1))
+        drop_table(counts)
+        model.curve = fit_curve(whole, sharp, toxic)
+        return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, held_out: int = 1) -> DataFrame:
