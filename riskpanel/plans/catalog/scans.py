@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ...sources import readers, sinks
+from ...sources import json_documents, readers, sinks
 from .base import Tables, query, scratch_folder
 
 
@@ -112,6 +115,29 @@ def json_records_scan(t: Tables):
     return readers.filtered_scan(table, F.col("tax_year") > 2000)
 
 
+def _as_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """JSON texts as the parts of one document, with a further list before theirs."""
+    before = '{"result": {"fields": [{"id": "pin"}, [{}]], "records": ['
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([f"{before if before else ', '}{text}" if k == 0 else f", {text}" for k, text in enumerate(texts)])], names=["value"])
+        before = "" if texts else before
+    yield pa.RecordBatch.from_arrays([pa.array([f"{before}], \"total\": 0}}}}"])], names=["value"])
+
+
+@query(
+    "json_document_scan",
+    """SELECT doc_id, '{"' || text || '}\\' AS text, lang FROM documents""",
+)
+def json_document_scan(t: Tables):
+    """A document in one line per task, texts full of brackets, quotes and escapes; read by a task per block."""
+    value = F.to_json(F.struct("doc_id", F.struct(F.concat(F.lit('{"'), "text", F.lit("}\\")).alias("text")).alias("body"), "lang"))
+    folder = scratch_folder(t.spark, "document-json")
+    t.documents.select(value.alias("value")).mapInArrow(_as_documents, "value string").write.option("lineSep", " ").text(folder)
+    records = json_documents.read_json_document(t.spark, folder, T.StructType.fromDDL("doc_id bigint, body struct<text: string>, lang string"))
+    return readers.table_from_spec(records, {"doc_id": "doc_id", "text": "body.text", "lang": "lang"})
+
+
 @query(
     "landed_table_scan",
     """SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')""",

@@ -82,7 +82,7 @@ def headers(spark: SparkSession, path: str | Sequence[str], encoding: str, sep:
     return [(list(header), found) for header, found in groups.items() if header] or [([], paths)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch]]:
+def line_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch]]:
     """Runs of lines of one block within a batch: file, block start, rows."""
     for batch in batches:
         if not batch.num_rows:
@@ -101,7 +101,7 @@ def _parities(lines: pa.Array) -> np.ndarray:
 
 def _quote_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per run of lines of a block: quotes modulo 2, and whether some line ends after an even or an odd number."""
-    for file, block, part in _blocks(batches):
+    for file, block, part in line_blocks(batches):
         parity = _parities(part.column(2))
         row = [file, block, int(parity[-1]), bool((parity == 0).any()), bool((parity == 1).any())]
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["file", "block", "parity", "even", "odd"])
@@ -118,7 +118,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: tuple | None = None
     open_: list[str] = []
-    for file, block, part in _blocks(batches):
+    for file, block, part in line_blocks(batches):
         out = []
         if held is None or held[:2] != (file, block):
             if held is not None and open_:
