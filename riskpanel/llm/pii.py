@@ -1,8 +1,9 @@
 """Personal data in texts, with disguises undone and spans mapped back to the source.
 
 Base spans come from four patterns on the text as it is. For disguises a chain
-of transducers rewrites the text: look-alike characters one for one, then
-spelled digits and written-out "at" and "dot". Every rewritten piece remembers
+of transducers rewrites the text: invisible characters go and numbered entities
+become characters, look-alike characters change one for one, then spelled digits
+and written-out "at" and "dot". Every rewritten piece remembers
 the source span it stands for, so what the patterns find in the rewritten text
 maps back to source characters. Plain prose is left alone: a lone "at" or "dot"
 is rewritten only inside an address, and digits only in a row of spelled ones.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -41,8 +43,18 @@ LOOKALIKES = (
 _CHARACTERS = {ord(pair[0]): pair[1] for pair in LOOKALIKES.split()}
 _CHARACTERS |= {0xFF00 + k: chr(0x20 + k) for k in range(1, 0x5F)}  # full-width forms
 _CHARACTERS |= {start + k: str(k) for start in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for k in range(10)}
+# Compatibility letters and digits (circled, letter-like, mathematical) that stand for a single ASCII one.
+for _code in (*range(0x2100, 0x2150), *range(0x24B6, 0x24EA), *range(0x1D400, 0x1D800)):
+    _plain = unicodedata.normalize("NFKC", chr(_code))
+    if len(_plain) == 1 and _plain.isascii() and _plain.isalnum():
+        _CHARACTERS.setdefault(_code, _plain)
 _LOOKALIKE = re.compile("[" + "".join(map(re.escape, map(chr, _CHARACTERS))) + "]")
 
+# Soft hyphen, combining marks, zero-width characters, direction and joining marks; and entities of signs.
+_INVISIBLE = "[\u00ad\u0300-\u036f\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+"
+ENTITIES = {"commat": "@", "period": ".", "plus": "+", "hyphen": "-", "lowbar": "_", "percnt": "%", "nbsp": " "}
+_HIDDEN = re.compile(rf"{_INVISIBLE}|&#(?:([0-9]{{1,7}})|[xX]([0-9A-Fa-f]{{1,6}}));|&({'|'.join(ENTITIES)});")
+
 DIGITS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
@@ -50,8 +62,9 @@ _DIGIT = "zero|one|two|three|four|five|six|seven|eight|nine|oh|o"
 _SEPARATOR = r"[\s,-]{1,3}"
 _FIRST = "zero|one|two|three|four|five|six|seven|eight|nine"
 _NEXT = rf"(?:{_SEPARATOR}|\s(?:dot|point|dash|hyphen)\s)(?:{_DIGIT}|[0-9]+)\b"
-# Rows of at least three spelled digits, with what may stand between them; the hint is a part of every such row.
-_SPELLED = re.compile(rf"\b(?:plus{_SEPARATOR})?(?:{_FIRST})(?:{_NEXT}){{2,}}", re.IGNORECASE)
+# Rows of at least three spelled digits, with what may stand between them and up to six groups of written ones before;
+# the hint is a part of every such row.
+_SPELLED = re.compile(rf"\b(?:plus{_SEPARATOR})?(?:[0-9]{{1,8}}{_SEPARATOR}){{0,6}}(?:{_FIRST})(?:{_NEXT}){{2,}}", re.IGNORECASE)
 _SPELLED_HINT = re.compile(rf"\b(?:{_FIRST}){_NEXT}", re.IGNORECASE)
 _UNIT = re.compile(rf"\b(?:plus|dot|point|dash|hyphen|{_DIGIT})\b|[0-9]+", re.IGNORECASE)
 _OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
@@ -155,6 +168,16 @@ class Rewritten:
         return not all(self.plain[first : last + 1])
 
 
+def hidden_edits(text: str) -> list[tuple[int, int, str]]:
+    """Invisible characters removed, and entities of printable ASCII characters as those."""
+    edits = []
+    for m in _HIDDEN.finditer(text):
+        code = int(m[1]) if m[1] else int(m[2], 16) if m[2] else None
+        if code is None or 0x20 <= code < 0x7F:
+            edits.append((*m.span(), ENTITIES[m[3]] if m[3] else "" if code is None else chr(code)))
+    return edits
+
+
 def spelled_edits(text: str) -> list[tuple[int, int, str]]:
     """Rows of spelled digits as digits: separators go, dots and dashes stay, a digit keeps its word's span."""
     edits = []
@@ -204,23 +227,29 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
 
 def disguised(text: str) -> list[tuple[str, int, int]]:
     """Spans found only after undoing disguises, in source characters."""
-    plain = text
-    if not text.isascii() and _LOOKALIKE.search(text):
-        plain = text.translate(_CHARACTERS)  # one for one: offsets stay
-    edits = spelled_edits(plain) if _SPELLED_HINT.search(plain) else []
-    spelled = Rewritten(plain, edits) if edits else None
-    current = spelled.text if spelled else plain
-    signs = sign_edits(current) if spelled or _ANCHOR.search(plain) else []
-    signed = Rewritten(current, signs) if signs else None
-    if plain is text and not spelled and not signed:
+    current, layers = text, []
+    odd = not text.isascii()
+
+    def rewrite(edits: list[tuple[int, int, str]]) -> None:
+        nonlocal current
+        if edits:
+            layers.append(Rewritten(current, edits))
+            current = layers[-1].text
+
+    if odd or "&" in text:
+        rewrite(hidden_edits(text))
+    if odd:
+        current = current.translate(_CHARACTERS) if _LOOKALIKE.search(current) else current  # one for one: offsets stay
+    if _SPELLED_HINT.search(current):
+        rewrite(spelled_edits(current))
+    if _ANCHOR.search(current):
+        rewrite(sign_edits(current))
+    if current == text:
         return []
-    final = signed.text if signed else current
     found = []
-    for kind, a, b in find(final):
-        if signed:
-            a, b = signed.span(a, b)
-        if spelled:
-            a, b = spelled.span(a, b)
+    for kind, a, b in find(current):
+        for layer in reversed(layers):
+            a, b = layer.span(a, b)
         found.append((kind, a, b))
     return found
 
@@ -233,11 +262,11 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and base spans with those of disguises that overlap none of their kind."""
+    """Base spans, and base spans with those of disguises that no base span of their kind holds whole."""
     base = find(text)
     added = []
     for kind, a, b in disguised(text):
-        if all(k != kind or b <= s or a >= e for k, s, e in base):
+        if all(k != kind or a < s or b > e for k, s, e in base):
             added.append((kind, a, b))
     return base, in_order(base + added)
 

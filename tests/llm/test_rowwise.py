@@ -199,3 +199,27 @@ def test_spelled_digits_between_dashes_and_in_capitals():
     for text in (row.replace(" ", " dash "), "\u0130 " + row.upper(), "plus " + " hyphen ".join("one two three four five six seven eight nine zero".split())):
         kind = "phone" if text.startswith("plus") else "card"
         assert pii.all_spans(text)[1] == [(kind, 2 * text.startswith("\u0130"), len(text))]
+
+
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("write j\u043ehn@example.com now", "email", "j\u043ehn@example.com"),  # a part of it is a base span
+        ("john\u200b@example.com", "email", "john\u200b@example.com"),
+        ("jo\u00adhn.doe@example.com", "email", "jo\u00adhn.doe@example.com"),
+        ("\U0001d423ohn@example.com", "email", "\U0001d423ohn@example.com"),
+        ("ask john&#64;example&#x2e;com today", "email", "john&#64;example&#x2e;com"),
+        ("card 4111 1111 one one one one 1111 ok", "card", "4111 1111 one one one one 1111"),
+        ("jose\u0301@example.com", "email", "jose\u0301@example.com"),
+    ],
+)
+def test_disguises_that_hide_in_characters(text, kind, found):
+    base, every = pii.all_spans(text)
+    start = text.index(found)
+    assert (kind, start, start + len(found)) in every and set(base) <= set(every)
+    assert pii.masked(text) == text.replace(found, f"<{kind}>")
+
+
+def test_plain_prose_with_hidden_characters_stays():
+    for text in ("caf\u00e9 cafe\u0301 \u200bnothing", "a &#64; b &amp; c", "in 2020 one two three went", "\U0001d423oy"):
+        assert pii.all_spans(text) == ([], []) and pii.masked(text) == text
