@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.dates import count_rejects, parse_date, parse_timestamp, year_end
+from ..functions.dates import parse_timestamp, year_end
 from ..functions.numbers import scaled_key
 from ..functions.text import (
     GEOGRAPHY_PATTERN,
@@ -115,16 +115,36 @@ def clean_properties(
     return rename_position(homes, 0, "PARID").select(*PROPERTY_COLUMNS).distinct(), lookup
 
 
-def clean_inspections(inspections: DataFrame, lookup: DataFrame) -> DataFrame:
+def moments_of(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Rows (source, text, n, moment): every distinct date text of a (table, column) per source, read once, with its number of rows."""
+    counted = [
+        table.where(quoted(column).isNotNull())
+        .groupBy(quoted(column).cast("string").alias("text"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit(name).alias("source"), "text", "n")
+        for name, (table, column) in tables.items()
+    ]
+    return union_all_names(*counted).withColumn("moment", parse_timestamp("text"))
+
+
+def read_moments(df: DataFrame, column: str, name: str, moments: DataFrame | None) -> DataFrame:
+    """Add the moment of a date text as ``name``: looked up in ``moments`` (text, moment) of all its texts, else read per row."""
+    if moments is None:
+        return df.withColumn(name, parse_timestamp(column))
+    known = F.broadcast(moments.select(F.col("text").alias("__text"), F.col("moment").alias(name)))
+    return df.join(known, quoted(column).cast("string") == F.col("__text"), "left").drop("__text")
+
+
+def clean_inspections(inspections: DataFrame, lookup: DataFrame, moments: DataFrame | None = None) -> DataFrame:
     """Distinct inspections of residential parcels with parsed dates; unread dates stay apart in ``distinct``."""
     inspections = inspections.withColumns(
         {"STREET_NAME": strip("STREET_NAME"), "STREET_NUM": strip("STREET_NUM")}
     )
-    found = semi_join(inspections, lookup, {"PARCEL": "PARID"})
+    found = read_moments(semi_join(inspections, lookup, {"PARCEL": "PARID"}), "INSPECTION_DATE", "__moment", moments)
     return (
         found.select(
             "PARCEL",
-            parse_timestamp("INSPECTION_DATE").alias("INSPECTION_DATE"),
+            F.col("__moment").alias("INSPECTION_DATE"),
             "INSPECTION_RESULT",
             "VIOLATION",
             F.col("INSPECTION_DATE").alias("__raw"),
@@ -136,7 +156,7 @@ def clean_inspections(inspections: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
-def clean_liens(liens: DataFrame, lookup: DataFrame, municipality: str) -> DataFrame:
+def clean_liens(liens: DataFrame, lookup: DataFrame, municipality: str, moments: DataFrame | None = None) -> DataFrame:
     """Distinct complete liens of residential parcels; the tax year becomes its last day.
 
     Liens whose filing dates cannot be read are told apart by the raw text.
@@ -144,10 +164,10 @@ def clean_liens(liens: DataFrame, lookup: DataFrame, municipality: str) -> DataF
     required = ["pin", "tax_year", "lien_description", "amount", "satisfied"]
     rows = drop_null_rows(liens.where(F.col("municipality") == municipality), required)
     return (
-        semi_join(rows, lookup, {"pin": "PARID"})
+        read_moments(semi_join(rows, lookup, {"pin": "PARID"}), "filing_date", "__moment", moments)
         .select(
             "pin",
-            parse_date("filing_date").alias("filing_date"),
+            F.col("__moment").cast("date").alias("filing_date"),
             year_end("tax_year").alias("tax_year"),
             "lien_description",
             "amount",
@@ -190,6 +210,7 @@ def clean_incidents(
     new: DataFrame,
     rare_count: int = RARE_CODE_COUNT,
     fix_street_type: bool = False,
+    moments: DataFrame | None = None,
 ) -> DataFrame:
     """Both incident files as one table with cleaned code, street, number and day."""
     old = old.withColumns(
@@ -205,15 +226,13 @@ def clean_incidents(
     new = drop_columns(new, [c for c in NEW_INCIDENT_DROPS if c in new.columns])
     rows = union_all_names(new, old).withColumnRenamed("full.code", "code")
     rows = rows.where(differs(strip("code"), *EXCLUDED_CODES))
-    rows = rows.withColumns(
-        {
-            "street": clean_street("street"),
-            "number": strip("number"),
-            "CALL_CREATED_DATE": parse_date("CALL_CREATED_DATE"),
-        }
-    )
-    rows = rows.withColumn("incident_year", F.year("CALL_CREATED_DATE"))
+    rows = rows.withColumns({"street": clean_street("street"), "number": strip("number")})
     rows = drop_rare(rows, "code", rare_count, TARGET_PREFIX)
+    names = rows.columns
+    rows = read_moments(rows, "CALL_CREATED_DATE", "__moment", moments)
+    day = F.col("__moment").cast("date")
+    rows = rows.select(*[(day if c == "CALL_CREATED_DATE" else quoted(c)).alias(c) for c in names])
+    rows = rows.withColumn("incident_year", F.year("CALL_CREATED_DATE"))
     # An intersection keeps its first street, with the blank before the slash.
     rows = rows.withColumn("street", first_part("street", "/"))
     return drop_null_rows(rows, ["CALL_CREATED_DATE"]).distinct()
@@ -251,15 +270,27 @@ def incidents_to_areas(
     return placed.select(*[quoted(c) for c in keep], *KEYS).distinct()
 
 
+def date_columns(
+    inspections: DataFrame, liens: DataFrame, incidents: Sequence[DataFrame]
+) -> dict[str, tuple[DataFrame, str]]:
+    """The (table, column) of each source's date texts; both incident files are one source."""
+    both = union_all_names(*[table.select("CALL_CREATED_DATE") for table in incidents])
+    return {
+        "inspections": (inspections, "INSPECTION_DATE"),
+        "liens": (liens, "filing_date"),
+        "incidents": (both, "CALL_CREATED_DATE"),
+    }
+
+
+def rejects_of(moments: DataFrame) -> dict[str, int]:
+    """Rows per source of ``moments_of`` whose text is no date."""
+    bad = F.sum(F.when(F.col("moment").isNull(), F.col("n")).otherwise(0)).alias("n")
+    return {row["source"]: row["n"] for row in moments.groupBy("source").agg(bad).collect()}
+
+
 def date_rejects(
     inspections: DataFrame, liens: DataFrame, incidents: Sequence[DataFrame]
 ) -> dict[str, int]:
     """Texts per source that are there but are no date, from one pass over each date column."""
-    columns = [("inspections", inspections, "INSPECTION_DATE"), ("liens", liens, "filing_date")]
-    columns += [("incidents", table, "CALL_CREATED_DATE") for table in incidents]
-    parts = [
-        table.agg(count_rejects(column, parse_timestamp(column)).alias("n")).select(F.lit(name).alias("source"), "n")
-        for name, table, column in columns
-    ]
-    rows = union_all_names(*parts).groupBy("source").agg(F.sum("n").alias("n")).collect()
-    return {row["source"]: row["n"] for row in rows}
+    columns = date_columns(inspections, liens, incidents)
+    return {**dict.fromkeys(columns, 0), **rejects_of(moments_of(columns))}

@@ -19,6 +19,8 @@ MIN_COLUMN_RATIO = 0.0001
 PANEL_END = "2017-12-31"
 TRAIN_END = "2016-12-31"
 VALIDATION_END = "2015-12-31"
+# Distinct date texts of a source up to this many are read once and broadcast; more are read row by row.
+MAX_DATE_TEXTS = 500_000
 
 
 @dataclass(frozen=True)
@@ -93,9 +95,20 @@ def prepare(
     """
     if bad_dates not in ("raise", "drop"):
         raise ValueError("bad_dates is 'raise' or 'drop'")
-    rejects = cleaning.date_rejects(
+    columns = cleaning.date_columns(
         sources.inspections, sources.liens, [sources.incidents_old, sources.incidents_new]
     )
+    # A date text is read once, however many rows have it.
+    texts = cut_to_table(cleaning.moments_of(columns))
+    rejects = {**dict.fromkeys(columns, 0), **cleaning.rejects_of(texts)}
+    sizes = {row["source"]: row["count"] for row in texts.groupBy("source").count().collect()}
+
+    def moments(name: str) -> DataFrame | None:
+        """The moments of a source's texts, if they are few enough to be sent to every task."""
+        if sizes.get(name, 0) > MAX_DATE_TEXTS:
+            return None
+        return texts.where(F.col("source") == name)
+
     if bad_dates == "raise" and any(rejects.values()):
         raise ValueError(f"texts that are no date: {rejects}; pass bad_dates='drop' to go on without them")
     properties, lookup = cleaning.clean_properties(sources.assessments, place.city, min_values)
@@ -106,10 +119,10 @@ def prepare(
     profile, _ = cleaning.area_profile(properties, parcels, census)
     # One row per area; read for the area list, the categories and the final join.
     profile = cut_lineage(profile)
-    inspections = cleaning.clean_inspections(sources.inspections, lookup)
-    liens = cleaning.clean_liens(sources.liens, lookup, place.municipality)
+    inspections = cleaning.clean_inspections(sources.inspections, lookup, moments("inspections"))
+    liens = cleaning.clean_liens(sources.liens, lookup, place.municipality, moments("liens"))
     incidents = cleaning.clean_incidents(
-        sources.incidents_old, sources.incidents_new, rare_count, fix_street_type
+        sources.incidents_old, sources.incidents_new, rare_count, fix_street_type, moments("incidents")
     )
     return Prepared(
         incidents=cleaning.incidents_to_areas(incidents, lookup, parcels, keep, min_fraction),
