@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import next_period_end, period_end, period_range
 from ..functions.text import LABEL_SEPARATOR, split_labels
-from ..session import cut_lineage, run_parallel
+from ..session import cut_lineage, run_parallel, sized_shuffles
 from .columns import (
     MAX_CATEGORIES,
     feature_name,
@@ -381,7 +381,8 @@ def long_counts(
     by_day = _is_date(source) if source.target is not None else (first is None or dict(first.dtypes)["first_date"] == "date")
     daily = source_daily(source, keys, period, by_day)
     if source.target is not None:
-        daily = cut_lineage(daily)
+        with sized_shuffles(source.events):
+            daily = cut_lineage(daily)
         first = label_of(daily, "event_date", F.col(IS_TARGET), keys)
         daily = daily.where(~F.col(IS_TARGET)).drop(IS_TARGET)
     if source.cutoff:
@@ -450,7 +451,8 @@ def source_panel(
     by_day = _is_date(source) if source.target is not None else (
         first is None or dict(first.dtypes)["first_date"] == "date"
     )
-    daily = cut_lineage(source_daily(source, keys, period, by_day))
+    with sized_shuffles(source.events):
+        daily = cut_lineage(source_daily(source, keys, period, by_day))
     lists, bounds = survey({source.name: (source, daily)}, limit=max_categories)
     if source.target is not None:
         first = label_of(daily, "event_date", F.col(IS_TARGET), keys)
@@ -510,7 +512,8 @@ def build_panel(
     base = base[0]
     areas = areas.select(*keys).na.drop().distinct()
     by_day = _is_date(base)
-    daily = _write_all({s.name: source_daily(s, keys, period, by_day) for s in sources})
+    with sized_shuffles(*[s.events for s in sources]):
+        daily = _write_all({s.name: source_daily(s, keys, period, by_day) for s in sources})
     lists, bounds = survey({s.name: (s, daily[s.name]) for s in sources}, limit=max_categories)
     span = [bounds[base.name]] if base.name in bounds else []
     further = [s for s in sources if s is not base and s.name in bounds]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import target_flag
 from ..operators.columns import MAX_CATEGORIES, categories_of, drop_columns, one_hot, quoted
 from ..operators.panel import EventSource, PanelResult, build_panel
-from ..session import cut_lineage, cut_to_table
+from ..session import cut_lineage, cut_to_table, sized_shuffles
 from ..sources import readers, schemas
 from . import cleaning
 
@@ -99,7 +99,8 @@ def prepare(
         sources.inspections, sources.liens, [sources.incidents_old, sources.incidents_new]
     )
     # A date text is read once, however many rows have it.
-    texts = cut_to_table(cleaning.moments_of(columns))
+    with sized_shuffles(*[table for table, _ in columns.values()]):
+        texts = cut_to_table(cleaning.moments_of(columns))
     rejects = {**dict.fromkeys(columns, 0), **cleaning.rejects_of(texts)}
     sizes = {row["source"]: row["count"] for row in texts.groupBy("source").count().collect()}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -83,6 +84,43 @@ def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+# Input files' bytes for each partition of a shuffle, and shuffled bytes that a task reads at most where Spark joins partitions.
+PARTITION_INPUT = 8 << 20
+PARTITION_READ = 16 << 20
+_PARTITIONS = "spark.sql.shuffle.partitions"
+_READ = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
+def _bytes_of(size: str) -> int:
+    """Bytes of a setting such as ``64MB``, ``8m`` or ``1024``."""
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)i?b?", size.strip().lower()).groups()
+    return int(number) << 10 * (" kmgt".index(unit) if unit else 0)
+
+
+def input_bytes(*frames: DataFrame) -> int:
+    """Size of the files that the frames read."""
+    total = 0
+    for name in {name for df in frames for name in df.inputFiles()}:
+        spark = frames[0].sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
+
+
+@contextmanager
+def sized_shuffles(*frames: DataFrame) -> Iterator[None]:
+    """Jobs within the block shuffle to partitions whose number grows with the frames' files, so that a task's share does not."""
+    conf = frames[0].sparkSession.conf
+    before = {key: conf.get(key, None) for key in (_PARTITIONS, _READ)}
+    conf.set(_PARTITIONS, str(max(int(conf.get(_PARTITIONS)), -(-input_bytes(*frames) // PARTITION_INPUT))))
+    conf.set(_READ, str(min(_bytes_of(conf.get(_READ)), PARTITION_READ)))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+
+
 def cut_to_table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet beside the checkpoints and continue from the table.
 

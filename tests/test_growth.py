@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from riskpanel import session
+from riskpanel.operators import panel
 from riskpanel.plans import cleaning
 
 TEXTS = ["1/2/1996", " 1/2/1996", "1996-01-02T03:04:05", "05-FEB-1997", "no date", "", None]
@@ -38,3 +40,23 @@ def test_a_date_text_is_read_once(spark):
     known = spark.createDataFrame([("1/2/1996", None)], "text string, moment timestamp_ntz")
     plan = cleaning.clean_inspections(inspections, lookup, known)._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan
+
+
+def test_shuffles_follow_the_input(spark, tmp_path, monkeypatch):
+    """Many small partitions for large files, whatever the session's number, which holds again afterwards."""
+    spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    size = session.input_bytes(table, table)
+    assert size == sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    monkeypatch.setattr(session, "PARTITION_INPUT", size // 40)
+    monkeypatch.setattr(session, "PARTITION_READ", 1 << 15)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(name) for name in names]
+    source = panel.EventSource("e", table.select(F.lit("1996-01-01").cast("date").alias("day"), "id", F.lit("a").alias("kind")), "day", one_hot=["kind"])
+    seen = []
+    monkeypatch.setattr(panel, "cut_lineage", lambda df: seen.append(spark.conf.get(names[0])) or df.localCheckpoint())
+    areas, first = table.select("id"), spark.createDataFrame([], "period date, id bigint, first_date date")
+    assert panel.source_panel(source, areas, ["id"], first=first).count() == 20_000
+    assert [int(n) for n in seen] == [-(-size // (size // 40))]
+    assert [spark.conf.get(name) for name in names] == before
+    assert [session._bytes_of(x) for x in ("64MB", "8m", "1024", "1g")] == [64 << 20, 8 << 20, 1024, 1 << 30]
