@@ -1,8 +1,11 @@
 """Work and memory that must not grow with the rows where the input allows it."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from riskpanel import session
+from riskpanel.llm import pii
 from riskpanel.operators import panel
 from riskpanel.plans import cleaning
 
@@ -60,3 +63,18 @@ def test_shuffles_follow_the_input(spark, tmp_path, monkeypatch):
     assert [int(n) for n in seen] == [-(-size // (size // 40))]
     assert [spark.conf.get(name) for name in names] == before
     assert [session._bytes_of(x) for x in ("64MB", "8m", "1024", "1g")] == [64 << 20, 8 << 20, 1024, 1 << 30]
+
+
+def test_texts_beyond_ascii_cost_little_more():
+    """Looking for look-alike characters takes no large part of the search, whatever the text's characters."""
+
+    def seconds(text):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            assert pii.all_spans(text) == ([], [])
+            took.append(time.process_time() - start)
+        return min(took)
+
+    words = "plain words of a text without any personal data in it, "
+    assert seconds(words.replace("a", "é") * 10_000) < 2.5 * seconds(words * 10_000)
