@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import plain
@@ -10,6 +11,7 @@ from corpus_tables import frame
 from riskpanel.llm import pii, toxicity
 from riskpanel.llm.packing import Encoder
 from riskpanel.llm.token_count import TokenCounter, count_tokens, merge_count
+from riskpanel.session import input_bytes
 from pyspark.sql import functions as F
 
 public = pytest.importorskip("public_tokenizers")
@@ -166,6 +168,35 @@ def test_toxicity_joins_what_is_not_held(spark, monkeypatch):
             assert abs(other[d].whole - row.whole) < 1e-9 and abs(other[d].sharp - row.sharp) < 1e-9 and abs(other[d].score - row.score) < 1e-6
 
 
+def test_toxicity_asks_for_bigrams_that_are_not_held(spark, monkeypatch):
+    rows, labels, _ = toxic_rows(300)
+    # Copies in other tasks, and texts without words.
+    rows += [(1000 + d, t) for d, t in rows[:50]] + [(2000, None), (2001, ""), (2002, "?! .")]
+    docs, labels = frame(spark, rows).repartition(7, "doc_id"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = []
+    for bigrams, buckets in ((1 << 20, 8), (50, 8), (0, 3)):
+        monkeypatch.setattr(toxicity, "HELD_BIGRAMS", bigrams)
+        monkeypatch.setattr(toxicity, "GATHERED_OPEN", 500 * buckets)
+        model = toxicity.fit_toxicity(docs, labels)
+        assert model.whole == (bigrams > 50)
+        found.append({r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()})
+    for other in found[1:]:
+        assert other.keys() == found[0].keys() and len(other) == len(rows)
+        for d, row in found[0].items():
+            assert abs(other[d].whole - row.whole) < 1e-6 and abs(other[d].sharp - row.sharp) < 1e-6 and abs(other[d].score - row.score) < 1e-5
+
+
+def test_toxicity_keeps_few_bytes_of_a_bigram(spark, monkeypatch):
+    rows, labels, _ = toxic_rows(900)
+    docs, labelled = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "HELD_BIGRAMS", 50)
+    model = toxicity.fit_toxicity(docs, labelled)
+    ids = {d for d, _ in labels if zlib.crc32(str(d).encode()) % 3 != 1}
+    bigrams = {pair for d, t in rows if d in ids for pair in zip(["", *t.split()], t.split())}
+    assert len(bigrams) > 20_000
+    assert sum(input_bytes(table) for table in model.scratch) < 10 * len(bigrams)
+
+
 def test_toxicity_counts_both_folds(spark):
     rows, labels, truth = toxic_rows(300)
     fold = {r.doc_id: r.fold for r in frame(spark, rows).select("doc_id", toxicity.fold_of(F.col("doc_id")).alias("fold")).collect()}
