@@ -25,6 +25,8 @@ from riskpanel.session import cut_to_table, ship_package
 TOXIC_FROM = 0.7
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 SEQUENCE_TOKENS = 2048
+# Words whose ids a worker remembers: few, as the stages before have left the executors less memory.
+PACKING_WORDS = 100_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +70,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the token ids of all documents into sequences."""
     ship_package(spark)
-    return pack_documents(docs, vocabulary(), SEQUENCE_TOKENS)
+    return pack_documents(docs, vocabulary(), SEQUENCE_TOKENS, remembered=PACKING_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

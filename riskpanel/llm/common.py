@@ -7,7 +7,7 @@ difference of two prefix sums of a polynomial over a random byte table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -143,6 +143,16 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+# What empties the caches that a Python worker keeps between the tasks of an operator.
+CACHES: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Empty the caches that other operators' tasks have left in this Python worker, before a task that needs its memory."""
+    for clear in CACHES:
+        clear()
+
+
 class Remembered(dict):
     """Values of a function by key, bounded: beyond ``limit`` entries only those used again are kept."""
 

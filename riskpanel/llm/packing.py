@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from ..session import cut_lineage
-from .common import partitions, text_bytes, with_text
+from .common import CACHES, partitions, text_bytes, with_text
 from .token_count import Splitter, byte_letters
 
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -165,8 +165,8 @@ class Encoder(Splitter):
 
     join = staticmethod(b"".join)
 
-    def __init__(self, vocabulary: str):
-        super().__init__(vocabulary, REMEMBERED_WORDS)
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED_WORDS):
+        super().__init__(vocabulary, remembered)
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -186,12 +186,17 @@ class Encoder(Splitter):
 
 
 @functools.lru_cache(2)
-def encoder_of(vocabulary: str) -> Encoder:
+def encoder_of(vocabulary: str, remembered: int = REMEMBERED_WORDS) -> Encoder:
     """One encoder per Python worker, kept between its tasks."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, remembered)
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_column: str = "doc_id") -> DataFrame:
+CACHES.append(encoder_of.cache_clear)
+
+
+def cut_pieces(
+    docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_column: str = "doc_id", remembered: int = REMEMBERED_WORDS
+) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32): every document's ids and the end id, cut only beyond ``capacity``.
 
     A null or empty text is the end id alone. Repeated rows give repeated pieces.
@@ -199,7 +204,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
+        encoder = encoder_of(vocabulary, remembered)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(text_bytes(batch.column(1))):
@@ -226,8 +231,10 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0,
     return with_text(docs, id_column).mapInArrow(run, f"id {key}, {PIECE}").withColumnRenamed("id", id_column)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id") -> DataFrame:
-    """Pieces of all documents with the sequence and offset they are packed at."""
-    pieces = cut_pieces(docs, vocabulary, capacity, end_id, id_column)
+def pack_documents(
+    docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id", remembered: int = REMEMBERED_WORDS
+) -> DataFrame:
+    """Pieces of all documents with the sequence and offset they are packed at; a worker remembers the ids of so many words."""
+    pieces = cut_pieces(docs, vocabulary, capacity, end_id, id_column, remembered)
     return pack(pieces, capacity, [id_column, "piece", "start", "ids_crc32"])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Remembered, text_bytes, with_text
+from .common import CACHES, Remembered, text_bytes, with_text
 
 # Pieces and words remembered per Python worker; more are computed again, with the same result.
 CACHE_ENTRIES = 150_000
@@ -149,6 +149,9 @@ def counter_of(vocabulary: str) -> TokenCounter:
     return TokenCounter(vocabulary)
 
 
+CACHES.append(counter_of.cache_clear)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int, id_column: str = "doc_id") -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit), one per input row.
 

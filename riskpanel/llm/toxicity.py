@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_to_table, drop_table, freeing_shuffles, input_bytes
-from .common import free_names, mix, partitions, separators, text_bytes, with_text, word_hashes
+from .common import forget, free_names, mix, partitions, separators, text_bytes, with_text, word_hashes
 
 # Counted words (two floats and a key) and bigrams (one float and a key) that are broadcast at most, 59 MB;
 # the sieve of each has up to 2^SIEVE_BITS bits, 8 MB. What is beyond them is joined.
@@ -36,7 +36,7 @@ HELD_WORDS = 1 << 21
 HELD_BIGRAMS = 1 << 21
 SIEVE_BITS = 26
 # Bigrams that a task gathers before it merges and deals them out, fewer where each has many sums or none are merged.
-GATHERED, GATHERED_SUMS, GATHERED_OPEN = 1 << 20, 1 << 19, 1 << 18
+GATHERED, GATHERED_SUMS, GATHERED_OPEN = 1 << 19, 1 << 19, 1 << 18
 # Bigrams or tokens in a row of packed ones at most: a row of a few hundred KB is no burden for the heap.
 PACKED = 1 << 13
 # A bucket of bigrams for so many bytes of input files at least, where the session's partitions are fewer.
@@ -158,6 +158,7 @@ def count_bigrams(labelled: DataFrame, n_buckets: int) -> DataFrame:
             held.clear()
             return _rows([packed(*x) for x in _dealt(buckets_of(gram, n_buckets), left, words, n, most=PACKED)], _PACKED)
 
+        forget()
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             texts = text_bytes(batch.column(0))
@@ -177,6 +178,7 @@ def count_bigrams(labelled: DataFrame, n_buckets: int) -> DataFrame:
             yield flush()
 
     def total(table: pa.Table) -> pa.Table:
+        forget()
         left, words = (_joint(table.column(c), np.uint64) for c in ("history", "word"))
         n = _joint_counts(table.column("n"), 4)
         _, left, words, n = _merged([(_grams_of(left, words), left, words, n)])
@@ -238,6 +240,7 @@ def token_sums(counts: DataFrame, halves: tuple[int, ...], share: dict[str, floa
             rows = [(k, t.tobytes(), np.ascontiguousarray(x.T).tobytes()) for k, t, x in _dealt(buckets_of(tokens, n_buckets), tokens, sums, most=PACKED // 2)]
             return _rows(rows, pa.schema([("bucket", pa.int32()), ("word", pa.binary()), ("sums", pa.binary())]))
 
+        forget()
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             toxic, ordinary = _of_halves(_joint_counts(batch.column("n"), 4), halves)
@@ -782,6 +785,7 @@ def _settled(docs: DataFrame, model: Model, shared: Broadcast, columns: list[str
 
     def ask(this: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             model = shared.value
 
             def flush() -> pa.RecordBatch:
@@ -823,6 +827,7 @@ def _settled(docs: DataFrame, model: Model, shared: Broadcast, columns: list[str
         return run
 
     def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        forget()
         model = shared.value
         doc, n_words, size = _joint(asked.column("doc"), np.uint64), _joint(asked.column("n")), _joint(asked.column("size"))
         if not len(doc):

@@ -197,6 +197,25 @@ def test_toxicity_keeps_few_bytes_of_a_bigram(spark, monkeypatch):
     assert sum(input_bytes(table) for table in model.scratch) < 10 * len(bigrams)
 
 
+def test_toxicity_takes_words_to_the_driver_in_parts(spark, monkeypatch):
+    rows, labels, _ = toxic_rows(300)
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fetched, to_arrow = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: fetched.append(to_arrow(self)) or fetched[-1])
+    monkeypatch.setattr(toxicity, "HELD_BIGRAMS", 0)
+    toxicity.fit_toxicity(docs, labels)
+    of_words = [table.nbytes / table.num_rows for table in fetched if "word" in table.column_names]
+    assert of_words and max(of_words) < 36
+
+
+def test_workers_forget_what_other_operators_remember():
+    from riskpanel.llm import common, packing
+
+    packing.encoder_of(VOCABULARY).encode(b"some words")
+    common.forget()
+    assert packing.encoder_of.cache_info().currsize == 0
+
+
 def test_toxicity_counts_both_folds(spark):
     rows, labels, truth = toxic_rows(300)
     fold = {r.doc_id: r.fold for r in frame(spark, rows).select("doc_id", toxicity.fold_of(F.col("doc_id")).alias("fold")).collect()}
