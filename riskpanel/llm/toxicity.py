@@ -36,7 +36,9 @@ HELD_WORDS = 1 << 21
 HELD_BIGRAMS = 1 << 21
 SIEVE_BITS = 26
 # Bigrams that a task gathers before it merges and deals them out, fewer where each has many sums or none are merged.
-GATHERED, GATHERED_SUMS, GATHERED_OPEN = 1 << 19, 1 << 19, 1 << 18
+GATHERED, GATHERED_SUMS, GATHERED_OPEN = 1 << 19, 1 << 18, 1 << 18
+# Bigrams valued at once, which takes some 200 bytes of each.
+VALUED = 1 << 15
 # Bigrams or tokens in a row of packed ones at most: a row of a few hundred KB is no burden for the heap.
 PACKED = 1 << 13
 # A bucket of bigrams for so many bytes of input files at least, where the session's partitions are fewer.
@@ -508,7 +510,11 @@ class Model:
 
     def value(self, history: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Differences of the counted bigrams of held words with these numbers and counts."""
-        return pair_values(n[:, 0], n[:, 1], self.words.stats(history, word), self.share, self.discount)
+        found = np.zeros(len(n), np.float32)
+        for k in range(0, len(n), VALUED):
+            at = slice(k, k + VALUED)
+            found[at] = pair_values(n[at, 0], n[at, 1], self.words.stats(history[at], word[at]), self.share, self.discount)
+        return found
 
     def parts(self, texts: list[bytes]) -> list[pa.Array]:
         """Per text: number of words, sum of the held ones, the highest of them, and the open bigrams with their number."""
